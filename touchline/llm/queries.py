@@ -142,14 +142,14 @@ with found as ({" union all ".join(parts)}
   select doc_id, no, kind, least, hit, gap, val, unnest(range(1, len(hit) + 1)) i from found
 ), spans as (
   select doc_id, no, kind, length(hit[i]) n,
-    list_sum(list_transform(gap[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0)::bigint at
+    list_sum(list_transform(gap[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0)::bigint pos
   from one where length(val[i]) >= least
 ), text as (
-  select doc_id, no, at, kind || ':' || at || ':' || (at + n) t from spans
+  select doc_id, no, pos, kind || ':' || pos || ':' || (pos + n) t from spans
 )
 select d.doc_id, {counts},
-  sha256(coalesce(string_agg(t, ',' order by at, no) filter (where no <= {last}), '')) base_sha256,
-  coalesce(string_agg(t, ',' order by at, no), '') spans
+  sha256(coalesce(string_agg(t, ',' order by pos, no) filter (where no <= {last}), '')) base_sha256,
+  coalesce(string_agg(t, ',' order by pos, no), '') spans
 from documents d left join text using (doc_id) group by d.doc_id
 """
 
