@@ -9,8 +9,8 @@
   at the first level and 0.45 below, so twelve trees miss fewer than one pair in ten thousand).
 * In every node each class is first compared with the node's smallest id.  That joins groups of
   copies into components without making their pairs.  Nodes that lie in one component are done.
-* A node is small if at most ``SMALL`` of its classes lie outside its largest component: those are
-  compared with all of the node.  Larger nodes branch on; what is left at ``DEPTH`` is compared alike,
+* In a node only the classes outside its largest component are compared with all of it; a node is
+  small if those are at most ``SMALL`` comparisons.  Larger nodes branch on; what is left at ``DEPTH`` is compared alike,
   so no candidate is capped.
 * Candidates first pass a loose estimate from their tokens; links are confirmed on full sets.
 
@@ -32,7 +32,7 @@ WORDS = 5
 PERCENT = 75
 TOKENS = 64
 TREES = 12
-SMALL = 24
+SMALL = 1024
 DEPTH = 6
 LIKELY = TOKENS // 2  # equal tokens of a candidate at least; 48 are expected at the bound
 MEMO = 300_000
@@ -140,12 +140,12 @@ def _met(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _open(rows: DataFrame, comps: DataFrame, name: str) -> DataFrame:
-    """Rows with their component, of the nodes that hold two components or more; ``minor``: how many
-    of the node's classes lie outside its largest component."""
+    """Rows with their component, of the nodes that hold two components or more; ``work``: how many
+    comparisons of classes outside the node's largest component with all of it there are."""
     tagged = rows.select("node", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     by = tagged.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
     node = by.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    node = node.select("node", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.c")).alias("minor"))
+    node = node.select("node", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.c")) * F.col("all")).alias("work"))
     return stage(tagged.join(node, "node"), name)
 
 
@@ -159,14 +159,14 @@ def link_classes(classes: DataFrame, docs: DataFrame, trees: int = TREES) -> Dat
     rows, pairs = met, None
     for level in range(1, DEPTH + 1):
         live = _open(rows, comps, f"cp-open-{level}")
-        small = live if level == DEPTH else live.where(F.col("minor") <= SMALL)
+        small = live if level == DEPTH else live.where(F.col("work") <= SMALL)
         one = small.where("comp <> main").select("node", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
         other = small.select("node", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
         sizes = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * PERCENT
         found = one.join(other, "node").where(sizes & (F.col("cx") != F.col("cy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = stage(found.distinct(), f"cp-pairs-{level}")
         pairs = found if pairs is None else pairs.union(found)
-        large = live.where(F.col("minor") > SMALL).select("node", "id")
+        large = live.where(F.col("work") > SMALL).select("node", "id")
         if level == DEPTH or large.isEmpty():
             break
         rows = _met(_branch(large.join(classes, "id"), level), f"cp-met-{level}")
