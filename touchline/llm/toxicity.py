@@ -7,7 +7,7 @@ sentence scores then locate the offending sentences.
 
 Bounds: ``max_train`` labelled documents (those with the smallest hash of their text) and
 ``max_words`` words (those whose document frequencies differ most between the labels, by the
-log-likelihood ratio).  The word statistics come from distributed aggregates, and only each training
+log-likelihood ratio, ``MIN_RATIO`` or more).  The word statistics come from distributed aggregates, and only each training
 document's chosen words reach the driver.  Scoring reads whole texts of every row.
 
 Edge cases: null and empty texts are one sentence without words and get a score; documents with
@@ -30,6 +30,8 @@ from .common import stage
 THRESHOLD = 0.7
 MAX_TRAIN = 12_000
 MAX_WORDS = 512
+PLAIN = -9.0  # log-odds of a sentence without chosen words, at most
+MIN_RATIO = 10.0  # log-likelihood ratio under which a word is chance among so many words
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -60,7 +62,7 @@ def bags(text: str | None, chosen: dict) -> tuple[list[list], int]:
 
 @dataclass
 class Model:
-    bias: float = -6.0
+    bias: float = PLAIN
     weights: dict[str, float] = field(default_factory=dict)
 
     def sentence(self, z: float) -> float:
@@ -81,9 +83,8 @@ def fit_noisy_or(docs: list[tuple[list[list[int]], int, int]], n_words: int, ste
     owner = np.array([i for i, d in enumerate(docs) for _ in d[0]], int)
     flat = np.array([w for d in docs for s in d[0] for w in s], int)
     which = np.repeat(np.arange(len(owner)), [len(s) for d in docs for s in d[0]]) if len(owner) else np.zeros(0, int)
-    b, w = -6.0, np.zeros(n_words)
-    theta, m, v = np.concatenate([[b], w]), np.zeros(n_words + 1), np.zeros(n_words + 1)
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    theta, m, v = np.concatenate([[PLAIN], np.zeros(n_words)]), np.zeros(n_words + 1), np.zeros(n_words + 1)
+    weight = 1.0 / max(1, len(docs))
     for t in range(1, steps + 1):
         z = theta[0] + np.bincount(which, weights=theta[1:][flat], minlength=len(owner)) if len(owner) else np.zeros(0)
         p, p0 = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 1 / (1 + np.exp(-theta[0]))
@@ -97,7 +98,7 @@ def fit_noisy_or(docs: list[tuple[list[list[int]], int, int]], n_words: int, ste
         grad[1:] += decay * theta[1:]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        theta[0] = min(theta[0], -2.0)
+        theta[0] = min(theta[0], PLAIN)  # or long clean texts add up to a high score
     return float(theta[0]), theta[1:]
 
 
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_wo
     df = text.mapInPandas(words_of, "word string, y int, n long").groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     p1, p0, p = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1), (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     ratio = F.col("a") * F.log(p1 / p) + F.col("b") * F.log(p0 / p)
-    top = df.where("a + b >= 3").orderBy(ratio.desc(), "word").limit(max_words).select("word").collect()
+    top = df.withColumn("r", ratio).where(F.col("r") >= MIN_RATIO).orderBy(F.col("r").desc(), "word").limit(max_words).select("word").collect()
     chosen = {r["word"]: i for i, r in enumerate(top)}
 
     def bags_of(batches):
