@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own: list[str] = []  # this process's folder for sessions that name none, as in tests
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='touchline-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='touchline-')}")
+        named = _own[0]
     return named.rstrip("/")
 
 
