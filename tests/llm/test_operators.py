@@ -242,9 +242,16 @@ def test_trigram_queries_lose_nothing(word, tail):
             assert any(all(t in text.lower() for t in conj) for conj in q)
 
 
-def test_near_dedup(spark, odd):
+def test_near_dedup(spark, odd, monkeypatch):
     rnd = random.Random(9)
     rows, n = [], 0
+    one = [f"v{i}" for i in range(200)]
+    for _ in range(60):  # versions of one text that lie about the bound from each other
+        t = list(one)
+        for at in rnd.sample(range(200), 3):
+            t[at] = f"y{rnd.randrange(10**6)}"
+        rows.append((n, " ".join(t)))
+        n += 1
     for g in range(40):
         base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(6, 120))]
         for _ in range(rnd.choice([1, 2, 8])):
@@ -268,6 +275,12 @@ def test_near_dedup(spark, odd):
                 a, b = sorted((root(i), root(j)))
                 comp[b] = a
     assert got == {i: root(i) for i in range(n)}
+    # nodes cut into many blocks, and branched to the end, give the same
+    for small, block in ((1 << 20, 4), (12, 3)):
+        monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        cut = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in cut} == got
     out = near_dedup.near_components(odd).collect()
     assert len(out) == odd.count()
     by = {r["doc_id"]: r for r in out if r["doc_id"] is not None}

@@ -10,9 +10,12 @@
 * In every node each class is first compared with the node's smallest id.  That joins groups of
   copies into components without making their pairs.  Nodes that lie in one component are done.
 * In a node only the classes outside its largest component are compared with all of it; a node is
-  small if those are at most ``SMALL`` comparisons.  Larger nodes branch on; what is left at ``DEPTH`` is compared alike,
-  so no candidate is capped.
-* Candidates first pass a loose estimate from their tokens; links are confirmed on full sets.
+  small if those are at most ``SMALL`` comparisons.  Larger nodes branch on; what is left at ``DEPTH`` is
+  compared alike, so no candidate is capped.
+* A node is compared in pairs of blocks, ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles each, which
+  spread over tasks.  A first pass over the tokens keeps the classes that have a likely partner; a second
+  one compares those on full sets and gives out only links that join two components, so a dense
+  group gives out rows in proportion to its classes, never its pairs.
 
 Edge cases: null texts and texts without words have no shingles and no links; texts under five words
 are one shingle; rows that share a doc_id are one document; rows with a null doc_id follow their
@@ -32,7 +35,9 @@ WORDS = 5
 PERCENT = 75
 TOKENS = 64
 TREES = 12
-SMALL = 1024
+SMALL = 1 << 20
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 DEPTH = 6
 LIKELY = TOKENS // 2  # equal tokens of a candidate at least; 48 are expected at the bound
 MEMO = 300_000
@@ -140,38 +145,139 @@ def _met(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _open(rows: DataFrame, comps: DataFrame, name: str) -> DataFrame:
-    """Rows with their component, of the nodes that hold two components or more; ``work``: how many
-    comparisons of classes outside the node's largest component with all of it there are."""
+    """Rows with their component, of the nodes that hold two components or more.  ``work``: how many
+    comparisons of classes outside the node's largest component (``main``) with all of it there are;
+    ``ob`` and ``nb``: into how many blocks the outside and the whole are cut."""
     tagged = rows.select("node", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    by = tagged.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"))
-    node = by.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    node = node.select("node", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.c")) * F.col("all")).alias("work"))
+    by = tagged.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    top = F.max(F.struct("c", "comp", "s")).alias("top")
+    node = by.groupBy("node").agg(top, F.sum("c").alias("all"), F.sum("s").alias("sum"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    cut = lambda classes, shingles: F.greatest(F.ceil(classes / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    out, out_sum = F.col("all") - F.col("top.c"), F.col("sum") - F.col("top.s")
+    node = node.select("node", F.col("top.comp").alias("main"), (out * F.col("all")).alias("work"), cut(out, out_sum).alias("ob"), cut(F.col("all"), F.col("sum")).alias("nb"))
     return stage(tagged.join(node, "node"), name)
 
 
+def _groups(batches, fields: list[str]):
+    """One dict of arrays for each run of equal (node, i, j) in sorted batches."""
+    held: dict = {}
+    for pdf in batches:
+        new = {f: pdf[f].to_numpy() for f in fields}
+        held = {f: np.concatenate([held[f], new[f]]) for f in fields} if held else new
+        key = [held[f] for f in ("node", "i", "j")]
+        cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1
+        for at, end in zip([0, *cuts], cuts):
+            yield {f: v[at:end] for f, v in held.items()}
+        last = cuts[-1] if len(cuts) else 0
+        held = {f: v[last:] for f, v in held.items()}
+    if held and len(held["node"]):
+        yield held
+
+
+def _comparable(x: dict, y: dict) -> np.ndarray:
+    """Which of x and y lie in two components and are of sizes that allow the similarity."""
+    a, b = x["n"][:, None], y["n"][None, :]
+    return (x["comp"][:, None] != y["comp"][None, :]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * PERCENT)
+
+
+def _sides(g: dict) -> tuple[dict, dict]:
+    out = g["outside"].astype(bool)
+    return {f: v[out] for f, v in g.items()}, {f: v[~out] for f, v in g.items()}
+
+
+_CELL = "node long, i int, j int, outside boolean, id long, n long, comp long"
+_CELL_FIELDS = [f.split()[0] for f in _CELL.split(", ")]
+
+
+def _likely(batches):
+    """Of each pair of blocks the classes that have a likely partner by their tokens."""
+    for g in _groups(batches, [*_CELL_FIELDS, "tokens"]):
+        x, y = _sides(g)
+        if not len(x["id"]) or not len(y["id"]):
+            continue
+        tx, ty = np.stack(x.pop("tokens")), np.stack(y.pop("tokens"))
+        may = _comparable(x, y)
+        for at in range(0, len(tx), 64):
+            may[at : at + 64] &= (tx[at : at + 64, None] == ty[None]).sum(axis=2) >= LIKELY
+        if may.any():
+            for side, keep in ((x, may.any(axis=1)), (y, may.any(axis=0))):
+                yield pd.DataFrame({f: side[f][keep] for f in _CELL_FIELDS})
+
+
+def forest(x: dict, y: dict) -> list[tuple[int, int]]:
+    """Links between x and y, confirmed on full sets, that join their components: no cycles."""
+    for side in (x, y):
+        side["n"] = np.array([len(s) for s in side["shingles"]], np.int64)
+    parent: dict[int, int] = {}
+
+    def root(c):
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    may, links = _comparable(x, y), []
+    ends = np.cumsum([len(s) for s in y["shingles"]])
+    words, codes = np.unique(np.concatenate(y["shingles"]), return_inverse=True)
+    seen = np.zeros(len(words), np.int32)
+    for k, s in enumerate(x["shingles"]):
+        if not may[k].any():
+            continue
+        at = np.searchsorted(words, s)
+        at[at == len(words)] = 0
+        own = at[words[at] == s]
+        seen[own] = 1
+        both = np.add.reduceat(seen[codes], np.concatenate([[0], ends[:-1]]))
+        seen[own] = 0
+        for m in np.flatnonzero(may[k] & (both * 100 >= (x["n"][k] + y["n"] - both) * PERCENT)):
+            a, b = root(int(x["comp"][k])), root(int(y["comp"][m]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((int(x["id"][k]), int(y["id"][m])))
+    return links
+
+
+def _linked(batches):
+    for g in _groups(batches, [*_CELL_FIELDS, "shingles"]):
+        x, y = _sides(g)
+        if len(x["id"]) and len(y["id"]) and (links := forest(x, y)):
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+
+def _compare(small: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) of the nodes of ``small``, enough to connect what is similar in each node."""
+    block = lambda n: F.pmod(F.xxhash64("node", "id"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    whole = F.transform(upto(F.col("ob")), lambda i: F.struct(i.alias("i"), block(F.col("nb")).alias("j"), F.lit(False).alias("outside")))
+    outside = F.transform(upto(F.col("nb")), lambda j: F.struct(block(F.col("ob")).alias("i"), j.alias("j"), F.lit(True).alias("outside")))
+    cells = F.when(F.col("comp") == F.col("main"), whole).otherwise(F.concat(whole, outside))
+    dealt = lambda df: df.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    rows = small.join(classes.select("id", "tokens"), "id").select("node", "id", "n", "comp", "tokens", F.inline(cells)).select(*_CELL_FIELDS, "tokens")
+    likely = stage(dealt(rows).mapInPandas(_likely, _CELL), f"{name}-likely")
+    need = stage(likely.select(F.col("id").alias("doc_id")).distinct(), f"{name}-need")
+    sets = shingle_sets(docs.join(need, "doc_id", "left_semi")).withColumn("h", F.xxhash64("shingles"))
+    sets = stage(sets.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("id"), "shingles"), f"{name}-sets")
+    links = stage(dealt(likely.join(sets, "id").select(*_CELL_FIELDS, "shingles")).mapInPandas(_linked, "a long, b long").distinct(), f"{name}-links")
+    drop_stage(likely, need, sets)
+    return links
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, trees: int = TREES) -> DataFrame:
     """Components (id, component) of ``classes`` (id, n, tokens), texts by (doc_id, text) in ``docs``."""
     roots = classes.where("n > 0").withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(i)) for i in range(trees)])))
     met = _met(_branch(roots, 0), "cp-met")
     star = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = verified(star, classes, docs, "cp-star")
-    comps = stage(components(links), "cp-comps")
-    rows, pairs = met, None
+    rows = met
     for level in range(1, DEPTH + 1):
+        comps = stage(components(links), f"cp-comps-{level}")
         live = _open(rows, comps, f"cp-open-{level}")
         small = live if level == DEPTH else live.where(F.col("work") <= SMALL)
-        one = small.where("comp <> main").select("node", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-        other = small.select("node", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
-        sizes = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * PERCENT
-        found = one.join(other, "node").where(sizes & (F.col("cx") != F.col("cy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found = stage(found.distinct(), f"cp-pairs-{level}")
-        pairs = found if pairs is None else pairs.union(found)
+        links = stage(links.union(_compare(small, classes, docs, f"cp-{level}")), f"cp-joined-{level}")
         large = live.where(F.col("work") > SMALL).select("node", "id")
         if level == DEPTH or large.isEmpty():
             break
         rows = _met(_branch(large.join(classes, "id"), level), f"cp-met-{level}")
-    more = verified(pairs.distinct(), classes, docs, "cp-more")
-    return stage(components(links.union(more)), "cp-all")
+    return stage(components(links), "cp-all")
 
 
 def near_components(docs: DataFrame, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
