@@ -24,6 +24,8 @@ class and are kept if it has no other id; extra columns don't matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -185,23 +187,44 @@ def _sides(g: dict) -> tuple[dict, dict]:
     return {f: v[out] for f, v in g.items()}, {f: v[~out] for f, v in g.items()}
 
 
+def _alike(tx: np.ndarray, ty: np.ndarray) -> np.ndarray:
+    """How many token places of each x and each y are equal."""
+    if len(tx) * len(ty) <= 512:
+        return (tx[:, None] == ty[None]).sum(axis=2)
+    same = np.zeros((len(tx), len(ty)), np.uint8)
+    columns = np.ascontiguousarray(ty.T)
+    for at in range(0, len(tx), 64):  # a strip of rows at a time stays in the cache
+        for place in range(TOKENS):
+            same[at : at + 64] += tx[at : at + 64, place, None] == columns[place]
+    return same
+
+
 _CELL = "node long, i int, j int, outside boolean, id long, n long, comp long"
 _CELL_FIELDS = [f.split()[0] for f in _CELL.split(", ")]
 
 
 def _likely(batches):
     """Of each pair of blocks the classes that have a likely partner by their tokens."""
+    out, held = [], 0
     for g in _groups(batches, [*_CELL_FIELDS, "tokens"]):
         x, y = _sides(g)
         if not len(x["id"]) or not len(y["id"]):
             continue
         tx, ty = np.stack(x.pop("tokens")), np.stack(y.pop("tokens"))
         may = _comparable(x, y)
-        for at in range(0, len(tx), 64):
-            may[at : at + 64] &= (tx[at : at + 64, None] == ty[None]).sum(axis=2) >= LIKELY
-        if may.any():
-            for side, keep in ((x, may.any(axis=1)), (y, may.any(axis=0))):
-                yield pd.DataFrame({f: side[f][keep] for f in _CELL_FIELDS})
+        some = may.any(axis=1)
+        if not some.any():
+            continue
+        may[some] &= _alike(tx[some], ty) >= LIKELY
+        for side, keep in ((x, may.any(axis=1)), (y, may.any(axis=0))):
+            if keep.any():
+                out.append([side[f][keep] for f in _CELL_FIELDS])
+                held += int(keep.sum())
+        if held > 10_000:
+            yield pd.DataFrame(dict(zip(_CELL_FIELDS, map(np.concatenate, zip(*out)))))
+            out, held = [], 0
+    if out:
+        yield pd.DataFrame(dict(zip(_CELL_FIELDS, map(np.concatenate, zip(*out)))))
 
 
 def forest(x: dict, y: dict) -> list[tuple[int, int]]:
@@ -243,21 +266,28 @@ def _linked(batches):
             yield pd.DataFrame(links, columns=["a", "b"])
 
 
-def _compare(small: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Links (a, b) of the nodes of ``small``, enough to connect what is similar in each node."""
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+
+
+def _likely_cells(small: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """The cells (pairs of blocks) of the nodes of ``small`` with the classes that have likely partners there."""
     block = lambda n: F.pmod(F.xxhash64("node", "id"), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     whole = F.transform(upto(F.col("ob")), lambda i: F.struct(i.alias("i"), block(F.col("nb")).alias("j"), F.lit(False).alias("outside")))
     outside = F.transform(upto(F.col("nb")), lambda j: F.struct(block(F.col("ob")).alias("i"), j.alias("j"), F.lit(True).alias("outside")))
     cells = F.when(F.col("comp") == F.col("main"), whole).otherwise(F.concat(whole, outside))
-    dealt = lambda df: df.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
     rows = small.join(classes.select("id", "tokens"), "id").select("node", "id", "n", "comp", "tokens", F.inline(cells)).select(*_CELL_FIELDS, "tokens")
-    likely = stage(dealt(rows).mapInPandas(_likely, _CELL), f"{name}-likely")
+    return stage(_dealt(rows).mapInPandas(_likely, _CELL), name)
+
+
+def _confirmed(likely: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) of the cells, enough to connect what is similar in each."""
     need = stage(likely.select(F.col("id").alias("doc_id")).distinct(), f"{name}-need")
     sets = shingle_sets(docs.join(need, "doc_id", "left_semi")).withColumn("h", F.xxhash64("shingles"))
     sets = stage(sets.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("id"), "shingles"), f"{name}-sets")
-    links = stage(dealt(likely.join(sets, "id").select(*_CELL_FIELDS, "shingles")).mapInPandas(_linked, "a long, b long").distinct(), f"{name}-links")
-    drop_stage(likely, need, sets)
+    links = stage(_dealt(likely.join(sets, "id").select(*_CELL_FIELDS, "shingles")).mapInPandas(_linked, "a long, b long").distinct(), f"{name}-links")
+    drop_stage(need, sets)
     return links
 
 
@@ -267,17 +297,18 @@ def link_classes(classes: DataFrame, docs: DataFrame, trees: int = TREES) -> Dat
     met = _met(_branch(roots, 0), "cp-met")
     star = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     links = verified(star, classes, docs, "cp-star")
-    rows = met
+    comps = stage(components(links), "cp-comps")
+    rows, cells = met, []
     for level in range(1, DEPTH + 1):
-        comps = stage(components(links), f"cp-comps-{level}")
         live = _open(rows, comps, f"cp-open-{level}")
         small = live if level == DEPTH else live.where(F.col("work") <= SMALL)
-        links = stage(links.union(_compare(small, classes, docs, f"cp-{level}")), f"cp-joined-{level}")
+        cells.append(_likely_cells(small, classes, f"cp-likely-{level}"))
         large = live.where(F.col("work") > SMALL).select("node", "id")
         if level == DEPTH or large.isEmpty():
             break
         rows = _met(_branch(large.join(classes, "id"), level), f"cp-met-{level}")
-    return stage(components(links), "cp-all")
+    more = _confirmed(reduce(DataFrame.union, cells), docs, "cp-more")
+    return stage(components(links.union(more)), "cp-all")
 
 
 def near_components(docs: DataFrame, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
