@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+TEXT_ROWS = 1000
 _own: list[str] = []  # this process's folder for sessions that name none, as in tests
 
 
@@ -53,6 +54,15 @@ def drop_stage(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose whole texts go to Python: Arrow batches of its session hold at most ``TEXT_ROWS``
+    rows from here on, as some texts are very long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def groups_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

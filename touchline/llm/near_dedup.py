@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_stage, stage
+from .common import components, drop_stage, stage, text_batches
 
 WORDS = 5
 PERCENT = 75
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             parts = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "s1": parts[:, 0], "s2": parts[:, 1], "tokens": [minwise(s) if len(s) else None for s in sets]})
 
-    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, tokens array<int>")
+    return text_batches(docs).mapInPandas(run, "doc_id long, n long, s1 long, s2 long, tokens array<int>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": [shingle_set(t).view(np.int64) for t in pdf["text"]]})
 
-    return docs.mapInPandas(run, "doc_id long, shingles array<long>")
+    return text_batches(docs).mapInPandas(run, "doc_id long, shingles array<long>")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_for, stage
+from .common import groups_for, stage, text_batches
 from .tokens import encoder, vocabulary
 
 ROOM = 1024
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({**out, "doc_id": pd.array(out["doc_id"], dtype="Int64")})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return text_batches(rows).mapInPandas(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def _pack_group(room: int, round_no: int):

@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, text_batches
 from .tokens import encoder, vocabulary
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -40,7 +40,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k", vocab: str |
             yield pdf[["doc_id", "source", "lang"]].assign(tokens=[len(enc.ids(t)) // 4 for t in pdf["text"]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
-    return rows.mapInPandas(run, "doc_id long, source string, lang string, tokens long").withColumn("tokenizer", F.lit(tokenizer))
+    return text_batches(rows).mapInPandas(run, "doc_id long, source string, lang string, tokens long").withColumn("tokenizer", F.lit(tokenizer))
 
 
 def inserts(counted: DataFrame) -> DataFrame:

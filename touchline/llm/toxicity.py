@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, text_batches
 
 THRESHOLD = 0.7
 MAX_TRAIN = 12_000
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_wo
     pick = rows.orderBy("_h", "_id").limit(max_train).select("_id", "_y")
     pick = stage(pick, "tox-pick")
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(pick), "_id")  # at most max_train rows
-    text = stage(text, "tox-train")
+    text = text_batches(stage(text, "tox-train"))
 
     def words_of(batches):
         for pdf in batches:
@@ -138,18 +138,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_wo
     return Model(bias, {word: float(w[i]) for word, i in chosen.items()})
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score`` in the place of all other columns but the ones kept: see the queries.
+def scorer(model: Model):
+    """A function from a text column to its score; only texts go to Python, only numbers come back."""
 
-    Columns pass through as they are, save the text, which the result leaves out."""
-    keep = [c for c in docs.columns if c != text_col]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in text], dtype=float)
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf[keep].assign(_score=[model.score(t) for t in pdf[text_col]])
+    return run
 
-    return docs.mapInPandas(run, f"{fields + ', ' if keep else ''}_score double")
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_score``, the score of its text; other columns pass through as they are."""
+    return text_batches(docs).withColumn("_score", scorer(model)(F.col(text_col)))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +167,7 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "
             frame = pd.DataFrame(out, columns=["doc_id", "start", "end", "sentence_score"])
             yield frame.assign(doc_id=pd.array([x[0] for x in out], dtype="Int64"))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, start long, end long, sentence_score double")
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, start long, end long, sentence_score double")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
