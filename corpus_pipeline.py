@@ -18,7 +18,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     labels = read(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     model = toxicity.train(docs.where(fold != 1), labels.where(fold != 1))
-    out = toxicity.score(docs.withColumn("_read", F.col("text")), model, "_read")
+    out = toxicity.score(docs, model)
     return out.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
