@@ -63,6 +63,28 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def mask_of(keys: DataFrame, key: str, most_bits: int = 1 << 26) -> DataFrame:
+    """A bit mask of the long column ``key``: rows (word, mask), for ``in_mask``.
+
+    About 16 bits a key, ``most_bits`` at most, so it never has more than ``most_bits`` / 64 rows and may
+    be broadcast; with more keys than that it lets more rows through and loses none."""
+    bits = 1 << min(most_bits.bit_length() - 1, max(16, (16 * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = keys.select(at.alias("__at")).groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__at & 63 as int))")).alias("__mask"))
+    return words.withColumn("__bits", F.lit(bits).cast("long"))
+
+
+def in_mask(rows: DataFrame, mask: DataFrame, key: str, outside: bool = False) -> DataFrame:
+    """The rows whose ``key`` may be among the mask's keys, without a shuffle of ``rows``; with
+    ``outside`` the others, which surely aren't, null keys among them."""
+    bits = mask.select(F.max("__bits")).first()[0] or 64
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = F.broadcast(mask.select("__word", "__mask"))
+    tagged = rows.withColumns({"__at": at, "__word": F.shiftright(at, 6)}).join(words, "__word", "left")
+    hit = F.col(key).isNotNull() & (F.expr("shiftright(coalesce(__mask, 0L), cast(__at & 63 as int)) & 1L") == 1)
+    return tagged.where(~hit if outside else hit).select(*rows.columns)
+
+
 def groups_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 

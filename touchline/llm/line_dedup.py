@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import in_mask, mask_of, stage
 
 MIN_CHARS = 20
 _LAST = 9223372036854775807
@@ -56,8 +56,9 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     halves = first.select("h1", "h2", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k"))
     shared = halves.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
     may = stage(halves.join(shared, "k", "left_semi").select("h1", "h2").distinct(), "line-may")
+    few = in_mask(lines, stage(mask_of(may, "h1"), "line-mask"), "h1")  # most lines end here, unshuffled
     texts = stage(
-        lines.join(may, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line")), "line-text"
+        few.join(may, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line")), "line-text"
     )
 
     gone = texts.select("h1", "h2", "place", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("at"))
@@ -109,11 +110,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines that stay keep their characters, order and separators; a text whose lines all go is empty.
     """
     gone = dropped_lines(docs, id_col, text_col, min_chars).groupBy("place_id").agg(
-        F.collect_set("line_no").alias("_gone"), F.sum((F.col("reason") == "exact").cast("long")).alias("_exact"), F.sum((F.col("reason") == "near").cast("long")).alias("_near")
+        F.collect_set("line_no").alias("__gone"), F.sum((F.col("reason") == "exact").cast("long")).alias("_exact"), F.sum((F.col("reason") == "near").cast("long")).alias("_near")
     )
-    joined = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).join(gone.withColumnRenamed("place_id", "_key"), "_key", "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    gone = stage(gone.withColumnRenamed("place_id", "__key"), "line-gone")
+    # only texts that lose lines are shuffled
+    keyed, mask = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))), stage(mask_of(gone, "__key"), "line-gone-mask")
+    joined = in_mask(keyed, mask, "__key").join(gone, "__key", "left").unionByName(in_mask(keyed, mask, "__key", outside=True), allowMissingColumns=True)
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce("_exact", F.lit(0)).alias("_exact"), F.coalesce("_near", F.lit(0)).alias("_near")
     )
