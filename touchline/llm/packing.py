@@ -86,8 +86,8 @@ def token_pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
         enc, end = encoder(vocab), np.asarray([END_ID], dtype="<u4").tobytes()
         for pdf in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
-            for doc, row, text in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), pdf["text"].tolist()):
-                ids = enc.ids(text) + end
+            for doc, row, ids in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), enc.many(pdf["text"].tolist())):
+                ids += end
                 n = len(ids) // 4
                 first = n - (-(-n // room) - 1) * room
                 bounds = [0, *range(first, n + 1, room)]

@@ -11,10 +11,14 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Characters that Python's ``\s`` takes for space and the tokenizer doesn't.
 ODD = re.compile("[\x1c-\x1f]")
 MEMO = 400_000
+GROUP = 1_000_000
+WORDS = 256
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -35,30 +39,59 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token; byte-level tokens have a character for each
+        for token, i in vocab.items():
+            self.width[i] = len(token)
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if ODD.search(text):
-            return self.plain([text])[0]
-        chunks, memo = CHUNK.findall(text), self.memo
-        try:
-            return b"".join([memo[c] for c in chunks])
-        except KeyError:
-            new = list({c for c in chunks if c not in memo})
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(set(chunks))
-            memo.update(zip(new, self.plain(new)))
-            out = b"".join([memo[c] for c in chunks])
-            if len(memo) > MEMO:
-                memo.clear()
-            return out
+        return next(self.many([text]))
+
+    def many(self, texts):
+        """The ids of each text, in order; texts are taken together up to ``GROUP`` characters."""
+        group, size = [], 0
+        for t in texts:
+            t = t if isinstance(t, str) else ""
+            if group and size + len(t) > GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+            group.append(t)
+            size += len(t)
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]):
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        cut = [None if ODD.search(t) else CHUNK.findall(t) for t in texts]
+        self._learn(set().union(*(c for c in cut if c)).difference(memo))
+        for text, chunks in zip(texts, cut):
+            yield self.plain([text])[0] if chunks is None else b"".join([memo[c] for c in chunks])
+
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of chunks into the memo.  Words are encoded many to a text, each behind a blank
+        or, if it has none, a line feed; the bytes that tokens stand for tell where a word's ids end."""
+        blank, bare, space = [], [], []
+        for c in new:
+            (space if c.isspace() else blank if c[0] == " " else bare).append(c)
+        self.memo.update(zip(space, self.plain(space)))
+        for words, lead in ((blank, ""), (bare, "\n")):
+            if not words:
+                continue
+            texts = [lead + lead.join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
+            ids = np.concatenate([np.asarray(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+            read = np.cumsum(self.width[ids])
+            ends = np.cumsum([len(lead) + len(w.encode()) for w in words])
+            stop = np.searchsorted(read, ends) + 1
+            start = np.concatenate([[0], stop[:-1]])
+            if read[-1] != ends[-1] or (read[stop - 1] != ends).any() or (lead and (self.width[ids[start]] != 1).any()):
+                self.memo.update(zip(words, self.plain(words)))  # not a byte-level vocabulary as described above
+                continue
+            raw = ids.tobytes()
+            self.memo.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, (start + len(lead)).tolist(), stop.tolist()))
 
 
 def encoder(path: str) -> Encoder:
