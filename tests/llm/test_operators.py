@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from oracle import connect, same_rows
 from touchline.llm import ann, archives, line_dedup, mixing, near_dedup, packing, queries, secrets, token_counts, toxicity, vector_graph
-from touchline.llm.common import components, stage
+from touchline.llm.common import components, in_mask, mask_of, stage
 from touchline.llm.tokens import encoder, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -373,3 +373,24 @@ def test_pipeline(spark):
     assert ids(after) == {r["doc_id"] for r in mixing.mix(before).where("taken > 0").collect()}
     before, after = stages["packing"]
     assert after.where("piece = 0").count() == before.count()
+
+
+def test_encoder_agrees_with_the_tokenizer_on_whole_texts():
+    draw = random.Random(3)
+    letters = list(" \n\t\r\x0b\x0c\x1c\x85\xa0 　​ab'sS1_-<|>#.é漢字２😀한") + ["'ll", "\r\n", "  ", "<|endoftext|>"]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(5000)] + ["x" * 5000, " " * 3000, ""]
+    enc = encoder(vocabulary())
+    assert list(enc.many(texts)) == enc.plain(texts)
+    assert list(enc.many([None, ""])) == [b"", b""]
+
+
+def test_a_mask_loses_no_key_even_when_full(spark):
+    rows = spark.range(20000).select(F.when(F.col("id") > 0, F.col("id") - 10000).alias("k"), F.lit(1).alias("word"))
+    keys = rows.where("k % 3 = 0").select("k")
+    for most in (64, 1 << 26):
+        mask = mask_of(keys, "k", most)
+        inside, outside = in_mask(rows, mask, "k"), in_mask(rows, mask, "k", outside=True)
+        assert inside.where("k % 3 = 0").count() == keys.count()
+        assert inside.count() + outside.count() == rows.count() and inside.columns == rows.columns
+    assert outside.where("k is null").count() == 1 and outside.count() > 12000
+    assert in_mask(rows, mask_of(keys.limit(0), "k"), "k").count() == 0
