@@ -351,6 +351,26 @@ def test_vector_graph(spark):
     assert vector_graph.near_vectors(df.limit(0)).count() == 0
 
 
+def exact_graph(v):
+    """(n_links, component) of each vector, all pairs compared."""
+    u = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(v))
+    for _ in v:
+        comp = np.array([min([comp[i], *comp[link[i]]]) for i in range(len(v))])
+    return [(int(k), int(c)) for k, c in zip(link.sum(axis=1), comp)]
+
+
+def test_vector_graph_bridge(spark):
+    """Both ends of the only link between two groups have four nearer partners and a smaller id in their own."""
+    at = {0: 0, 2: 1, 4: 2, 6: 3, 8: 4, 9: 22, 7: 23, 5: 24, 3: 25, 1: 26}
+    v = [[np.cos(np.radians(at[i])), np.sin(np.radians(at[i]))] for i in range(10)]
+    df = spark.createDataFrame([(i, [float(p) for p in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], (r["n_links"], r["component_id"])) for r in vector_graph.near_vectors(df).collect())
+    assert [g for _, g in got] == exact_graph(v) and {c for _, (_, c) in got} == {0}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 

@@ -186,18 +186,28 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": np.array(src, "int64"), "dst": np.array(dst, "int64")})
 
 
+def join_groups(v: np.ndarray, i: int, x: np.ndarray, hit: np.ndarray, label: np.ndarray) -> list[int]:
+    """Of the nodes ``hit``, those confirmed to link with vector ``v`` of node ``i`` that join two groups of
+    ``label``, which is updated."""
+    out, new = [], hit[label[hit] != label[i]]
+    if len(new):
+        for j in new[cosine(x[new], np.broadcast_to(v, (len(new), x.shape[1]))) >= LEAST]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append(int(j))
+    return out
+
+
 def _search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of the shard's home vectors: to the smallest id in range and to the nearest few."""
+    """Links of the shard's home vectors: every link found joins its ends; those that join two groups
+    are given out, at most one less than the shard has vectors."""
     ids, x = pdf["cls"].to_numpy(), matrix(pdf["vec"])
     u, place = unit(x), {c: i for i, c in enumerate(pdf["cls"].tolist())}
     adj = [np.array([place[b] for b in (a if a is not None else ()) if b in place], int) for a in pdf["adj"]]
-    start, out = medoid(u), []
+    start, out, label = medoid(u), [], np.arange(len(u))
     for i in np.flatnonzero(pdf["home"].to_numpy()):
         hit = range_search(u, adj, int(i), start)
-        if len(hit):
-            some = np.unique(np.concatenate([hit[:4], [hit[np.argmin(ids[hit])]]]))
-            c = cosine(x[some], np.broadcast_to(x[i], (len(some), x.shape[1])))
-            out += [(int(ids[i]), int(ids[j])) for j in some[c >= LEAST]]
+        out += [(int(ids[i]), int(ids[j])) for j in join_groups(x[i], int(i), x, hit, label)]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
