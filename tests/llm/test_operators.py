@@ -371,6 +371,44 @@ def test_vector_graph_bridge(spark):
     assert [g for _, g in got] == exact_graph(v) and {c for _, (_, c) in got} == {0}
 
 
+def test_vector_graph_is_exact_where_the_search_fails(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 8))
+    v = [(base[i % 40] + rng.normal(size=8) * rng.choice([0.1, 0.3])).tolist() for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector_graph, "_links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(vector_graph, "SHARD", 40)
+    monkeypatch.setattr(vector_graph, "BLOCK", 16)
+    got = sorted((r["vec_id"], (r["n_links"], r["component_id"])) for r in vector_graph.near_vectors(df).collect())
+    assert [g for _, g in got] == exact_graph(v)
+
+
+def test_vector_graph_audit_looks_at_linked_vectors(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(4000, 16))
+    v[1:3] = v[0] + [[0.01], [0.02]]
+    cls = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "cls long, vec array<double>, size long")
+    counts = lambda k: spark.createDataFrame([(i, k) for i in (0, 1, 2)], "cls long, linked long")
+    assert vector_graph.audit(cls, counts(2), 4000) == 1.0 and vector_graph.audit(cls, counts(1), 4000) < 1.0
+
+
+def test_vector_graph_clusters_grow_in_number(spark, monkeypatch):
+    """One clustering of a few clusters far above the target size still brings most linked pairs together."""
+    rng = np.random.default_rng(10)
+    a = rng.normal(size=(1500, 16))
+    b = a + rng.normal(size=a.shape) * 0.32 * np.linalg.norm(a, axis=1, keepdims=True) / 4
+    v = np.concatenate([a, b])
+    monkeypatch.setattr(vector_graph, "SHARD", 30)
+    monkeypatch.setattr(vector_graph, "SAMPLE", 40)
+    cls = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "cls long, vec array<double>, size long")
+    shards = vector_graph._shards(cls, len(v), 1, "t").toPandas()
+    assert shards.groupby("shard").size().max() <= 4 * 30 * 2
+    home = shards[shards.home].groupby("cls").size()
+    assert len(home) == len(v) and (home == 1).all()
+    held = {c: set(s) for c, s in shards.groupby("cls").shard}
+    assert np.mean([bool(held[i] & held[i + 1500]) for i in range(1500)]) >= 0.9
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 

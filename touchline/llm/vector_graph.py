@@ -1,8 +1,9 @@
 """Embedding near-dedup (operator 10): a robust-pruned flat graph and range search.
 
 * Shards: several clusterings (k-means on at most ``SAMPLE`` vectors each); a vector goes to its
-  ``OVERLAP`` nearest clusters.  A cluster above the target size is cut along a random direction at
-  sample quantiles, neighbouring parts overlapping, so no task holds an unbounded group.
+  ``OVERLAP`` nearest clusters.  A cluster above the target size is clustered again on a sample of its
+  own, so clusters grow in number with the table; what k-means can't part is cut along a random direction
+  at sample quantiles, neighbouring parts overlapping, so no task holds an unbounded group.
 * Graph: in each shard a vector's nearest others are pruned robustly (a neighbour goes if a closer one
   leads to it by a factor ``ALPHA``); the adjacency lists of all shards are united.
 * Search: from the shard's medoid, greedily towards each vector with a beam, then outward through all
@@ -10,8 +11,9 @@
   precision; they make the components.
 * Count: links lie inside components, so each vector's number of links is counted in its component,
   blocks of a large component against each other, without making pairs.
-* Audit: a bounded sample of vectors is compared with all rows; while a link is missing, further
-  clusterings are added, up to ``TRIES`` times.
+* Audit: a sample of vectors that grows with the root of the table, half of it of vectors with links, is
+  compared with all rows; while a link is missing, further clusterings are added, up to ``TRIES`` times.
+  If one is missing still, all pairs are compared that a bound on distances to pivots doesn't rule out.
 
 Equal vectors are one class; a vector that very many rows share is one node.
 
@@ -22,6 +24,8 @@ different dimension never link; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,6 +44,7 @@ ALPHA = 1.2
 BEAM = 8
 BLOCK = 2048
 AUDIT = 200
+REFINE = 10_000
 TRIES = 3
 _EPS = 1e-9
 
@@ -123,13 +128,52 @@ def range_search(u: np.ndarray, adj: list[np.ndarray], q: int, start: int, least
         fresh = list({int(y) for x in step for y in adj[x]} - seen)
 
 
-def _shards(cls: DataFrame, n: int, seed: int, name: str) -> DataFrame:
-    """(shard, cls, vec, size, home): overlapping cluster shards of one clustering."""
+def _centres(cls: DataFrame, n: int, seed: int) -> np.ndarray:
+    """Centroids of a sample of the most common dimension's vectors."""
     sample = cls.where(F.size("vec") == cls.select(F.size("vec").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()["d"])
     x = unit(matrix([r["vec"] for r in sample.orderBy(F.xxhash64("cls", F.lit(seed)), "cls").limit(SAMPLE).select("vec").collect()]))
     k = min(groups_for(n, SHARD), max(1, len(x) // 8))
-    c, line = k_means(x, k, seed), np.random.default_rng(seed + 1).normal(size=x.shape[1])
-    dim = x.shape[1]
+    return k_means(x, k, seed)
+
+
+def _refined(rows: DataFrame, seed: int, name: str) -> DataFrame:
+    """``rows`` with each cluster above the target size clustered again; new clusters overlap alike."""
+    big = {r["cluster"]: r["count"] for r in rows.groupBy("cluster").count().where(F.col("count") > 2 * OVERLAP * SHARD).collect()}
+    if not big:
+        return rows
+    each, size = REFINE, SHARD
+    counted = rows.sparkSession.createDataFrame(list(big.items()), "cluster long, c long")
+    sample = rows.join(F.broadcast(counted), "cluster").where(F.pmod(F.xxhash64("cls", F.lit(seed + 1)), F.col("c")) < each)
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit(matrix(pdf["vec"]))
+        k = min(groups_for(int(pdf["c"].iloc[0]), size), max(1, len(x) // 8))
+        return pd.DataFrame({"cluster": [key[0]], "centres": [k_means(x, k, seed).astype("float32").tobytes()]})
+
+    fitted = sample.select("cluster", "c", "vec").groupBy("cluster").applyInPandas(fit, "cluster long, centres binary").collect()
+    fitted = {r["cluster"]: bytes(r["centres"]) for r in fitted}  # 4 bytes a dimension for each SHARD rows
+
+    def assign(batches):
+        for pdf in batches:
+            for cl, part in pdf.groupby("cluster", sort=False):
+                if cl not in fitted:
+                    yield part.assign(cluster=int(cl) << 12)
+                    continue
+                u = unit(matrix(part["vec"]))
+                c = np.frombuffer(fitted[cl], "float32").reshape(-1, u.shape[1])
+                top = np.argsort(-(u @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+                at = np.repeat(np.arange(len(part)), top.shape[1])
+                first = np.tile(np.arange(top.shape[1]) == 0, len(part))
+                yield part.iloc[at].assign(cluster=(int(cl) << 12) + 1 + top.ravel(), home=part["home"].to_numpy()[at] & first)
+
+    return stage(rows.mapInPandas(assign, rows.schema), f"{name}-refined")
+
+
+def _shards(cls: DataFrame, n: int, seed: int, name: str) -> DataFrame:
+    """(shard, cls, vec, size, home): overlapping cluster shards of one clustering."""
+    c = _centres(cls, n, seed)
+    k, dim = c.shape
+    line = np.random.default_rng(seed + 1).normal(size=dim)
 
     def assign(batches):
         for pdf in batches:
@@ -145,6 +189,7 @@ def _shards(cls: DataFrame, n: int, seed: int, name: str) -> DataFrame:
                 yield pd.DataFrame({"cluster": k + odd["vec"].map(len), "along": 0.0, "home": True, "cls": odd["cls"], "vec": odd["vec"], "size": odd["size"]})
 
     rows = stage(cls.mapInPandas(assign, "cluster long, along double, home boolean, cls long, vec array<double>, size long"), f"{name}-assign")
+    rows = _refined(rows, seed, name)
     big = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.percentile_approx("along", [i / 256 for i in range(1, 256)], 2000).alias("cuts")).where(F.col("c") > 2 * OVERLAP * SHARD)
     cuts: dict[int, np.ndarray] = {}
     for r in big.collect():  # at most one row for each cluster
@@ -226,6 +271,60 @@ def _links(cls: DataFrame, n: int, seeds: range) -> DataFrame:
     return stage(found.distinct(), "vg-links")
 
 
+def _pairs(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links of all pairs of ``left`` and ``right`` that join two groups."""
+    out = []
+    if len(left) and len(right):
+        ids = np.unique(np.concatenate([left["cls"], right["cls"]]))
+        a, b = np.searchsorted(ids, left["cls"]), np.searchsorted(ids, right["cls"])
+        y = matrix(right["vec"])
+        x = np.zeros((len(ids), y.shape[1]))
+        x[a], x[b] = matrix(left["vec"]), y
+        u, label = unit(x), np.arange(len(ids))
+        for lo in range(0, len(a), 256):
+            close = u[a[lo : lo + 256]] @ u[b].T >= LEAST - _EPS
+            for i, row in zip(a[lo : lo + 256], close):
+                out += [(int(ids[i]), int(ids[j])) for j in join_groups(x[i], int(i), x, b[row], label)]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def exact_links(cls: DataFrame, n: int) -> DataFrame:
+    """Links that make the true components: none is missed, whatever the vectors.
+
+    A vector is at home in the cell of its nearest pivot.  If x, at home with p, links with y, at home with
+    q, then x.(p - q) <= (x - y).(p - q) <= |x - y| |p - q|, and |x - y|^2 is at most 2 - 2 * LEAST; x is
+    compared with the cells that this leaves, in blocks.  Without structure that is all of them."""
+    c = _centres(cls, n, 0)
+    reach = np.sqrt(2 - 2 * LEAST) * np.linalg.norm(c[:, None] - c[None], axis=2) + 1e-6
+
+    def assign(batches):
+        for pdf in batches:
+            d = pdf["vec"].map(len)
+            rows = pdf[d == c.shape[1]]
+            for lo in range(0, len(rows), 512):
+                part = rows.iloc[lo : lo + 512]
+                s = unit(matrix(part["vec"])) @ c.T
+                own = np.argmax(s, axis=1)
+                near = s[np.arange(len(s)), own][:, None] - s <= reach[own]
+                near &= np.arange(len(c)) >= own[:, None]  # of a pair the one with the lower cell goes to the other's
+                at, cell = np.nonzero(near)
+                yield pd.DataFrame({"dim": c.shape[1], "cell": cell, "home": cell == own[at], "cls": part["cls"].to_numpy()[at], "vec": part["vec"].to_numpy()[at]})
+            odd = pdf[d != c.shape[1]]
+            if len(odd):
+                yield pd.DataFrame({"dim": odd["vec"].map(len), "cell": 0, "home": True, "cls": odd["cls"], "vec": odd["vec"]})
+
+    rows = stage(cls.select("cls", "vec").mapInPandas(assign, "dim long, cell long, home boolean, cls long, vec array<double>"), "vg-exact")
+    parts = lambda c: F.ceil(F.sum(c) / BLOCK).cast("int")
+    sizes = rows.groupBy("dim", "cell").agg(parts(F.lit(1)).alias("m"), parts(F.col("home").cast("int")).alias("k")).where("k > 0")
+    held = rows.join(stage(sizes, "vg-exact-sizes"), ["dim", "cell"])
+    held = held.withColumns({"i": F.pmod(F.xxhash64("cls"), F.col("m")).cast("int"), "j": F.pmod(F.xxhash64("cls", F.lit(1)), F.col("k")).cast("int")})
+    left = held.select("dim", "cell", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"), "cls", "vec")
+    same = [F.col(c).alias(c) for c in ("dim", "cell", "j", "cls", "vec")]  # new columns, as both sides have one source
+    right = held.where("home").select(F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), *same)
+    keys = ["dim", "cell", "i", "j"]
+    return stage(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_pairs, "a long, b long").distinct(), "vg-exact-links")
+
+
 def _count_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows that the ``own`` ones of each component link with among the others."""
     out = []
@@ -260,8 +359,11 @@ def count_links(cls: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def audit(cls: DataFrame, counts: DataFrame, n: int) -> float:
-    """Share of the true links of a bounded sample of classes that ``counts`` (cls, linked) has."""
-    probe = cls.orderBy(F.xxhash64("cls", F.lit(99)), "cls").limit(AUDIT).collect()
+    """Share of the true links of a sample of classes that ``counts`` (cls, linked) has: half of them any,
+    half ones with links."""
+    order, most = [F.xxhash64("cls", F.lit(99)), F.col("cls")], AUDIT + math.isqrt(n)
+    linked = cls.join(counts.where("linked > 0").select("cls"), "cls", "left_semi")
+    probe = {r["cls"]: r for some in (cls, linked) for r in some.orderBy(*order).limit(most).collect()}.values()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for r in probe:
         by_dim.setdefault(len(r["vec"]), ([], []))
@@ -270,13 +372,17 @@ def audit(cls: DataFrame, counts: DataFrame, n: int) -> float:
     by_dim = {d: (np.array(a), matrix(b)) for d, (a, b) in by_dim.items()}
 
     def run(batches):
+        truth = {d: np.zeros(len(ids), "int64") for d, (ids, _) in by_dim.items()}
         for pdf in batches:
             for d, part in pdf.groupby(pdf["vec"].map(len)):
                 if d in by_dim:
                     ids, x = by_dim[d]
-                    ok = (unit(x) @ unit(matrix(part["vec"])).T >= LEAST + _EPS) & (ids[:, None] != part["cls"].to_numpy()[None, :])
-                    got = ok @ part["size"].to_numpy()
-                    yield pd.DataFrame({"cls": ids, "truth": got})
+                    y, own, size = unit(matrix(part["vec"])), part["cls"].to_numpy(), part["size"].to_numpy()
+                    for lo in range(0, len(ids), 512):
+                        ok = (unit(x[lo : lo + 512]) @ y.T >= LEAST + _EPS) & (ids[lo : lo + 512, None] != own[None, :])
+                        truth[d][lo : lo + 512] += ok @ size
+        for d, (ids, _) in by_dim.items():
+            yield pd.DataFrame({"cls": ids, "truth": truth[d]})
 
     true = cls.mapInPandas(run, "cls long, truth long").groupBy("cls").agg(F.sum("truth").alias("truth")).where("truth > 0")
     both = true.join(counts, "cls", "left").select("truth", F.least("truth", F.coalesce("linked", F.lit(0))).alias("found"))
@@ -296,6 +402,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
         counts = stage(count_links(cls, comps), "vg-counts")
         if audit(cls, counts, n) >= 1.0:
             break
+    else:
+        if n:
+            comps = stage(components(links.union(exact_links(cls, n)), "vg-cc"), "vg-comps")
+            counts = stage(count_links(cls, comps), "vg-counts")
     ids = rows.select(F.col(id_col).cast("long").alias("vec_id"))
     if not n:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
