@@ -75,6 +75,19 @@ def test_line_dedup_brute(spark, odd):
     assert line_dedup.dedup_lines(odd).columns[: len(odd.columns)] == odd.columns
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    copy, own = "copy of an earlier line in the table", "a unique line of the second row"
+    rows = [(-5, copy), (None, copy), (None, own), (7, "the first text of seven, all its own"), (7, copy + "\n" + own), (7, "third text of seven: nothing alike"), (9223372036854775807, "the largest id has this one line")]
+    twin = "two rows without an id have this line"
+    rows += [(None, twin + "\nfirst"), (None, twin + "\nsecond")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((str(r["doc_id"]), r["text"], r["_exact"]) for r in out)
+    twins = [g for g in got if g[1].endswith(("first", "second"))]
+    want = [(str(i), t, 0) for i, t in rows if t.split("\n")[0] not in (copy, own, twin)] + [("-5", copy, 0), ("None", "", 1), ("None", "", 1), ("7", own, 1)]
+    assert sorted(g for g in got if g not in twins) == sorted(want)
+    assert sorted(n for _, _, n in twins) == [0, 1] and sum(twin in t for _, t, _ in twins) == 1
+
+
 def test_toxicity(spark, odd):
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(300)]

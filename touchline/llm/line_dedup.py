@@ -4,7 +4,8 @@ Native: DataFrame and SQL functions only.
 
 * A line is a ``\\n``-separated piece of a text; it is compared after ``trim``.  Lines under
   ``min_chars`` characters are never touched.
-* A line's place is (doc_id, line number); null doc_ids come last.  A later line goes if an earlier
+* A line's place is (doc_id, text, line number), the text told apart by its hash only where an id is
+  null or repeated; null doc_ids come last.  A later line goes if an earlier
   line equals it or is one edit (insert, delete or substitute one character) away from it.
 * Two lines are one edit apart iff they share a deletion variant: both lose the same position
   (substitution), or one is the other less a character (insertion).  So each group of equal variants
@@ -14,8 +15,9 @@ Native: DataFrame and SQL functions only.
   lines one edit apart the first or the second half (cut by the shorter length) is equal, so a line
   whose four half keys nobody shares has no partner.
 
-Edge cases: null or empty texts stay as they are; rows that repeat a doc_id count as the same place,
-so exact repeats of a row get the same result; extra columns pass through.
+Edge cases: null or empty texts stay as they are; exact repeats of a row (doc_id and text, a null id
+too) count as the same place and get the same result; rows that share an id but not the text are
+documents of their own, as are rows with null ids; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -30,22 +32,45 @@ MIN_CHARS = 20
 _LAST = 9223372036854775807
 
 
-def _place(doc_id, line_no):
-    wide = F.coalesce(doc_id.cast("long"), F.lit(_LAST)).cast("decimal(20,0)")
-    return (wide * F.lit(2147483648).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
+_STEP = "cast(2147483648 as decimal(10,0))"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__key``, in order of the doc_id, null ids last: one for each doc_id and text."""
+    ids = docs.select(F.col(id_col).cast("long").alias("__id")).where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
+    ids = stage(ids, "line-ids")
+    # ranks of the texts of a repeated id, by hash; null ids, which may be very many, take the hash itself
+    known, digest = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    rows = docs.withColumn("__id", known)
+    if ids.isEmpty():
+        ranked = rows.withColumn("__rank", F.lit(0))
+    else:
+        mask = stage(mask_of(ids, "__id"), "line-ids-mask")
+        some = in_mask(rows, mask, "__id").withColumn("__text", digest)
+        ranks = some.join(ids, "__id", "left_semi").select("__id", "__text").distinct()
+        ranks = stage(ranks.withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy("__text"))), "line-ranks")
+        ranked = some.join(ranks, ["__id", "__text"], "left").select(*rows.columns, "__rank")
+        ranked = ranked.unionByName(in_mask(rows, mask, "__id", outside=True), allowMissingColumns=True)
+    low = F.when(F.col("__id").isNull(), F.lit(2147483648).cast("decimal(20,0)") + F.shiftrightunsigned(digest, 1)).otherwise(F.coalesce("__rank", F.lit(0)).cast("decimal(20,0)"))
+    key = F.coalesce("__id", F.lit(_LAST)).cast("decimal(20,0)") * F.expr(_STEP) + low
+    return ranked.withColumn("__key", key.cast("decimal(29,0)")).drop("__id", "__rank")
+
+
+def _place(key, line_no):
+    return (key * F.expr(_STEP) + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def _lines(keyed: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     """(place, line, h1, h2) of the lines that take part."""
-    cut = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_no", "_raw"))
+    cut = keyed.select(F.col("__key").alias("_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_no", "_raw"))
     line = cut.select(_place(F.col("_id"), F.col("_no")).alias("place"), F.trim("_raw").alias("line")).where(F.length("line") >= min_chars)
     return line.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
 
-def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def near_lines(keyed: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(first, near): each distinct line's first place; distinct lines with an earlier one-edit
     partner, verified by edit distance, with that partner's place as ``witness``."""
-    lines = _lines(docs, id_col, text_col, min_chars)
+    lines = _lines(keyed, text_col, min_chars)
     n, half = F.length("line"), lambda n: F.floor(n / 2).cast("int")
     keys = []
     for size in (n, n - 1):  # the line as the shorter, or the longer, of a pair
@@ -89,17 +114,16 @@ def near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return first.select("h1", "h2", "place"), stage(near, "line-near")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, reason): reason ``exact`` or ``near``, one row per document line that goes."""
-    first, near = near_lines(docs, id_col, text_col, min_chars)
-    own = _lines(docs, id_col, text_col, min_chars).select("place", "h1", "h2")
+def dropped_lines(keyed: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(__key, line_no, reason): reason ``exact`` or ``near``, one row per document line that goes."""
+    first, near = near_lines(keyed, text_col, min_chars)
+    own = _lines(keyed, text_col, min_chars).select("place", "h1", "h2")
     verdict = first.join(near.withColumn("is_near", F.lit(True)), ["h1", "h2"], "left")
     tagged = own.join(verdict.select("h1", "h2", F.col("place").alias("start"), "is_near"), ["h1", "h2"])
     out = tagged.where("place > start or is_near")
-    doc = F.expr("cast(place div cast(2147483648 as decimal(10,0)) as bigint)")
     return out.select(
-        doc.alias("place_id"),
-        F.expr("cast(place % cast(2147483648 as decimal(10,0)) as int)").alias("line_no"),
+        F.expr(f"cast(floor((place - pmod(place, {_STEP})) / {_STEP}) as decimal(29,0))").alias("__key"),
+        F.expr(f"cast(pmod(place, {_STEP}) as int)").alias("line_no"),
         F.when(F.col("place") > F.col("start"), "exact").otherwise("near").alias("reason"),
     ).distinct()
 
@@ -109,12 +133,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines that stay keep their characters, order and separators; a text whose lines all go is empty.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_chars).groupBy("place_id").agg(
+    keyed = _keyed(docs, id_col, text_col)
+    gone = dropped_lines(keyed, text_col, min_chars).groupBy("__key").agg(
         F.collect_set("line_no").alias("__gone"), F.sum((F.col("reason") == "exact").cast("long")).alias("_exact"), F.sum((F.col("reason") == "near").cast("long")).alias("_near")
     )
-    gone = stage(gone.withColumnRenamed("place_id", "__key"), "line-gone")
+    gone = stage(gone, "line-gone")
     # only texts that lose lines are shuffled
-    keyed, mask = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))), stage(mask_of(gone, "__key"), "line-gone-mask")
+    mask = stage(mask_of(gone, "__key"), "line-gone-mask")
     joined = in_mask(keyed, mask, "__key").join(gone, "__key", "left").unionByName(in_mask(keyed, mask, "__key", outside=True), allowMissingColumns=True)
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
