@@ -196,6 +196,12 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_ann_of_repeated_rows(spark):
+    v = [(0, [1.0, 0.1])] + [(7, [1.0, 0.0])] * 6 + [(i, [1.0, 0.0]) for i in (8, 9, 10, 11)] + [(20, [0.0, 1.0])]
+    got = ann.search(spark.createDataFrame(v, "vec_id long, embedding array<double>")).toPandas().sort_values("rank")
+    assert got[got.query_id == 0].vec_id.tolist() == [7, 8, 9, 10, 11]
+
+
 def test_multi_index_is_exact():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)

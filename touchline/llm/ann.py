@@ -147,9 +147,9 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
     hits = index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(run, "q_cls long, cls long, score double")
     order = Window.partitionBy("q_cls").orderBy(F.col("score").desc(), "cls")
     hits = stage(hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"), "mih-hits")
-    # of a class, its k + 1 smallest ids are enough
+    # of a class, its k + 1 smallest distinct ids are enough
     first = Window.partitionBy("cls").orderBy("id")
-    few = members.join(hits.select("cls").distinct(), "cls", "left_semi").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("cls", F.col("id").alias("vec_id"))
+    few = members.join(hits.select("cls").distinct(), "cls", "left_semi").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("cls", F.col("id").alias("vec_id"))
     few = stage(few, "mih-few")
     full = asked.select(F.col("id").alias("query_id"), F.col("cls").alias("q_cls")).distinct().join(hits, "q_cls").join(few, "cls").where("vec_id <> query_id").select("query_id", "vec_id", "score").distinct()
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
