@@ -145,18 +145,29 @@ def test_warc(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'’s12.,!éß  \x1c<|endoftext|>")), max_size=80))
 def test_tokens_equal_the_tokenizer(text):
-    enc = encoder(vocabulary())
-    assert enc.ids(text) == enc.plain([text])[0]
+    assert encoder(vocabulary()).ids(text).tolist() == public_ids(text)
+
+
+def public_ids(text):
+    """The contract's ids, by the public tokenizer alone."""
+    from tokenizers import Tokenizer
+
+    if not _public:
+        _public.append(Tokenizer.from_file(vocabulary()))
+        _public[0].encode_special_tokens = True
+    return _public[0].encode(text, add_special_tokens=False).ids
+
+
+_public = []
 
 
 def test_packing(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
     out = packing.pack_documents(docs, each=60).toPandas()
     texts = docs.toPandas()
-    enc = encoder(vocabulary())
     want = []
     for d, t in zip(texts.doc_id, texts.text):
-        ids = np.append(np.frombuffer(enc.plain([t])[0] if t else b"", "<u4"), 2).astype("<u4")
+        ids = np.append(np.array(public_ids(t or ""), "<u4"), 2).astype("<u4")
         n, first = len(ids), (len(ids) - 1) % 1024 + 1
         cuts = [0, *range(first, n + 1, 1024)]
         want += [(None if d != d else int(d), k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
@@ -327,11 +338,11 @@ def test_components(spark):
 
 def test_token_counts(spark, odd):
     got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in token_counts.rollup_documents(odd).collect()}
-    enc, want = encoder(vocabulary()), {}
+    want = {}
     for r in odd.collect():
         k = (r["source"], r["lang"])
         a, b = want.get(k, (0, 0))
-        want[k] = (a + 1, b + (len(enc.plain([r["text"]])[0]) // 4 if r["text"] else 0))
+        want[k] = (a + 1, b + len(public_ids(r["text"] or "")))
     assert got == want
     roll = token_counts.Rollup(spark)
     row = lambda *r: spark.createDataFrame([r], token_counts.CHANGES)
@@ -452,13 +463,36 @@ def test_pipeline(spark):
     assert after.where("piece = 0").count() == before.count()
 
 
-def test_encoder_agrees_with_the_tokenizer_on_whole_texts():
+def test_encoder_agrees_with_the_tokenizer_on_whole_texts(spark):
     draw = random.Random(3)
-    letters = list(" \n\t\r\x0b\x0c\x1c\x85\xa0 　​ab'sS1_-<|>#.é漢字２😀한") + ["'ll", "\r\n", "  ", "<|endoftext|>"]
-    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(5000)] + ["x" * 5000, " " * 3000, ""]
+    letters = list(" \n\t\r\x0b\x0c\x1c\x85\xa0 　​ab'sS1_-<|>#.é漢字２😀한") + ["'ll", "\r\n", "  ", "<|endoftext|>"]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(5000)] + ["x" * 50000, " " * 3000, " " * 1000000 + "a", ""]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    enc = encoder(vocabulary())
+    assert enc.fast is not None
+    assert all(enc.ids(t).tolist() == public_ids(t) for t in texts)
+    assert len(enc.ids(None)) == 0
+
+
+def test_every_character_is_cut_alike():
+    """Of each block of 64 code points, those that both regexes could class otherwise, between letters, digits and signs."""
     enc = encoder(vocabulary())
-    assert list(enc.many(texts)) == enc.plain(texts)
-    assert list(enc.many([None, ""])) == [b"", b""]
+    for lo in range(0, 0x30000, 64):
+        if not 0xD800 <= lo < 0xE000:
+            text = "".join(f"a{chr(c)}a 1{chr(c)}2 .{chr(c)}!" for c in range(lo, lo + 64))
+            assert enc.ids(text).tolist() == public_ids(text)
+
+
+def test_a_vocabulary_that_is_no_table_of_ranks_goes_to_the_tokenizer(tmp_path):
+    import json
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        whole = json.load(f)
+    whole["model"]["merges"][:2] = whole["model"]["merges"][1::-1]
+    (tmp_path / "swapped.json").write_text(json.dumps(whole))
+    assert encoder(str(tmp_path / "swapped.json")).fast is None
+    other = encoder(vocabulary("word_bpe_49k.json"))
+    assert other.fast is None and len(other.ids("two words")) == 2
 
 
 def test_a_mask_loses_no_key_even_when_full(spark):

@@ -15,10 +15,12 @@ null doc_ids stay null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ from .tokens import encoder, vocabulary
 ROOM = 1024
 END_ID = 2
 PIECES_EACH = 50_000
-ROUNDS = 4
 
 
 def dff_bound(sizes, room: int = ROOM) -> int:
@@ -84,20 +85,35 @@ def token_pieces(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
 
     def cut(batches):
         enc, end = encoder(vocab), np.asarray([END_ID], dtype="<u4").tobytes()
-        for pdf in batches:
-            out: dict[str, list] = {c: [] for c in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
-            for doc, row, ids in zip(pdf["doc_id"].tolist(), pdf["row"].tolist(), enc.many(pdf["text"].tolist())):
-                ids += end
-                n = len(ids) // 4
-                first = n - (-(-n // room) - 1) * room
-                bounds = [0, *range(first, n + 1, room)]
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    for c, v in zip(out, (None if pd.isna(doc) else int(doc), row, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))):
-                        out[c].append(v)
-            yield pd.DataFrame({**out, "doc_id": pd.array(out["doc_id"], dtype="Int64")})
+        for batch in batches:
+            crcs, lengths = [], []
+            for text in batch.column("text").to_pylist():
+                ids = enc.ids(text)
+                n, raw = len(ids) + 1, ids.view(np.uint8)
+                lengths.append(n)
+                stops = range((n - 1) % room + 1, n, room)
+                at = 0
+                for stop in stops:
+                    crcs.append(zlib.crc32(raw[4 * at : 4 * stop]))
+                    at = stop
+                crcs.append(zlib.crc32(end, zlib.crc32(raw[4 * at :])))
+            n = np.array(lengths, np.int64)
+            count = -(-n // room)
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+            first = (n - (count - 1) * room)[doc]
+            columns = {
+                "doc_id": batch.column("doc_id").take(pa.array(doc)),
+                "row": batch.column("row").take(pa.array(doc)),
+                "piece": piece.astype(np.int32),
+                "start": np.where(piece == 0, 0, first + (piece - 1) * room),
+                "length": np.where(piece == 0, first, room),
+                "ids_crc32": np.array(crcs, np.int64),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return text_batches(rows).mapInPandas(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return text_batches(rows).mapInArrow(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
 def _pack_group(room: int, round_no: int):
@@ -121,7 +137,7 @@ def _pack_group(room: int, round_no: int):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, room: int = ROOM, each: int = PIECES_EACH, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, room: int = ROOM, each: int = PIECES_EACH) -> DataFrame:
     """``pieces`` (row, piece, length, ...) with sequence_id and offset."""
     columns = pieces.columns
     full = pieces.where(F.col("length") == room)
@@ -132,7 +148,7 @@ def pack_pieces(pieces: DataFrame, room: int = ROOM, each: int = PIECES_EACH, ro
     names = [*columns, "bin", "offset", "gap", "grp"]
     state = stage(state.select(names).groupBy("grp").applyInPandas(_pack_group(room, 0), schema), "pack-0")
     done = []
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):  # each round halves the groups at least, so it ends
         pool = state.where("gap")
         n, parts = pool.agg(F.count(F.lit(1)), F.countDistinct("grp")).first()
         done.append(state.where("not gap"))
@@ -142,8 +158,6 @@ def pack_pieces(pieces: DataFrame, room: int = ROOM, each: int = PIECES_EACH, ro
         groups = min(groups_for(n, each), max(1, parts // 2))
         pool = pool.withColumn("grp", F.pmod(F.xxhash64("bin", F.lit(k)), F.lit(groups))).select(names)
         state = stage(pool.groupBy("grp").applyInPandas(_pack_group(room, k), schema), f"pack-{k}")
-    else:
-        done.append(state)
     packed = done[0]
     for more in done[1:]:
         packed = packed.union(more)

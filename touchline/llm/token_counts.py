@@ -37,7 +37,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k", vocab: str |
     def run(batches):
         enc = encoder(path)
         for pdf in batches:
-            yield pdf[["doc_id", "source", "lang"]].assign(tokens=[len(ids) // 4 for ids in enc.many(pdf["text"].tolist())])
+            yield pdf[["doc_id", "source", "lang"]].assign(tokens=[len(enc.ids(t)) for t in pdf["text"]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
     return text_batches(rows).mapInPandas(run, "doc_id long, source string, lang string, tokens long").withColumn("tokenizer", F.lit(tokenizer))
