@@ -351,6 +351,7 @@ def test_token_counts(spark, odd):
     roll.commit("b", row("revise", 1, "s", "fr", "v1", 12, "s", "en", 10))
     roll.compact()
     assert not roll.commit("a", a) and not roll.commit("b", a)
+    assert token_counts.Rollup(spark, roll.path).batches() == roll.batches()
     assert [tuple(r) for r in roll.totals().collect()] == [("s", "fr", "v1", 1, 12)]
     roll.commit("c", row("delete", 1, None, None, "v1", None, "s", "fr", 12))
     assert roll.totals().count() == 0
