@@ -1,6 +1,5 @@
 """The training-data operators against brute force, on edge cases and on the small tables."""
 
-import gzip
 import random
 import zlib
 
@@ -11,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oracle import connect, same_rows
-from touchline.llm import ann, archives, line_dedup, mixing, near_dedup, packing, queries, secrets, token_counts, toxicity, vector_graph
+from touchline.llm import ann, line_dedup, mixing, near_dedup, packing, queries, secrets, token_counts, toxicity, vector_graph
 from touchline.llm.common import components, in_mask, mask_of, stage
 from touchline.llm.tokens import encoder, vocabulary
 
@@ -118,30 +117,6 @@ def test_gradient_of_noisy_or():
     assert w[0] > 4 and w[0] > w[1] + 4 and b < -1.9
 
 
-def test_warc(spark):
-    rows = [(1, "http://a", "x" * 200), (2, "http://b c", "x" * 200), (3, None, None), (4, "", ""), (5, "http://d", "tiny"), (6, "http://d", "tiny"), (None, "http://e", "x" * 200), (7, "http://f", "WARC/1.1\r\n\r\nX-Page-Id: 9\r\n\r\n" * 9 + "é"), (8, "http://g", "L" * 300000)]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, record string")
-    for version in (1, 2):
-        got = archives.convert(stage(archives.write_arc(pages, version), "t")).collect()
-        import hashlib
-
-        by = {r["page_id"]: r for r in got}
-        assert len(got) == len(rows)
-        for i, _, h in rows:
-            raw = (h or "").encode()
-            assert by[i]["payload_bytes"] == len(raw) and by[i]["payload_digest"] == hashlib.sha256(raw).hexdigest()
-        assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got} == {(i, "revisit" if i in (2, None) else "response", 1 if i in (2, None) else None) for i, _, _ in rows}
-    assert archives.convert(stage(archives.write_arc(pages.limit(0)), "t")).count() == 0
-    raw = archives.arc_bytes(2, [("http://x", "20240102030405", b"a\n\nb")], "n", "20240101000000")
-    (r,) = archives.parse_arc(raw)
-    assert r["body"] == b"a\n\nb" and r["Result-code"] == "200"
-    with pytest.raises(ValueError):
-        list(archives.parse_arc(raw[:-4]))
-    path = archives.write_warc(archives.arc_to_warc(stage(archives.write_arc(pages), "t")), stage(pages, "z").inputFiles()[0].rsplit("/", 1)[0] + "-w")
-    blobs = [bytes(b["content"]) for b in spark.read.format("binaryFile").load(path).collect()]
-    assert sum(len(list(archives.parse_warc(gzip.decompress(b)))) for b in blobs) == len(rows)
-
-
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'’s12.,!éß  \x1c<|endoftext|>")), max_size=80))
 def test_tokens_equal_the_tokenizer(text):

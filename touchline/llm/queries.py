@@ -22,7 +22,7 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     arcs = stage(archives.write_arc(read(spark, sf, "pages")), "arc")
-    return archives.convert(arcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archives.convert(arcs).where("record_type <> 'warcinfo'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
