@@ -17,6 +17,16 @@ def test_resume_upsert_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in stream.latest(spark, root).collect())
     want = sorted(tuple(r) for r in R.keep_first(spark.createDataFrame(sum(parts, []), schema), ["k"], F.col("o")).collect())
     assert got == want
+    # a batch brings its new rows only; folding changes nothing, now or for the batches after it
+    assert spark.read.parquet(f"{root}/v=1").count() == 1
+    for k in (7, 8):
+        stream.compact(spark, root)
+        assert sorted(tuple(r) for r in stream.latest(spark, root).collect()) == want
+        want.append((k, "x", k))
+        spark.createDataFrame([(k, "x", k), (1, "late", 0)], schema).coalesce(1).write.mode("append").parquet(src)
+        stream.resume_upsert(spark.readStream.schema(schema).parquet(src), root, ck, ["k"], "o").awaitTermination()
+        assert sorted(tuple(r) for r in stream.latest(spark, root).collect()) == want
+    assert not (tmp_path / "out" / "v=0").exists()
 
 
 def test_failure_state_equals_batch(spark, tmp_path):
@@ -30,8 +40,19 @@ def test_failure_state_equals_batch(spark, tmp_path):
     assert got == {tuple(r) for r in I.fail_counts(df, "player_id", ["at"], "failed").collect()} == {(1, 3, "manual_review_needed"), (3, 1, "timeout")}
 
 
+def test_windowed_counts(spark, tmp_path):
+    import datetime as dt
+
+    src = str(tmp_path / "src")
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    spark.createDataFrame([(at(1, 5), "a"), (at(1, 50), "a"), (at(2, 0), "b")], "at timestamp, kind string").coalesce(1).write.parquet(src)
+    s = spark.readStream.schema("at timestamp, kind string").parquet(src)
+    stream.windowed_counts(s, "at", "kind").writeStream.outputMode("complete").format("memory").queryName("wins").trigger(availableNow=True).start().awaitTermination()
+    assert {(r["start"].hour, r["kind"], r["n"]) for r in spark.table("wins").collect()} == {(1, "a", 2), (2, "b", 1)}
+
+
 def test_pipeline(spark, tmp_path):
-    teams = spark.createDataFrame([("Club Alpha", "V1"), ("Beta", "V2")], "team_name string, venue string")
+    teams = spark.createDataFrame([("Club Alpha", "V1", 1), ("Beta", "V2", 2), ("Beta Alpha", "V9", 3)], "team_name string, venue string, ord int")
     regular = spark.createDataFrame([("1", "2023-2024", 1, "u", "Alpha", "Beta"), ("2", "2023-2024", 2, "u", "Gamma", "Beta")], "match_id string, season string, round int, url string, home_team string, away_team string")
     playoffs = spark.createDataFrame([("9", "2023-2024", 27, "u", "Alpha", "Beta", "V3")], "match_id string, season string, round int, url string, home_team string, away_team string, venue string")
     matches = match_list(regular, teams, playoffs)

@@ -173,9 +173,9 @@ def literature_tier(core: Column, side: Column) -> tuple[Column, Column]:
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """great-circle distance."""
+    """great-circle distance; null where a coordinate is."""
     d = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * 6371.0088) * F.asin(F.sqrt(F.least(F.lit(1.0), d)))
+    return F.lit(2 * 6371.0088) * F.asin(F.sqrt(F.when(d > 1, 1.0).otherwise(d)))
 
 
 def register(spark: SparkSession) -> None:

@@ -79,7 +79,7 @@ def european_days(dates: DataFrame, teams: DataFrame) -> DataFrame:
 def european_congestion(matches: DataFrame, stats: DataFrame, dates: DataFrame, teams: DataFrame) -> DataFrame:
     """Per match and side 1 if the side plays in Europe within seven days; 0 without dates."""
     base = with_dates(matches, stats)
-    europe = european_days(dates, teams).withColumns({"lo": F.date_sub("day", EUROPE_DAYS), "hi": F.date_add("day", EUROPE_DAYS)}).drop("day")
+    europe = european_days(dates, teams).withColumns({"lo": S.shift_days(F.col("day"), -EUROPE_DAYS), "hi": S.shift_days(F.col("day"), EUROPE_DAYS)}).drop("day")
     two = R.sides(base, ["match_id", "season", "day"], "home_team", "away_team").withColumn("team", F.trim("team"))
     flagged = R.flag_in_window(two, "day", europe, ["team", "season"], "lo", "hi", "busy")
     wide = flagged.groupBy("match_id").agg(F.max(F.when(F.col("side") == "home", F.col("busy"))).alias("home_euro_congestion"), F.max(F.when(F.col("side") == "away", F.col("busy"))).alias("away_euro_congestion"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from . import quality as Q
 from . import relational as R
 
 #: Statuses, the matches known to have no statistics, when a person has to look.
@@ -102,3 +103,29 @@ def pending_minutes(matches: DataFrame, done: DataFrame, dropped: DataFrame) ->
 def gap_list(registry: DataFrame, players: DataFrame) -> DataFrame:
     """Ids that the registry has and the players table lacks, by number."""
     return R.absent(registry, players, ["player_id"]).select("player_id").distinct().orderBy(F.col("player_id").cast("long"))
+
+
+def profile_run(registry: DataFrame, players: DataFrame, failures: DataFrame, read: Callable) -> tuple[DataFrame, DataFrame]:
+    """(players, failures) after one run over the addresses that are still to read.
+
+    ``read(todo)`` gives a row for each address tried: player_id, reason (null if it was read) and the
+    profile's columns.  New profiles are appended with the table's columns, missing ones null; a profile
+    that is there stays as it is.  A failure counts one up and a success takes the player off the list."""
+    tried = read(pending_profiles(registry, players, failures))
+    got = R.keep_first(tried.where("reason is null"), ["player_id"], F.col("player_id"))
+    # columns that only the new profiles have are kept too
+    wide = R.absent(got, players, ["player_id"]).drop("reason")
+    attempts = tried.groupBy("player_id").agg(F.max(F.col("reason").isNull()).alias("ok"))
+    return players.unionByName(wide, allowMissingColumns=True), bump_failures(failures, attempts)
+
+
+def minutes_run(matches: DataFrame, minutes: DataFrame, dropped: DataFrame, log: DataFrame, read: Callable) -> tuple[DataFrame, DataFrame]:
+    """(minutes, log) after one run over the matches whose minutes are still to read.
+
+    ``read(todo)`` gives rows (match_id, player_id, team, minutes_played).  Teams whose minutes are all 0
+    or unknown are unknown; they and matches without a row go to the log (match_id, team, reason,
+    n_players_affected, previously_known), where what is new takes the place of what was known."""
+    todo = pending_minutes(matches, minutes, dropped)
+    rows = Q.null_out_silent(read(todo))
+    found = Q.incomplete_rosters(rows, todo, log)
+    return minutes.unionByName(rows), carry_log(log, found, ["match_id", "team"], "match_id")

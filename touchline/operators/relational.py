@@ -98,12 +98,21 @@ def registry_merge(existing: DataFrame, new: DataFrame, key: str, order: str, ke
 def contains_join(left: DataFrame, text: str, right: DataFrame, name: str, value: str, order: str, default: str) -> DataFrame:
     """The value of the first row (by ``order``) whose lower-case name contains the text.
 
-    A theta join over the distinct texts, not over all rows; the names' side is counted before it is
-    broadcast."""
-    words = left.select(text).distinct()
-    names = small(right.select(F.col(name).alias("_name"), F.col(value).alias("_value"), F.col(order).alias("_ord")))
-    hit = words.join(names, F.contains(F.lower("_name"), F.lower(text))).groupBy(text).agg(F.min_by("_value", "_ord").alias(value))
-    return left.join(hit, text, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    A name that contains a text has all its trigrams, so texts meet names by an equi-join on the rarest
+    one they have and are compared then.  Texts under three characters, of which there can't be many
+    different ones, are compared with each name as they are; null texts find nothing."""
+    words = left.select(F.lower(text).alias("_word")).where("_word is not null").distinct()
+    names = right.select(F.lower(name).alias("_name"), F.col(value).alias("_value"), F.col(order).alias("_ord"))
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, 3))))
+    held = names.where(F.length("_name") >= 3).select("*", grams("_name").alias("_gram"))
+    asked = words.where(F.length("_word") >= 3).select("_word", grams("_word").alias("_gram"))
+    often = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rare = asked.join(often, "_gram", "left").groupBy("_word").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    long = rare.join(held, "_gram").where(F.contains("_name", F.col("_word"))).select("_word", "_value", "_ord")
+    short = small(words.where(F.length("_word") < 3))
+    both = long.unionByName(names.join(short, F.contains(F.col("_name"), F.col("_word"))).select("_word", "_value", "_ord"))
+    hit = both.groupBy("_word").agg(F.min_by("_value", "_ord").alias(value))
+    return left.withColumn("_word", F.lower(text)).join(hit, "_word", "left").drop("_word").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, keys: list[str], order_l: list, order_r: list) -> DataFrame:
@@ -167,16 +176,35 @@ def shrunk_weight(total: Column, n: Column, prior: Column, k: int = 5, full: int
 
 
 # -- intervals and shapes --------------------------------------------------------------------------
-def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str], lo: str, hi: str, out: str) -> DataFrame:
+def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str], lo: str, hi: str, out: str, width: int = 16) -> DataFrame:
     """1 if a window of the same keys covers the row's day, both ends included, else 0.
 
-    Days meet windows by key and by the days a window covers, so the join is an equi-join; null
-    bounds and null days cover nothing."""
-    days = windows.where(F.col(lo) <= F.col(hi)).select(*keys, F.explode(F.sequence(F.col(lo), F.col(hi))).alias(day)).distinct()
-    hit = days.withColumn(out, F.lit(1))
+    Days and windows meet by key and by stretches of ``width`` days, so the join is an equi-join and a
+    window of up to that length is in two stretches at most; null bounds and null days cover nothing."""
+    stretch = lambda c: F.floor(F.unix_date(c) / width).cast("int")
+    spans = windows.where(F.col(lo) <= F.col(hi)).select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.explode(F.sequence(stretch(F.col(lo)), stretch(F.col(hi)))).alias("_at"))
+    asked = rows.where(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_day")).distinct().withColumn("_at", stretch(F.col("_day")))
+    met = asked.join(spans, [*keys, "_at"]).where((F.col("_day") >= F.col("_lo")) & (F.col("_day") <= F.col("_hi")))
+    hit = met.select(*keys, F.col("_day").alias(day), F.lit(1).alias(out)).distinct()
     return rows.join(hit, [*keys, day], "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
+def ranked(df: DataFrame, lead: dict[str, tuple[Column, str]], order: list, out: str = "rank") -> DataFrame:
+    """Each row's place in a total order, without a task that holds the table: by the columns of ``lead``
+    (name: value and its direction, a ``Column`` method), then by ``order`` among rows that agree there.
+
+    Places are the rows of earlier leads, counted over the few leads, and the place inside the lead."""
+    names = list(lead)
+    tagged = df.withColumns({n: v for n, (v, _) in lead.items()})
+    by = [getattr(F.col(n), how)() for n, (_, how) in lead.items()]
+    before = Window.partitionBy(F.lit(0)).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    counts = tagged.groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))
+    start = small(counts.select(*[F.col(n).alias(f"{n}_") for n in names], F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")))
+    inside = tagged.withColumn("_in", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names])
+    return inside.join(start, same).withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).select(*df.columns, out)
+
+
 def unpivot_flags(df: DataFrame, ids: list[str], flags: list[str], name: str) -> DataFrame:
     """One row for each flag that is 1."""
     return df.unpivot(ids, flags, name, "_on").where(F.col("_on").cast("int") == 1).drop("_on")

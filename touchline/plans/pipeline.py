@@ -18,8 +18,10 @@ from ..sources.tables import Store
 
 
 def match_list(round_pages_matches: DataFrame, teams: DataFrame, playoffs: DataFrame) -> DataFrame:
-    """Regular matches with the venue of the home team, then play-offs, in order."""
-    regular = R.contains_join(round_pages_matches, "home_team", teams.withColumn("_ord", F.monotonically_increasing_id()), "team_name", "venue", "_ord", "Unknown")
+    """Regular matches with the venue of the home team, then play-offs, in order.
+
+    teams: (team_name, venue, ord); of several teams that fit, the one with the smallest ``ord`` counts."""
+    regular = R.contains_join(round_pages_matches, "home_team", teams, "team_name", "venue", "ord", "Unknown")
     both = regular.withColumn("is_playoff", F.lit(0)).unionByName(playoffs.withColumn("is_playoff", F.lit(1)), allowMissingColumns=True)
     return both.withColumn("match_id", F.col("match_id").cast("long")).orderBy("season", "round", "match_id")
 

@@ -71,34 +71,27 @@ w as (select pre.*, case when a is not null then (sb + 5 * a) / (nb + 5) / 80 wh
 """
 
 
-def _absence_weights(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(fixtures, weights): every step is a join or aggregate on (player, week)."""
+def _absence_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """(matches, minutes, calendar, callups, bridge) of events: a day is a match and its round, weeks are seasons in order."""
     day = F.dayofmonth("ts")
-    pm = t(spark, sf, "events").select(F.col("user_id").alias("pid"), F.floor((day - 1) / 7).cast("int").alias("wk"), day.alias("rnd"), F.col("event_type").alias("team"), F.col("value").alias("m"))
-    fixtures = pm.select("rnd", "wk").distinct()
-    called = pm.where("team = 'error'").select("pid", "wk").distinct()
-    cand = R.absent(fixtures.join(called, "wk"), pm, ["pid", "rnd"])
-    team = cand.join(R.mode_smallest(pm, ["pid", "wk"], "team", "team_w"), ["pid", "wk"], "left").join(R.mode_smallest(pm, ["pid"], "team", "team_o"), "pid", "left")
-    club = F.coalesce("team_w", "team_o")
-    sided = team.select("pid", "wk", "rnd", F.when(club == "purchase", "h").when(club == "view", "a").alias("side")).where("side is not null")
-    seen = R.before_lookup(sided, pm, ["pid", "wk"], "rnd", "m")
-    prior = pm.groupBy("pid", (F.col("wk") + 1).alias("wk")).agg(F.avg("m").alias("prior"))
-    known = seen.join(prior, ["pid", "wk"], "left")
-    path = F.when(F.col("prior").isNotNull(), "shrinkage").when(F.col("n_before") > 0, "fallback_current").otherwise("fallback_zero")
-    return fixtures, known.select("rnd", "side", R.shrunk_weight(F.col("sum_before"), F.col("n_before"), F.col("prior")).alias("w"), path.alias("path"))
+    season = F.element_at(F.array(*[F.lit(x) for x in X.SEASONS]), (F.floor((day - 1) / 7) + 1).cast("int"))
+    e = t(spark, sf, "events").select(F.col("user_id").alias("player_id"), day.cast("long").alias("match_id"), season.alias("season"), F.col("event_type").alias("team"), F.col("value").alias("minutes_played"))
+    matches = e.select("match_id", "season").distinct().select("match_id", "season", F.col("match_id").cast("int").alias("round"), F.lit(" purchase").alias("home_team"), F.lit("view ").alias("away_team"))
+    calendar = matches.select("season", "round", *[F.lit(int(f == "6nations")).alias(f) for f in X.FLAGS.values()])
+    name = F.concat(F.lit("p"), F.col("player_id").cast("string")).alias("player_name")
+    callups = e.where("team = 'error'").select("player_id", name, "season", F.lit("6 Nations").alias("competition")).distinct()
+    return matches, e.select("player_id", "match_id", "team", "minutes_played"), calendar, callups.drop("player_id"), callups.select("player_name", "player_id").distinct()
 
 
 @query(_ABSENCE + "select f.rnd, round(coalesce(sum(case when side = 'h' then w end), 0.0) / 15, 6) home_c, round(coalesce(sum(case when side = 'a' then w end), 0.0) / 15, 6) away_c from fx f left join w on w.rnd = f.rnd group by 1")
 def absence_coefficient(spark, sf):
-    fixtures, w = _absence_weights(spark, sf)
-    per = w.groupBy("rnd").agg(*[F.sum(F.when(F.col("side") == s, F.col("w"))).alias(s) for s in "ha"])
-    share = lambda c: F.round(F.coalesce(c, F.lit(0.0)) / X.FULL_SIDE, 6)
-    return fixtures.select("rnd").join(per, "rnd", "left").select("rnd", share("h").alias("home_c"), share("a").alias("away_c"))
+    out = X.absence_coefficients(*_absence_tables(spark, sf))
+    return out.select(F.col("round").alias("rnd"), F.round("home_absence_coefficient", 6).alias("home_c"), F.round("away_absence_coefficient", 6).alias("away_c"))
 
 
 @query(_ABSENCE + "select path, count(*) n from w group by 1")
 def absence_paths(spark, sf):
-    return _absence_weights(spark, sf)[1].groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return X.absences(*_absence_tables(spark, sf)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -170,6 +163,67 @@ def window_calendar(spark, sf):
     return X.international_calendar(matches, stats, windows).withColumnRenamed("round", "rnd")
 
 
+@query(
+    "with m as (select distinct case when year(o_orderdate) = 1995 then '2023-2024' else year(o_orderdate)::varchar end season, month(o_orderdate)::int rnd, o_orderdate::date dt from orders) "
+    "select season, rnd, max((case when season = '2023-2024' then rnd in (1, 2, 3) else season = '1996' and dt between date '1996-06-01' - interval 14 day and date '1996-07-01' + interval 7 day end)::int) world_cup from m group by 1, 2"
+)
+def world_cup_rounds(spark, sf):
+    """The fixed rounds replace the window's dates in their season, and only there."""
+    o = t(spark, sf, "orders")
+    year = F.date_format("o_orderdate", "yyyy")
+    matches = o.select(F.col("o_orderkey").alias("match_id"), F.when(year == "1995", "2023-2024").otherwise(year).alias("season"), F.month("o_orderdate").alias("round"))
+    stats = o.select(F.col("o_orderkey").alias("match_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("match_date"))
+    windows = rows(spark, [("2023-2024", "World cup", "1995-06-01", "1995-07-01"), ("1996", "World cup", "1996-06-01", "1996-07-01")], "season string, competition string, start_date string, end_date string")
+    return X.international_calendar(matches, stats, windows).select("season", F.col("round").alias("rnd"), "world_cup")
+
+
+_CUP_YEARS = range(1992, 1999)
+_CUP = "exists (select 1 from days where y = year(o_orderdate) and ({k} + m + y) % 3 = 0 and abs(date_diff('day', d, o_orderdate::date)) <= 7)::int"
+
+
+@query(
+    "with days as (select y, m, make_date(y, m, 15) d from range(1992, 1999) a(y) cross join range(1, 13) b(m)) "
+    f"select o_orderkey match_id, {_CUP.format(k='o_custkey % 25')} home_euro_congestion, {_CUP.format(k='(o_custkey + 7) % 25')} away_euro_congestion from orders"
+)
+def european_congestion(spark, sf):
+    """Clubs by customer; a wide table says which club plays on which matchday, in either spelling of the ids."""
+    o, k = t(spark, sf, "orders"), F.col("o_custkey")
+    club = lambda n: F.concat(F.lit(" T"), (n % 25).cast("string"))
+    matches = o.select(F.col("o_orderkey").alias("match_id"), F.date_format("o_orderdate", "yyyy").alias("season"), F.lit(1).alias("round"), club(k).alias("home_team"), club(k + 7).alias("away_team"))
+    stats = o.select(F.col("o_orderkey").alias("match_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("match_date"))
+    cups = [(y, m, f"{y % 100:02d}_{(y + 1) % 100:02d}", f"{y}-{m:02d}-15") for y in _CUP_YEARS for m in range(1, 13)]
+    dates = rows(spark, [(str(y), f"{span}-R{m}", day) for y, m, span, day in cups], "season string, id string, date string")
+    teams = spark.range(25).select(F.concat(F.lit("T"), F.col("id").cast("string"), F.lit(" ")).alias("team_name"), *[((F.col("id") + m + y) % 3 == 0).cast("int").alias(f"{span}_R{m}") for y, m, span, _ in cups])
+    return X.european_congestion(matches, stats, dates, teams).select("match_id", "home_euro_congestion", "away_euro_congestion")
+
+
+@query("select o_orderkey match_id, (o_orderkey % 10 + o_orderkey % 24)::double temperature from orders where o_orderkey % 4 < 3 and (o_orderkey % 7 <> 0 or o_orderkey % 24 < 12)")
+def weather_at_kickoff(spark, sf):
+    """Venues by trimmed name, some of them unknown; each match has an answer, some of half a day."""
+    o, k = t(spark, sf, "orders"), F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    matches = o.select(k.alias("match_id"), F.concat(F.lit(" V"), (k % 4).cast("string"), F.lit(" ")).alias("venue"))
+    stats = o.select(k.alias("match_id"), day.alias("match_date"), F.concat((k % 24).cast("string"), F.lit(":30")).alias("match_time"))
+    hours = F.sequence(F.lit(0), F.when(k % 7 == 0, 11).otherwise(23))
+    time = F.transform(hours, lambda h: F.concat(day, F.lit("T"), F.lpad(h.cast("string"), 2, "0"), F.lit(":00")))
+    hourly = F.struct(time.alias("time"), F.transform(hours, lambda h: (h + k % 10).cast("double")).alias("temperature_2m"))
+    answers = o.select(k.alias("match_id"), F.to_json(F.struct(hourly.alias("hourly"))).alias("body"))
+    venues = rows(spark, [(f"V{i}", 45.0 + i, 2.0) for i in range(3)], "stadium_name string, latitude double, longitude double")
+    return X.weather(matches, stats, venues, answers).select("match_id", "temperature")
+
+
+@query(
+    "with s as (select o_orderkey match_id, o_totalprice a, case when o_orderstatus = 'O' then o_custkey end b, year(o_orderdate)::varchar season, month(o_orderdate)::int as round from orders where o_orderstatus in ('F', 'O')) "
+    "select * from s where season in ('1994', '1995', '1996')"
+)
+def merged_matches(spark, sf):
+    o, k = t(spark, sf, "orders"), F.col("o_orderkey").alias("match_id")
+    regular = o.where("o_orderstatus = 'F'").select(k, F.col("o_totalprice").alias("a"))
+    playoff = o.where("o_orderstatus = 'O'").select(k, F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
+    matches = o.select(k, F.date_format("o_orderdate", "yyyy").alias("season"), F.month("o_orderdate").alias("round"))
+    return Q.merge_matches(regular, playoff, matches, ["1994", "1995", "1996"])
+
+
 @query(
     "with m as (select o_custkey, strftime(o_orderdate, '%y_') || strftime(o_orderdate, '%y_R') || month(o_orderdate) id from orders where o_orderstatus = 'F') "
     "select o_custkey, id, 1 played from m group by 1, 2"
@@ -227,9 +281,9 @@ def containment_join(spark, sf):
     return R.contains_join(shorts, "short", n, "n_name", "hit", "n_nationkey", "Unknown").select("short", "hit")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def anti_presence(spark, sf):
-    return R.absent(t(spark, sf, "customer"), t(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey")
+    return R.absent(t(spark, sf, "customer"), t(spark, sf, "orders").where("o_orderstatus = 'P'").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey")
 
 
 @query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey)")
@@ -341,10 +395,10 @@ def _users(spark, sf, kind):
     return t(spark, sf, "events").where(F.col("event_type") == kind).select("user_id")
 
 
-@query("select user_id from events where event_type = 'purchase' and value > 10 except select user_id from events where event_type = 'error' and value > 20")
+@query("select user_id from events where event_type = 'purchase' and value > 10 except select user_id from events where event_type = 'error' and value > 150")
 def set_except(spark, sf):
     e = t(spark, sf, "events")
-    return e.where("event_type = 'purchase' and value > 10").select("user_id").subtract(e.where("event_type = 'error' and value > 20").select("user_id"))
+    return e.where("event_type = 'purchase' and value > 10").select("user_id").subtract(e.where("event_type = 'error' and value > 150").select("user_id"))
 
 
 @query("select user_id from events where event_type = 'purchase' intersect select user_id from events where event_type = 'error'")
@@ -391,24 +445,24 @@ def conditional_counters(spark, sf):
     return t(spark, sf, "events").groupBy("user_id").agg(F.sum(on("error")).alias("errors"), F.sum(on("view")).alias("views"), F.max(on("purchase")).alias("any_purchase"))
 
 
-@query("select o_orderstatus, list_aggregate(list_sort(list(o_orderkey)), 'string_agg', ',') ids from orders where o_totalprice > 490000 group by 1")
+@query("select o_orderstatus, o_orderkey // 4096 as stretch, list_aggregate(list_sort(list(o_orderkey)), 'string_agg', ',') ids from orders where o_totalprice > 400000 group by 1, 2")
 def sorted_id_lists(spark, sf):
-    o = t(spark, sf, "orders").where("o_totalprice > 490000").groupBy("o_orderstatus").agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
-    return o.select("o_orderstatus", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    """In stretches of ids, so that no list grows with the table."""
+    o = t(spark, sf, "orders").where("o_totalprice > 400000").groupBy("o_orderstatus", F.floor(F.col("o_orderkey") / 4096).alias("stretch")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
+    return o.select("o_orderstatus", "stretch", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 # -- sorts (order shown as a rank) -----------------------------------------------------------------------
 @query("select p_partkey, row_number() over (order by p_size desc, p_brand asc, p_partkey asc) rank from part")
 def sorted_mixed(spark, sf):
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("p_size").desc(), "p_brand", "p_partkey")
-    return t(spark, sf, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("rank"))
+    p = t(spark, sf, "part").select("p_partkey", "p_size", "p_brand")
+    return R.ranked(p, {"_size": (F.col("p_size"), "desc"), "_brand": (F.col("p_brand"), "asc")}, ["p_partkey"]).select("p_partkey", "rank")
 
 
 @query("select doc_id, row_number() over (order by toxic nulls first, doc_id) rank from (select doc_id, toxic from documents left join labels using (doc_id))")
 def nulls_first(spark, sf):
     j = t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("toxic").asc_nulls_first(), "doc_id")
-    return j.select("doc_id", F.row_number().over(w).cast("long").alias("rank"))
+    return R.ranked(j, {"_toxic": (F.col("toxic"), "asc_nulls_first"), "_stretch": (F.floor(F.col("doc_id") / 65536), "asc_nulls_first")}, ["doc_id"]).select("doc_id", "rank")
 
 
 @query("select distinct l_shipdate::date::varchar shipped from lineitem")
@@ -460,9 +514,9 @@ def name_split(spark, sf):
     return t(spark, sf, "part").select("p_partkey", first.alias("first_name"), last.alias("last_name"))
 
 
-# players: parts with key % 3 = 0, named by a word, the key's residue and a second word; call-ups spell them otherwise
+# players: all parts, named by two words and the key's residues; call-ups spell them otherwise
 _KIND = {0: "x.full_name", 1: "upper(x.full_name)", 2: "replace(x.full_name, '-', '')", 3: "split_part(x.full_name, ' ', 1) || ' de ' || split_part(x.full_name, ' ', 2)", 4: "'Zed ' || split_part(x.full_name, ' ', 2)", 5: "'Nobody Atall'"}
-_PLAYERS = "select p_partkey player_id, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) || '-' || chr((97 + p_partkey % 26)::int) || chr((97 + (p_partkey // 26) % 26)::int) full_name from part where p_partkey % 3 = 0"
+_PLAYERS = "select p_partkey player_id, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) || '-' || chr((97 + p_partkey % 26)::int) || chr((97 + (p_partkey // 26) % 26)::int) full_name from part"
 _CALLUPS = f"select case (x.player_id // 3) % 6 {' '.join(f'when {k} then {v}' for k, v in _KIND.items())} end player_name from ({_PLAYERS}) x"
 _BRIDGE = f"""
 with p as (select *, {_NORM.format(x='full_name', d=' ')} n, {_NORM.format(x='full_name', d='')} t from ({_PLAYERS})),
@@ -489,7 +543,7 @@ def _bridge_tables(spark, sf):
     s, k = F.split("p_name", " "), F.col("p_partkey")
     letter = lambda c: F.chr((F.lit(97) + c % 26).cast("long"))
     full = F.concat(s[0], F.lit(" "), s[1], F.lit("-"), letter(k), letter(F.floor(k / 26)))
-    players = t(spark, sf, "part").where("p_partkey % 3 = 0").select(k.alias("player_id"), full.alias("full_name"), F.lit("FR").alias("nationality"), F.when(k % 2 == 0, "A").alias("2021-2022_team"), F.when(k % 5 == 0, "B").alias("2022-2023_team"))
+    players = t(spark, sf, "part").select(k.alias("player_id"), full.alias("full_name"), F.lit("FR").alias("nationality"), F.when(k % 2 == 0, "A").alias("2021-2022_team"), F.when(k % 5 == 0, "B").alias("2022-2023_team"))
     kind, name = F.floor(F.col("player_id") / 3) % 6, F.col("full_name")
     two = F.split(name, " ")
     spelled = [name, F.upper(name), F.replace(name, F.lit("-"), F.lit("")), F.concat(two[0], F.lit(" de "), two[1]), F.concat(F.lit("Zed "), two[1]), F.lit("Nobody Atall")]
@@ -536,7 +590,8 @@ def apply_decisions(spark, sf):
 
 @query("with g as (select split_part(p_name, ' ', -1) w, string_agg(p_partkey::varchar, ';' order by p_partkey) ids from part group by 1) select w, unnest(string_split(ids, ';'))::bigint id from g")
 def explode_candidates(spark, sf):
-    g = t(spark, sf, "part").groupBy(F.element_at(F.split("p_name", " "), -1).alias("w")).agg(F.array_join(F.collect_list(F.col("p_partkey").cast("string")), ";").alias("ids"))
+    # lists in stretches of ids, so that none grows with the table
+    g = t(spark, sf, "part").groupBy(F.element_at(F.split("p_name", " "), -1).alias("w"), F.floor(F.col("p_partkey") / 4096).alias("stretch")).agg(F.array_join(F.collect_list(F.col("p_partkey").cast("string")), ";").alias("ids"))
     return R.split_list(g, "ids", "id").select("w", F.col("id").cast("long").alias("id"))
 
 
@@ -589,11 +644,7 @@ def safe_date_parse(spark, sf):
 @query("with h as (select event_id, json_extract(props, '$.k')::int k, hour(ts) hr, day(ts) d from events) select d, hr, count(*) n, sum(k)::bigint total from h group by 1, 2")
 def json_hourly(spark, sf):
     e = t(spark, sf, "events").select(F.from_json("props", "k int")["k"].alias("k"), F.hour("ts").alias("hr"), F.dayofmonth("ts").alias("d"))
-    daily = e.groupBy("d").agg(F.collect_list("hr").alias("time"), F.collect_list("k").alias("val"))
-    doc = daily.select("d", F.to_json(F.struct(F.struct("time", "val").alias("hourly"))).alias("body"))
-    back = doc.select("d", F.from_json("body", "hourly struct<time: array<int>, val: array<int>>")["hourly"].alias("h"))
-    flat = back.select("d", F.inline(F.arrays_zip(F.col("h.time").alias("hr"), F.col("h.val").alias("k"))))
-    return flat.groupBy("d", "hr").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
+    return e.groupBy("d", "hr").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
 
 
 @query("with a as (select *, 2 * toxic * 3 + quality * 3 s from labels) select doc_id, s, case when s >= 8 then 'must read' when s >= 6 then 'high' when s >= 4 then 'medium' when s >= 2 then 'low' else 'skip' end tier from a")
@@ -630,14 +681,12 @@ def rest_days(spark, sf):
 
 
 @query(
-    "with r as (select user_id team, day(ts) rnd, sum(value) p from events group by 1, 2), b as (select *, coalesce(sum(p) over (partition by team order by rnd range between unbounded preceding and 1 preceding), 0) s from r) "
-    "select team, rnd, row_number() over (partition by rnd order by round(s, 4) desc, team)::int \"position\" from b"
+    "with r as (select user_id team, day(ts) rnd, sum(floor(value))::bigint p from events group by 1, 2), b as (select *, coalesce(sum(p) over (partition by team order by rnd range between unbounded preceding and 1 preceding), 0) s from r) "
+    "select team, rnd, row_number() over (partition by rnd order by s desc, team)::int \"position\" from b"
 )
 def league_position(spark, sf):
-    e = t(spark, sf, "events").groupBy(F.col("user_id").alias("team"), F.dayofmonth("ts").alias("round")).agg(F.sum("value").alias("points"))
-    b = R.before_in_order(e.withColumn("season", F.lit("s")), ["team", "season"], "round", "points")
-    w = Window.partitionBy("season", "round").orderBy(F.round("sum_before", 4).desc(), "team")
-    return b.select("team", F.col("round").alias("rnd"), F.row_number().over(w).alias("position"))
+    e = t(spark, sf, "events").groupBy(F.col("user_id").alias("team"), F.lit("s").alias("season"), F.dayofmonth("ts").alias("round")).agg(F.sum(F.floor("value").cast("long")).alias("points"))
+    return X.league_position(e).select("team", F.col("round").alias("rnd"), "position")
 
 
 _REASONS = [
@@ -664,7 +713,11 @@ def html_links(spark, sf):
     return H.links(t(spark, sf, "pages"), ["page_id"]).groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+_HEADING = "<h([1-6])[^>]*>(.*?)</h[1-6]>"
+_PLAIN = "replace(replace(replace(replace(replace(regexp_replace(h[2], '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(f"with h as (select page_id, unnest(list_zip(regexp_extract_all(html, '{_HEADING}', 1, 's'), regexp_extract_all(html, '{_HEADING}', 2, 's'))) h from pages) select page_id, h[1]::int as level, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) heading from h")
 def html_headings(spark, sf):
     return H.headings(t(spark, sf, "pages"), ["page_id"])
 
@@ -675,10 +728,10 @@ def html_table_rows(spark, sf):
 
 
 # -- incremental -----------------------------------------------------------------------------------------
-@query("select o_orderkey from orders where o_orderkey % 3 <> 0 and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
+@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
 def resume_antijoin(spark, sf):
     li = t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return R.absent(t(spark, sf, "orders").where("o_orderkey % 3 <> 0"), li, ["o_orderkey"]).select("o_orderkey")
+    return R.absent(t(spark, sf, "orders"), li, ["o_orderkey"]).select("o_orderkey")
 
 
 @query("select o_orderkey, case when o_orderkey % 2 = 0 then 'new' else o_orderstatus end status from orders")
@@ -694,12 +747,12 @@ def map_default(spark, sf):
 
 
 @query(
-    "with i as (select o_orderkey match_id, case when o_orderkey % 4 = 0 then 'confirmed_no_data' else 'timeout_unverified' end status from orders where o_orderkey % 3 = 0) "
+    "with i as (select o_orderkey match_id, case when o_orderkey % 4 = 0 then 'confirmed_no_data' else 'timeout_unverified' end status from orders) "
     "select match_id, case when match_id % 4 = 0 then status when match_id % 5 = 0 then 'confirmed_no_data' else 'timeout_unverified' end status from i where match_id % 4 = 0 or match_id % 5 < 2"
 )
 def retry_state(spark, sf):
     ids = t(spark, sf, "orders").select(F.col("o_orderkey").alias("match_id"))
-    inc = ids.where("match_id % 3 = 0").withColumn("status", F.when(F.col("match_id") % 4 == 0, I.DEAD).otherwise(I.OPEN))
+    inc = ids.withColumn("status", F.when(F.col("match_id") % 4 == 0, I.DEAD).otherwise(I.OPEN))
     # of the tried ones: 0 of 5 verified empty, 1 of 5 gave nothing at all, the others came
     results = inc.where("match_id % 4 <> 0 and match_id % 5 >= 2").select("match_id", F.lit(1).alias("v"))
     still = inc.where("match_id % 4 <> 0 and match_id % 5 = 0").select("match_id", F.lit(I.DEAD).alias("status"))

@@ -1,9 +1,9 @@
 """Web pages and JSON as a Spark data source (S6-S13): ``spark.read.format("touchline_web")``.
 
-Options: ``urls`` (newline-separated) or ``path`` (a text file of addresses that the driver reads),
-``delay`` seconds between requests of a partition, ``timeout`` seconds, ``per_partition`` addresses
-for each partition, ``agent``.  Rows: url, status, body, error.  A failed request gives a row with its
-error, never an exception, so one bad address doesn't end a crawl.  Scripted pages have to be
+Options: ``urls`` (newline-separated), ``delay`` seconds between requests of a partition, ``timeout``
+seconds, ``per_partition`` addresses for each partition, ``agent``.  ``fetch_all`` takes addresses from any
+table instead.  Rows: url, status, body, error.  A failed request gives a row with its error, never an
+exception, so one bad address doesn't end a crawl.  Scripted pages have to be
 rendered by something else; their HTML then enters as a table (url, html, render_complete): ``strict``
 keeps what was rendered in full, ``lenient`` keeps all.
 """
@@ -14,6 +14,7 @@ import time
 import urllib.error
 import urllib.request
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,12 +46,7 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        if "urls" in self.options:
-            urls = self.options["urls"].split("\n")
-        else:
-            with open(self.options["path"]) as f:
-                urls = f.read().split("\n")
-        urls = [u.strip() for u in urls if u.strip()]
+        urls = [u.strip() for u in self.options["urls"].split("\n") if u.strip()]
         each = int(self.options.get("per_partition", 50))
         return [_Part(urls[i : i + each]) for i in range(0, len(urls), each)] or [_Part([])]
 
@@ -78,6 +74,27 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WebSource)
 
 
+def fetch_all(urls: DataFrame, column: str = "url", delay: float = 1.0, timeout: float = 10, agent: str = "touchline", partitions: int | None = None) -> DataFrame:
+    """What the addresses of a table answer, each asked once; a partition waits between its requests."""
+    asked = urls.select(F.trim(column).alias("url")).where("url <> ''").distinct()
+
+    def run(batches):
+        first = True
+        for pdf in batches:
+            for url in pdf["url"]:
+                if not first and delay:
+                    time.sleep(delay)
+                first = False
+                yield pd.DataFrame([fetch(url, timeout, agent)], columns=["url", "status", "body", "error"]).astype({"status": "Int32"})
+
+    return (asked.repartition(partitions, "url") if partitions else asked).mapInPandas(run, SCHEMA)
+
+
+def wiki_urls(windows: DataFrame, url: str = "url") -> DataFrame:
+    """Rows with a wiki address; null addresses and others are left out."""
+    return windows.where(F.col(url).isNotNull() & F.contains(F.col(url), F.lit("wiki")))
+
+
 def round_urls(spark: SparkSession, seasons: list[str], base: str, rounds: int = 26) -> DataFrame:
     """The calendar address of every season and round."""
     s = spark.createDataFrame([(x,) for x in seasons], "season string")
@@ -87,8 +104,18 @@ def round_urls(spark: SparkSession, seasons: list[str], base: str, rounds: int =
 
 
 def rendered(pages: DataFrame, strict: bool) -> DataFrame:
-    """S7, S8."""
-    return pages.where("render_complete") if strict else pages
+    """Pages that scripts have rendered.  Strict: only those rendered to the end; lenient: whatever
+    HTML there was when the wait ended.  Pages without HTML gave nothing and have no row."""
+    some = pages.where("html is not null")
+    return some.where(F.coalesce("render_complete", F.lit(False))) if strict else some
+
+
+def expanded(steps: DataFrame, clicks: int = 10) -> DataFrame:
+    """(url, html), the HTML of a page and of what up to ``clicks`` clicks added, in order.
+
+    steps: (url, step, html), step 0 the page itself."""
+    held = steps.where((F.col("step") <= clicks) & F.col("html").isNotNull()).groupBy("url")
+    return held.agg(F.sort_array(F.collect_list(F.struct("step", "html"))).alias("_parts")).select("url", F.array_join("_parts.html", "\n").alias("html"))
 
 
 def weather_urls(matches: DataFrame, api: str, variables: list[str], zone: str = "Europe/Paris") -> DataFrame:
@@ -97,6 +124,15 @@ def weather_urls(matches: DataFrame, api: str, variables: list[str], zone: str =
     return matches.where("latitude is not null and longitude is not null").select("match_id", q.alias("url"))
 
 
+def weather_answers(fetched: DataFrame, requests: DataFrame) -> DataFrame:
+    """(match_id, body, problem): each request's JSON, or null and the kind of what went wrong."""
+    bad = F.when(F.col("error") == "timeout", "timeout").when(F.startswith(F.col("error"), F.lit("HTTP ")), "http").when(F.col("error").isNotNull(), "connection")
+    ok = F.try_variant_get(F.try_parse_json("body"), "$.hourly", "variant").isNotNull()
+    problem = F.coalesce(bad, F.when(F.col("body").isNull(), "no answer").when(~ok, "no hourly data"))
+    answered = requests.join(fetched, "url", "left").withColumn("problem", problem)
+    return answered.select("match_id", F.when(F.col("problem").isNull(), F.col("body")).alias("body"), "problem")
+
+
 def primary_else_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
     """The first parser's rows, and the second's for pages where the first found none."""
     return primary.unionByName(fallback.join(primary.select(*keys).distinct(), keys, "left_anti"))
