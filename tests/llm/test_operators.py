@@ -72,6 +72,10 @@ def test_line_dedup_brute(spark, odd):
     assert {(8, "same line of text here\nother line of text"), (9, ""), (1, None), (2, "")} <= out
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
     assert line_dedup.dedup_lines(odd).columns[: len(odd.columns)] == odd.columns
+    inner = ["key", "row", "gone", "id", "rank", "digest", "place", "line", "h1", "h2", "__key", "__gone", "__at", "__word", "_exact"]
+    clash = odd.select("doc_id", "text", *[F.lit(7).alias(c) for c in inner])
+    left = line_dedup.dedup_lines(clash, counts=None)
+    assert left.columns == clash.columns and {(r["doc_id"], r["text"]) for r in left.collect()} == out and left.where("__gone <> 7 or _exact <> 7 or key <> 7").count() == 0
 
 
 def test_line_dedup_of_rows_that_share_an_id(spark):

@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a run of anything but space, tab, LF, VT, FF and CR.
@@ -14,6 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 TEXT_ROWS = 1000
+_made: list[str] = []  # scratch folders of this process
 _own: list[str] = []  # this process's folder for sessions that name none, as in tests
 
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='touchline-')}")
         named = _own[0]
@@ -28,7 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/touchline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/touchline/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def mark() -> int:
+    """A point in this process's list of scratch folders, for ``release``."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the scratch folders made since a mark, but those that ``keep`` reads: for callers whose
+    results are written, as staged tables stay until someone says that no plan reads them any more."""
+    held = {f.rsplit("/", 1)[0].split("/touchline/")[-1] for f in keep.inputFiles()} if keep is not None else set()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made[since:]:
+        if path.split("/touchline/")[-1] not in held:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    _made[since:] = [p for p in _made[since:] if p.split("/touchline/")[-1] in held]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +76,16 @@ def drop_stage(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def box(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``row``: whatever their names, they can't clash with inner ones."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def unbox(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of a boxed row, some of them replaced."""
+    return [new.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, whose whole texts go to Python: Arrow batches of its session hold at most ``TEXT_ROWS``
     rows from here on, as some texts are very long."""
@@ -89,6 +121,13 @@ def groups_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
+def _summary(edges: DataFrame) -> tuple:
+    """Count, sums and sum of hashes: alike for equal sets of edges, for others by a chance of 2^-64 at most."""
+    wide = [F.sum(F.col(c).cast("decimal(38,0)")) for c in ("u", "v")]
+    hashed = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count(F.lit(1)), *wide, hashed).first())
+
+
 def components(links: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of links (a long, b long): rows (id, component), component the smallest
     id reachable.  Ids without a link have no row.
@@ -101,6 +140,7 @@ def components(links: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     edges = stage(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-e"
     )
+    was = _summary(edges)
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -111,11 +151,12 @@ def components(links: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         after = stage(small.distinct(), f"{name}-s")
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        now = _summary(after)
         drop_stage(large, edges)
         edges = after
-        if same:
+        if now == was:
             break
+        was = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

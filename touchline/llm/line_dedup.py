@@ -17,7 +17,7 @@ Native: DataFrame and SQL functions only.
 
 Edge cases: null or empty texts stay as they are; exact repeats of a row (doc_id and text, a null id
 too) count as the same place and get the same result; rows that share an id but not the text are
-documents of their own, as are rows with null ids; extra columns pass through.
+documents of their own, as are rows with null ids; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_mask, mask_of, stage
+from .common import box, in_mask, mask_of, stage, unbox
 
 MIN_CHARS = 20
 _LAST = 9223372036854775807
@@ -36,41 +36,45 @@ _STEP = "cast(2147483648 as decimal(10,0))"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``__key``, in order of the doc_id, null ids last: one for each doc_id and text."""
-    ids = docs.select(F.col(id_col).cast("long").alias("__id")).where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
-    ids = stage(ids, "line-ids")
+    """(row, text, key): key is in order of the doc_id, null ids last, one for each doc_id and text."""
+    rows = docs.select(box(docs), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
+    ids = stage(rows.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "line-ids")
     # ranks of the texts of a repeated id, by hash; null ids, which may be very many, take the hash itself
-    known, digest = F.col(id_col).cast("long"), F.xxhash64(text_col)
-    rows = docs.withColumn("__id", known)
+    digest = F.xxhash64("text")
     if ids.isEmpty():
-        ranked = rows.withColumn("__rank", F.lit(0))
+        ranked = rows.withColumn("rank", F.lit(0))
     else:
-        mask = stage(mask_of(ids, "__id"), "line-ids-mask")
-        some = in_mask(rows, mask, "__id").withColumn("__text", digest)
-        ranks = some.join(ids, "__id", "left_semi").select("__id", "__text").distinct()
-        ranks = stage(ranks.withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy("__text"))), "line-ranks")
-        ranked = some.join(ranks, ["__id", "__text"], "left").select(*rows.columns, "__rank")
-        ranked = ranked.unionByName(in_mask(rows, mask, "__id", outside=True), allowMissingColumns=True)
-    low = F.when(F.col("__id").isNull(), F.lit(2147483648).cast("decimal(20,0)") + F.shiftrightunsigned(digest, 1)).otherwise(F.coalesce("__rank", F.lit(0)).cast("decimal(20,0)"))
-    key = F.coalesce("__id", F.lit(_LAST)).cast("decimal(20,0)") * F.expr(_STEP) + low
-    return ranked.withColumn("__key", key.cast("decimal(29,0)")).drop("__id", "__rank")
+        mask = stage(mask_of(ids, "id"), "line-ids-mask")
+        some = in_mask(rows, mask, "id").withColumn("digest", digest)
+        ranks = some.join(ids, "id", "left_semi").select("id", "digest").distinct()
+        ranks = stage(ranks.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("digest"))), "line-ranks")
+        ranked = some.join(ranks, ["id", "digest"], "left").select(*rows.columns, "rank")
+        ranked = ranked.unionByName(in_mask(rows, mask, "id", outside=True), allowMissingColumns=True)
+    low = F.when(F.col("id").isNull(), F.lit(2147483648).cast("decimal(20,0)") + F.shiftrightunsigned(digest, 1)).otherwise(F.coalesce("rank", F.lit(0)).cast("decimal(20,0)"))
+    key = F.coalesce("id", F.lit(_LAST)).cast("decimal(20,0)") * F.expr(_STEP) + low
+    return ranked.select("row", "text", key.cast("decimal(29,0)").alias("key"))
 
 
 def _place(key, line_no):
     return (key * F.expr(_STEP) + line_no.cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def _lines(keyed: DataFrame, text_col: str, min_chars: int) -> DataFrame:
+def _hashes(column: str, a: str, b: str) -> dict:
+    """Two hashes of a column of which neither follows from the other."""
+    return {a: F.xxhash64(column), b: F.xxhash64(F.lit(1), column)}
+
+
+def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
     """(place, line, h1, h2) of the lines that take part."""
-    cut = keyed.select(F.col("__key").alias("_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_no", "_raw"))
-    line = cut.select(_place(F.col("_id"), F.col("_no")).alias("place"), F.trim("_raw").alias("line")).where(F.length("line") >= min_chars)
-    return line.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
+    cut = keyed.select("key", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
+    line = cut.select(_place(F.col("key"), F.col("no")).alias("place"), F.trim("raw").alias("line")).where(F.length("line") >= min_chars)
+    return line.withColumns(_hashes("line", "h1", "h2"))
 
 
-def near_lines(keyed: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def near_lines(keyed: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(first, near): each distinct line's first place; distinct lines with an earlier one-edit
     partner, verified by edit distance, with that partner's place as ``witness``."""
-    lines = _lines(keyed, text_col, min_chars)
+    lines = _lines(keyed, min_chars)
     n, half = F.length("line"), lambda n: F.floor(n / 2).cast("int")
     keys = []
     for size in (n, n - 1):  # the line as the shorter, or the longer, of a pair
@@ -89,7 +93,7 @@ def near_lines(keyed: DataFrame, text_col: str = "text", min_chars: int = MIN_CH
     gone = texts.select("h1", "h2", "place", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("at"))
     variant = F.concat(F.substring("line", F.lit(1), F.col("at") - 1), F.substring("line", F.col("at") + 1, F.length("line")))
     gone = gone.select("h1", "h2", "place", "at", variant.alias("v"))
-    gone = gone.select(F.xxhash64("v").alias("v1"), F.xxhash64("v", F.lit(1)).alias("v2"), "at", "h1", "h2", "place")
+    gone = gone.withColumns(_hashes("v", "v1", "v2")).select("v1", "v2", "at", "h1", "h2", "place")
     whole = texts.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), F.lit(0).alias("at"), "h1", "h2", "place")
     group, same = Window.partitionBy("v1", "v2"), Window.partitionBy("v1", "v2", "at")
     at = F.col("at")
@@ -114,35 +118,32 @@ def near_lines(keyed: DataFrame, text_col: str = "text", min_chars: int = MIN_CH
     return first.select("h1", "h2", "place"), stage(near, "line-near")
 
 
-def dropped_lines(keyed: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(__key, line_no, reason): reason ``exact`` or ``near``, one row per document line that goes."""
-    first, near = near_lines(keyed, text_col, min_chars)
-    own = _lines(keyed, text_col, min_chars).select("place", "h1", "h2")
+def dropped_lines(keyed: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(key, line_no, reason): reason ``exact`` or ``near``, one row per document line that goes."""
+    first, near = near_lines(keyed, min_chars)
+    own = _lines(keyed, min_chars).select("place", "h1", "h2")
     verdict = first.join(near.withColumn("is_near", F.lit(True)), ["h1", "h2"], "left")
     tagged = own.join(verdict.select("h1", "h2", F.col("place").alias("start"), "is_near"), ["h1", "h2"])
     out = tagged.where("place > start or is_near")
     return out.select(
-        F.expr(f"cast(floor((place - pmod(place, {_STEP})) / {_STEP}) as decimal(29,0))").alias("__key"),
+        F.expr(f"cast(floor((place - pmod(place, {_STEP})) / {_STEP}) as decimal(29,0))").alias("key"),
         F.expr(f"cast(pmod(place, {_STEP}) as int)").alias("line_no"),
         F.when(F.col("place") > F.col("start"), "exact").otherwise("near").alias("reason"),
     ).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with duplicate lines out of its text, and ``_exact``/``_near``: how many went.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, counts: tuple[str, str] | None = ("_exact", "_near")) -> DataFrame:
+    """``docs`` with duplicate lines out of its text; ``counts`` names two columns that say how many went.
 
-    Lines that stay keep their characters, order and separators; a text whose lines all go is empty.
-    """
+    Lines that stay keep their characters, order and separators; a text whose lines all go is empty."""
     keyed = _keyed(docs, id_col, text_col)
-    gone = dropped_lines(keyed, text_col, min_chars).groupBy("__key").agg(
-        F.collect_set("line_no").alias("__gone"), F.sum((F.col("reason") == "exact").cast("long")).alias("_exact"), F.sum((F.col("reason") == "near").cast("long")).alias("_near")
-    )
-    gone = stage(gone, "line-gone")
+    of = lambda reason: F.sum((F.col("reason") == reason).cast("long")).alias(reason)
+    gone = stage(dropped_lines(keyed, min_chars).groupBy("key").agg(F.collect_set("line_no").alias("gone"), of("exact"), of("near")), "line-gone")
     # only texts that lose lines are shuffled
-    mask = stage(mask_of(gone, "__key"), "line-gone-mask")
-    joined = in_mask(keyed, mask, "__key").join(gone, "__key", "left").unionByName(in_mask(keyed, mask, "__key", outside=True), allowMissingColumns=True)
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce("_exact", F.lit(0)).alias("_exact"), F.coalesce("_near", F.lit(0)).alias("_near")
-    )
+    mask = stage(mask_of(gone, "key"), "line-gone-mask")
+    keyed, old = keyed.drop("text"), F.col("row").getField(text_col)
+    joined = in_mask(keyed, mask, "key").join(gone, "key", "left").unionByName(in_mask(keyed, mask, "key", outside=True), allowMissingColumns=True)
+    kept = F.filter(F.split(old, "\n", -1), lambda _, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    went = [F.coalesce(c, F.lit(0).cast("long")).alias(name) for c, name in zip(("exact", "near"), counts or ())]
+    return joined.select(*unbox(docs.columns, **{text_col: text}), *went)
