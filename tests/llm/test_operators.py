@@ -114,6 +114,54 @@ def test_toxicity(spark, odd):
     assert toxicity.scored(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def plain_score(model, text):
+    """The noisy-or of the sentences' logistic scores, from the text alone."""
+    import math
+    import re
+
+    keep, n = 1.0, 0
+    for s in re.split(r"[.!?\n]+", (text or "").lower()):
+        if s.strip():
+            n += 1
+            words = {w for w in re.findall(r"[^\W\d_]+", s)}
+            keep *= 1 - 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(w, 0.0) for w in words))))
+    return 1 - (keep if n else 1 - 1 / (1 + math.exp(-model.bias)))
+
+
+def test_toxicity_score_is_the_noisy_or_of_its_sentences(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.train(docs.where(fold != 1), labels.where(fold != 1))
+    out = {r["doc_id"]: r for r in toxicity.scored(docs, labels).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert model.weights and set(out) == set(text)
+    for d, t in text.items():
+        assert abs(out[d]["score"] - plain_score(model, t)) < 1e-6
+        spans = [tuple(map(int, s.split(":"))) for s in out[d]["offending"].split(",") if s]
+        assert all(plain_score(model, t[a:b]) >= 0.5 - 1e-9 for a, b in spans) and (not spans or out[d]["score"] >= 0.5)
+    marked = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    hit = [out[d]["predicted"] for d, y in marked.items() if y == 1 and out[d]["held_out"]]
+    assert hit and np.mean(hit) > 0.6 and np.mean([out[d]["predicted"] for d, y in marked.items() if y == 0 and out[d]["held_out"]]) < 0.02
+
+
+def noisy_or_loss(docs, theta):
+    total = 0.0
+    for found, plain, y in docs:
+        keep = (1 - 1 / (1 + np.exp(-theta[0]))) ** plain
+        for s in found:
+            keep *= 1 - 1 / (1 + np.exp(-(theta[0] + sum(theta[1 + w] for w in s))))
+        total -= np.log(1 - keep) if y else np.log(keep)
+    return total / len(docs)
+
+
+def test_training_stands_where_the_numeric_gradient_is_flat():
+    docs = [([[0]], 3, 1), ([[0]], 2, 0), ([[0, 1]], 2, 1), ([[1]], 3, 0), ([[1]], 2, 1), ([], 4, 0), ([[1], [1]], 1, 0)] * 20
+    b, w = toxicity.fit_noisy_or(docs, 2, steps=6000, rate=0.02, decay=0.0)
+    theta = np.array([b, *w])
+    slope = [(noisy_or_loss(docs, theta + h) - noisy_or_loss(docs, theta - h)) / 2e-4 for h in 1e-4 * np.eye(3)[1:]]
+    assert np.abs(slope).max() < 1e-3 and noisy_or_loss(docs, theta) < noisy_or_loss(docs, np.array([b, 0.0, 0.0]))
+
+
 def test_gradient_of_noisy_or():
     """The trained weights beat their neighbours, so the gradient points the right way."""
     docs = [([[0]], 3, 1), ([[0, 1]], 2, 1), ([[1]], 3, 0), ([], 4, 0), ([[1], [1]], 1, 0)] * 20

@@ -75,6 +75,13 @@ class Model:
             keep += np.log1p(-min(self.sentence(sum(ws)), 1 - 1e-12))
         return float(min(1.0, max(0.0, -np.expm1(keep))))
 
+    def offending(self, text: str | None, least: float = 0.5):
+        """(start, end, score) of the sentences that score ``least`` or more; a text that scores less has none."""
+        for a, b, words in sentences(text):
+            p = self.sentence(sum(self.weights.get(w, 0.0) for w in words))
+            if p >= least:
+                yield a, b, float(p)
+
 
 def fit_noisy_or(docs: list[tuple[list[list[int]], int, int]], n_words: int, steps: int = 600, rate: float = 0.1, decay: float = 1e-5) -> tuple[float, np.ndarray]:
     """(bias, weights) that make the labels likely; docs: (word numbers by sentence, other sentences, label)."""
@@ -148,6 +155,18 @@ def scorer(model: Model):
     return run
 
 
+def marker(model: Model, least: float = 0.5):
+    """A function from a text column to (score, offending): the spans ``start:end`` of the sentences that
+    score ``least`` or more, joined by commas."""
+
+    @F.pandas_udf("score double, offending string")
+    def run(text: pd.Series) -> pd.DataFrame:
+        scores = [model.score(t) for t in text]
+        return pd.DataFrame({"score": scores, "offending": [",".join(f"{a}:{b}" for a, b, _ in model.offending(t, least)) if s >= least else "" for t, s in zip(text, scores)]})
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_score``, the score of its text; other columns pass through as they are."""
     return text_batches(docs).withColumn("_score", scorer(model)(F.col(text_col)))
@@ -160,10 +179,7 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                for a, b, words in sentences(text):
-                    p = model.sentence(sum(model.weights.get(w, 0.0) for w in words))
-                    if p >= least:
-                        out.append((None if pd.isna(doc) else int(doc), a, b, float(p)))
+                out += [(None if pd.isna(doc) else int(doc), *found) for found in model.offending(text, least)]
             frame = pd.DataFrame(out, columns=["doc_id", "start", "end", "sentence_score"])
             yield frame.assign(doc_id=pd.array([x[0] for x in out], dtype="Int64"))
 
@@ -171,10 +187,10 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, for every document.
+    """doc_id, held_out, score, predicted, offending (spans of sentences), for every document.
 
     Labels of held-out rows (crc32 of the id's text mod 3 is 1) are never read."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     learn = train(docs.where(fold != 1), labels.where(fold != 1))
-    out = score(docs.select("doc_id", "text"), learn)
-    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = text_batches(docs.select("doc_id", "text")).select("doc_id", marker(learn)(F.col("text")).alias("found"))
+    return out.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), F.col("found.score").alias("score"), (F.col("found.score") >= THRESHOLD).cast("int").alias("predicted"), F.col("found.offending").alias("offending"))
