@@ -261,11 +261,30 @@ def test_mixing(spark, odd):
     assert dict(zip(mixed.doc_id, mixed.n)) == {d: t for d, t in zip(m.doc_id, m.taken) if t}
     assert mixing.mixed_documents(odd).columns == odd.columns
     slots = mixing.schedule(spark, stage(mixing.source_plan(spark.createDataFrame([("a", 60000), ("b", 30000)], "source string, size long")).withColumn("source_no", F.when(F.col("source") == "a", 1).otherwise(2).cast("long")), "t")).toPandas()
+    assert slots.slot.is_unique
     first = slots.sort_values("slot").head(30)
     want = (slots.source_no == 1).mean()
     assert abs((first.source_no == 1).mean() - want) < 0.1  # spread evenly from the start
 
 
+def test_mixing_of_repeated_ids_and_its_order(spark):
+    rows = [(4, ""), (4, "a b c d"), (4, "a b c d"), (5, None), (6, "e " * 4000), (7, "f g")]
+    docs = spark.createDataFrame([(i, t, "s" if i < 7 else "t", 1, 2, 3) for i, t in rows], "doc_id long, text string, source string, _size int, _key int, size int")
+    out = mixing.mix(docs).toPandas()
+    assert (out.taken <= 3 * out["size"]).all() and out.first_slot.notna().tolist() == (out.taken > 0).tolist()
+    mixed = mixing.mixed_documents(docs, order="slot").toPandas()
+    assert mixed.columns.tolist() == docs.columns + ["slot"] and mixed.slot.notna().all()
+    assert mixed.text.str.split().str.len().sum() == out.taken.sum() and mixed.doc_id.value_counts()[4] >= 2
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = mixing.mixed_documents(docs).toPandas(), mixing.mixed_documents(docs, order="slot").toPandas()
+    assert sorted(zip(a.doc_id, a.text)) == sorted(zip(b.doc_id, b.text)) and b.slot.notna().all()
+    # in the mix's order sources alternate: no long run is without one that has a fifth of the words
+    words = b.sort_values("slot").assign(n=b.text.str.split().str.len())
+    big = words.groupby("source").n.sum().loc[lambda x: x > 0.2 * x.sum()].index
+    half = words[: len(words) // 2]
+    assert set(big) <= set(half.source)
+
+
 def brute_secrets(text):
     import re
 

@@ -19,7 +19,8 @@ interval, an equi-join that low-discrepancy points fill evenly.
 
 Edge cases: null texts have size 0 and take nothing; a source without words has target 0; null
 doc_ids and repeated rows are documents of their own (rows that agree in id and text share their
-place in the shuffle and take alike up to the words that are left); an empty table gives no rows.
+place in the shuffle and take alike up to the words that are left), also where only an id repeats; an
+empty table gives no rows; other columns, whatever their names, pass through ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stage
+from .common import WORD, box, stage, unbox
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 512
 PHI = 0.6180339887498949
-CHUNK = 16384
+CHUNK = 16384  # slots of a source that are ranked together
+DOCS_EACH = 400  # documents of a source that are, or the root of their number
 CELLS = 4096
 
 
@@ -116,27 +118,30 @@ def schedule(spark, plan: DataFrame) -> DataFrame:
     return hit.unionByName(late.select((F.lit(total) + F.col("rank")).alias("slot"), "source_no", "rank"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, shuffle_key, size, source_size, target, taken, full, part_from, part_to).
+def _shuffle_key(id_col: str, text_col: str, seed: int) -> Column:
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return F.md5(F.concat(ident, F.lit(f"/{seed}")))
 
-    ``taken`` is the words the mix takes of the document, repeats counted: ``full`` times all of it and
-    at most once its words [0, part) in ``part``."""
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with what the mix takes of them, the schedule (source_no, rank, slot))."""
     spark = docs.sparkSession
-    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.md5(F.concat(ident, F.lit(f"/{seed}"))).alias("key"), words_in(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _shuffle_key(id_col, text_col, seed).alias("key"), words_in(F.col(text_col)).alias("size"))
     sized = stage(sized, "mix-sizes")
     numbered = source_plan(sized, block_words).withColumn("source_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())).cast("long"))
     plan = stage(numbered, "mix-plan")
 
-    bits = max(0, min(16, (sized.count() // 20000).bit_length()))
-    chunk = F.shiftright(F.conv(F.substring("key", 1, 4), 16, 10).cast("int"), 16 - bits)
-    doc = sized.join(plan.select(F.col("source").alias("_src"), "source_no", "source_size", "n_blocks", "want", "target"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    doc = _ranked(doc.withColumn("chunk", chunk), "source_no", "chunk", ["key", "size"], F.col("size"), "start")
+    # a source has many chunks if it is hot, and neither they nor their totals grow beyond a task's reach
+    chunks = f"(n_docs div greatest({DOCS_EACH}, cast(sqrt(n_docs) as bigint)) + 1)"
+    doc = sized.join(plan.select(F.col("source").alias("_src"), "source_no", "source_size", "n_docs", "n_blocks", "want", "target"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
+    doc = _ranked(doc.withColumn("chunk", F.expr(f"(cast(conv(substring(key, 1, 8), 16, 10) as bigint) * {chunks}) div 4294967296")), "source_no", "chunk", ["key", "size"], F.col("size"), "start")
 
-    slots = schedule(spark, plan).join(plan.select("source_no", "source_size", "n_blocks", "want"), "source_no")
+    slots = stage(schedule(spark, plan), "mix-slots")
+    turns = slots.join(plan.select("source_no", "source_size", "n_blocks", "want"), "source_no")
     # block b holds the words [b * size div n, (b + 1) * size div n) of the stream
-    slots = slots.select(
+    turns = turns.select(
         "source_no",
+        "slot",
         F.expr("rank % n_blocks").alias("block"),
         F.expr("(rank div n_blocks) * source_size").alias("passed"),
         "want",
@@ -144,40 +149,56 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.expr("((rank % n_blocks + 1) * source_size) div n_blocks").alias("b_hi"),
     )
     cut = F.least(F.col("b_hi"), F.col("want") - F.col("passed"))
-    blocks = slots.where(cut > F.col("b_lo")).groupBy("source_no", "block").agg(
+    blocks = turns.where(cut > F.col("b_lo")).groupBy("source_no", "block").agg(
         F.sum((cut == F.col("b_hi")).cast("long")).alias("whole"),
         F.max(F.when(cut < F.col("b_hi"), cut)).alias("to"),
         F.min("b_lo").alias("b_lo"),
         F.min("b_hi").alias("b_hi"),
+        F.min("slot").alias("slot"),
     )
     first, last = F.expr("((start + 1) * n_blocks - 1) div source_size"), F.expr("((start + size) * n_blocks - 1) div source_size")
     parts = doc.where("size > 0").select("doc_id", "key", "source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     parts = parts.join(blocks, ["source_no", "block"])
     lo, hi = F.greatest("start", "b_lo"), F.least(F.col("start") + F.col("size"), F.col("b_hi"))
-    partly = F.greatest(F.least(hi, F.coalesce("to", lo)) - lo, F.lit(0).cast("long"))
-    taken = parts.groupBy("source_no", "key", "start").agg(F.sum(F.col("whole") * (hi - lo) + partly).alias("_taken"))
-    out = doc.join(taken, ["source_no", "key", "start"], "left").withColumn("taken", F.coalesce("_taken", F.lit(0).cast("long")))
-    return out.select("doc_id", "source", "key", "size", "source_size", "target", "taken", "start")
+    words = F.col("whole") * (hi - lo) + F.greatest(F.least(hi, F.coalesce("to", lo)) - lo, F.lit(0).cast("long"))
+    taken = parts.withColumn("_words", words).groupBy("source_no", "key", "start").agg(F.sum("_words").alias("_taken"), F.min(F.when(F.col("_words") > 0, F.col("slot"))).alias("_slot"))
+    # rows without words share their start with the next row and take nothing
+    out = doc.join(taken, ["source_no", "key", "start"], "left").withColumns({"taken": F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long"), "first_block": F.when(F.col("size") > 0, first)})
+    out = out.withColumn("first_slot", F.when(F.col("taken") > 0, F.col("_slot")))
+    return out.select("doc_id", "source", "key", "size", "source_size", "target", "taken", "start", "first_slot", "source_no", "n_blocks", "first_block"), slots
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, source, key, size, source_size, target, taken, start, first_slot).
+
+    ``taken`` is the words the mix takes of the document, repeats counted; ``first_slot`` the slot of the
+    schedule where it first takes some, null if it takes none."""
+    out, _ = _mix(docs, id_col, text_col, source_col, seed, block_words)
+    return out.drop("source_no", "n_blocks", "first_block")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 0, order: str | None = None) -> DataFrame:
     """The mix itself, in the columns of ``docs``: each document as often as it is taken whole, and
     once more with its first words only where the mix takes part of it.
 
-    Words of a part are joined by single spaces."""
-    plan = mix(docs, seed=seed)
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    size = words_in(F.col("text"))
+    Words of a part are joined by single spaces.  ``order`` names one more column: the slot of the
+    schedule where a copy begins; the rows sorted by it are the mix in its order."""
+    plan, slots = _mix(docs, "doc_id", "text", "source", seed, BLOCK_WORDS)
     # rows that agree in id, source and size are one kind; each gets the kind's takings in turn
-    kind = plan.where("taken > 0").groupBy(F.col("key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_takes"))
-    keyed = docs.withColumns({"_k": F.md5(F.concat(ident, F.lit(f"/{seed}"))), "_n": size})
-    turn = F.row_number().over(Window.partitionBy("_k", "source", "_n").orderBy("text"))
-    full = keyed.withColumn("_turn", turn).join(kind, (F.col("_k") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")))
-    full = full.withColumn("_take", F.try_element_at("_takes", F.col("_turn"))).where("_take > 0")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_take - 1) div _size")))
-    rows = full.select(*docs.columns, "_take", "_size", copies.alias("_copy"))
-    left = F.least(F.col("_size"), F.col("_take") - F.col("_copy") * F.col("_size"))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
-    text = F.when(left == F.col("_size"), F.col("text")).otherwise(part)
+    take = F.struct("taken", "n_blocks", "first_block", "source_no")
+    kind = plan.where("taken > 0").groupBy("key", F.col("source").alias("src"), "size").agg(F.sort_array(F.collect_list(take), asc=False).alias("takes"))
+    rows = docs.select(box(docs), _shuffle_key("doc_id", "text", seed).alias("k"), F.col("source").alias("s"), words_in(F.col("text")).alias("n"))
+    turn = F.row_number().over(Window.partitionBy("k", "s", "n").orderBy(F.col("row").getField("text")))
+    full = rows.withColumn("turn", turn).join(kind, (F.col("k") == F.col("key")) & F.col("s").eqNullSafe(F.col("src")) & (F.col("n") == F.col("size")))
+    full = full.withColumn("take", F.try_element_at("takes", F.col("turn"))).where("take.taken > 0")
+    copies = full.select("row", "take", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(take.taken - 1) div size"))).alias("copy"))
+    left = F.least(F.col("size"), F.col("take.taken") - F.col("copy") * F.col("size"))
+    own = F.col("row").getField("text")
+    part = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left.cast("int")), " ")
+    text = F.when(left == F.col("size"), own).otherwise(part)
     new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    if order is None:
+        return copies.select(*unbox(docs.columns, **new))
+    turns = slots.select(F.col("source_no").alias("no"), "rank", F.col("slot").alias("at"))
+    begins = F.col("copy") * F.col("take.n_blocks") + F.col("take.first_block")
+    return copies.join(turns, (F.col("take.source_no") == F.col("no")) & (begins == F.col("rank")), "left").select(*unbox(docs.columns, **new), F.col("at").alias(order))

@@ -34,7 +34,7 @@ def op5_ann(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,14 +113,32 @@ with sized as (
   select *, sum(case when fills then cap else 0 end) over () cs, sum(case when fills then 0 else w end) over () ws from filled
 ), tgt as (
   select source, source_size, case when fills then cap::double else (total - cs)::double * w::double / ws::double end target from agg
+), plan as (
+  select *, row_number() over (order by source nulls last) source_no, round(target)::bigint want, greatest(1, round(source_size / 512))::bigint n_blocks from tgt
+), slots as (
+  select *, case when source_size = 0 then 0 else want // source_size * n_blocks + ceil(want % source_size * n_blocks / source_size) end::bigint n_slots from plan
+), cum as (
+  select *, sum(n_slots) over (order by source_no) hi, sum(n_slots) over () total from slots
+), points as (
+  select t, (t + 1) * 0.6180339887498949::double - floor((t + 1) * 0.6180339887498949::double) x from range((select coalesce(max(total), 0) from cum)::bigint) r(t)
+), hit as (
+  select source_no, t slot, row_number() over (partition by source_no order by t) - 1 as rank
+  from points join cum on x >= (hi - n_slots)::double / total and x < hi::double / total
+), late as (
+  select source_no, unnest(range((select count(*) from hit h where h.source_no = c.source_no), n_slots)) as rank, total from cum c
+), turns as (
+  select source_no, slot, rank from hit union all select source_no, (total + rank)::bigint, rank from late
 ), doc as (
-  select s.*, t.source_size, t.target, round(t.target)::bigint want,
-    coalesce(sum(size) over (partition by s.source order by k, size rows between unbounded preceding and 1 preceding), 0)::bigint start
-  from sized s join tgt t on s.source is not distinct from t.source
+  select s.*, p.source_no, p.source_size, p.target, p.want, p.n_blocks,
+    coalesce(sum(size) over (partition by s.source order by k, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from sized s join plan p on s.source is not distinct from p.source
+), mixed as (
+  select *, case when source_size = 0 then 0 else want // source_size * size + greatest(0, least(start + size, want % source_size) - start) end::bigint taken,
+    case when size > 0 then ((start + 1) * n_blocks - 1) // source_size end first_block
+  from doc
 )
-select doc_id, size, source_size, target,
-  case when source_size = 0 then 0 else want // source_size * size + greatest(0, least(start + size, want % source_size) - start) end::bigint taken
-from doc
+select doc_id, size, source_size, target, taken, case when taken > 0 then slot end::bigint first_slot
+from mixed m left join turns t on t.source_no = m.source_no and t.rank = m.first_block
 """
 
 
