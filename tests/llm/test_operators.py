@@ -230,6 +230,9 @@ def test_ann(spark):
     assert np.mean(hits) >= 0.9 and set(out.query_id) == set(truth)
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (50, [0.0, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0, 0.0]), (8, [1e200, 1e200])]
     got = ann.search(spark.createDataFrame([(*r, "x") for r in v], "vec_id long, embedding array<double>, cls string")).toPandas().sort_values(["query_id", "rank"])
+    big = spark.createDataFrame([(50, [1e200, 1e200]), (51, [2e200, 2e200]), (52, [1e-300, 1e-300]), (53, [1.0, 0.5])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], round(r["score"], 12)) for r in ann.search(big).orderBy("rank").collect()] == [(51, 1.0), (52, 1.0), (53, round(1.5 / np.sqrt(2.5), 12))]
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in vector_graph.near_vectors(big).collect()} == {(50, 2, 50), (51, 2, 50), (52, 2, 50), (53, 0, 53)}
     assert got[got.query_id == 0].vec_id.tolist()[:2] == [1, 2] and set(got[got.query_id == 50].vec_id) >= {0, 1, 2}
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
@@ -240,6 +243,67 @@ def test_ann_of_repeated_rows(spark):
     assert got[got.query_id == 0].vec_id.tolist() == [7, 8, 9, 10, 11]
 
 
+def clustered(n, clusters, dim, noise, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, n)]
+    return x + rng.normal(size=x.shape) * noise
+
+
+def recall(out, truth):
+    by = {}
+    for r in out:
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return np.mean([len({x for x, _ in t} & by.get(q, set())) / len(t) for q, t in truth.items()])
+
+
+def test_ann_of_clustered_vectors_needs_few_buckets(spark, monkeypatch):
+    """The equi-join of keys alone answers them, from a small share of the table."""
+    v = clustered(6000, 500, 32, 0.08)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    seen, plain, blocked = [], ann.probes, ann.in_blocks
+
+    def watched(index, queries, width, reach):
+        asked, load = plain(index, queries, width, reach)
+        seen.append((load.where(F.col("rows") <= ann.bearable(6000, 5)).agg(F.sum("rows")).first()[0] or 0) / (6000 * 120))
+        return asked, load
+
+    def counted(index, queries, *rest):
+        seen.append(queries.count() / 120)
+        return blocked(index, queries, *rest)
+
+    monkeypatch.setattr(ann, "probes", watched)
+    monkeypatch.setattr(ann, "in_blocks", counted)
+    out = ann.search(df).collect()
+    assert sum(seen) < 0.2, seen
+    assert recall(out, ann.brute_force(list(enumerate(v)))) >= 0.97
+
+
+def test_ann_recall_on_the_largest_table(spark):
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    truth = ann.brute_force([(i, np.array(x, float)) for i, x in zip(e.vec_id, e.embedding)])
+    assert recall(queries.op5_ann(spark, sf).collect(), truth) >= 0.9
+
+
+def test_keys_within_a_reach_are_all_codes_in_the_radius(spark):
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 256, (300, 32), dtype=np.uint8)
+    near = codes[:40].copy()
+    for c in near:  # up to 47 of 256 bits away
+        for bit in rng.choice(256, rng.integers(1, 48), replace=False):
+            c[bit // 8] ^= 128 >> (bit % 8)
+    every = np.concatenate([codes, near])
+    rows = [(8, i, [1.0 + i] * 8, l.tolist(), s.tolist()) for i, (l, s) in enumerate(zip(ann.as_longs(every), ann.substrings(every, 16)))]
+    assert (ann.as_bytes([r[3] for r in rows]) == every).all()
+    index = spark.createDataFrame(rows, "dim int, cls long, vec array<double>, code array<long>, sub array<long>")
+    asked, load = ann.probes(index, index.where("cls < 40"), 16, 2)
+    keys = index.select("dim", "cls", F.posexplode("sub").alias("j", "v"))
+    met = {(r["q"], r["cls"]) for r in asked.join(keys, ["dim", "j", "v"]).select("q", "cls").distinct().collect()}
+    want = {(q, int(i)) for q in range(40) for i in np.flatnonzero(ann.hamming(codes[q], every) <= 47)}
+    assert want <= met and len(ann.masks(16, 2)) == 137
+    assert load.agg(F.sum("rows")).first()[0] >= len(met)
+
+
 def test_multi_index_is_exact():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)

@@ -19,7 +19,7 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
 def classes(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(members, classes): (id, cls) for each row and (cls, vec, size) for each distinct vector;
     cls is the smallest id that has it.  A vector that very many rows share is one class."""
-    v = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64("vec", F.lit(1))})
+    v = rows.withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(1), "vec")})
     firsts = stage(v.groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("size")), f"{name}-firsts")
     held = v.join(firsts.withColumnRenamed("cls", "id"), ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
     held = stage(held.select(F.col("id").alias("cls"), "vec", "size"), f"{name}-classes")
@@ -37,7 +37,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows brought near to length one by a power of two, which changes no digit of a cosine."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of paired rows, in double precision, the same whatever else is computed beside them."""
+    """Of paired rows, in double precision, the same whatever else is computed beside them; very large or
+    small parts neither overflow nor vanish."""
+    a, b = scaled(a), scaled(b)
     dot = np.einsum("ij,ij->i", a, b)
     return dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
