@@ -503,6 +503,43 @@ def exact_graph(v):
     return [(int(k), int(c)) for k, c in zip(link.sum(axis=1), comp)]
 
 
+def test_range_search_walks_the_graph():
+    """Searches of many nodes at once find what lies in range, and never more than that."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(40, 16))
+    u = base[rng.integers(0, 40, 900)] + rng.normal(size=(900, 16)) * rng.choice([0.05, 0.2, 0.5], size=(900, 1))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    edges = vector_graph.shard_graph(u)
+    assert (edges[:, 0] != edges[:, 1]).all() and np.bincount(edges[:, 0]).max() <= 2 * vector_graph.DEGREE and len(np.unique(edges, axis=0)) == len(edges)
+    adj = vector_graph.padded(edges[:, 0], edges[:, 1], len(u))
+    row, hit = vector_graph.range_search(u, adj, np.arange(len(u)), vector_graph.medoid(u))
+    got, true = set(zip(row.tolist(), hit.tolist())), {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.95)) if i != j}
+    assert got <= true and len(got) >= 0.98 * len(true) and len(got) == len(row)
+
+
+def test_robust_prune_against_the_plain_rule():
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(30, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for i in range(10):
+        near = [int(j) for j in np.argsort(-(v @ v[i])) if j != i]
+        kept, dist = [], lambda a, b: np.linalg.norm(v[a] - v[b])
+        for j in near:
+            if all(1.2 * dist(k, j) > dist(i, j) for k in kept) and len(kept) < 6:
+                kept.append(j)
+        mask = vector_graph.robust_prune((v[near] @ v[i])[None], (v[near] @ v[near].T)[None], 6, 1.2)[0]
+        assert [j for j, m in zip(near, mask) if m] == kept
+
+
+def test_vector_graph_of_two_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 30)
+    rng = np.random.default_rng(14)
+    parts = [(rng.normal(size=(25, d))[rng.integers(0, 25, 300)] + rng.normal(size=(300, d)) * 0.1).tolist() for d in (8, 12)]
+    df = spark.createDataFrame(list(enumerate(parts[0] + parts[1])), "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], (r["n_links"], r["component_id"])) for r in vector_graph.near_vectors(df).collect())
+    assert [g for _, g in got] == exact_graph(parts[0]) + [(n, c + 300) for n, c in exact_graph(parts[1])]
+
+
 def test_vector_graph_bridge(spark):
     """Both ends of the only link between two groups have four nearer partners and a smaller id in their own."""
     at = {0: 0, 2: 1, 4: 2, 6: 3, 8: 4, 9: 22, 7: 23, 5: 24, 3: 25, 1: 26}
@@ -542,7 +579,7 @@ def test_vector_graph_clusters_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "SHARD", 30)
     monkeypatch.setattr(vector_graph, "SAMPLE", 40)
     cls = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "cls long, vec array<double>, size long")
-    shards = vector_graph._shards(cls, len(v), 1, "t").toPandas()
+    shards = vector_graph._shards(cls, 1, "t").toPandas()
     assert shards.groupby("shard").size().max() <= 4 * 30 * 2
     home = shards[shards.home].groupby("cls").size()
     assert len(home) == len(v) and (home == 1).all()

@@ -42,6 +42,7 @@ CLUSTERINGS = 3
 DEGREE = 16
 ALPHA = 1.2
 BEAM = 8
+SEARCHES = 1024  # at once
 BLOCK = 2048
 AUDIT = 200
 REFINE = 10_000
@@ -62,78 +63,121 @@ def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def robust_prune(sims: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
-    """Of candidates ``near`` (nearest first) of one vector, those that no kept one leads to.
+def robust_prune(own: np.ndarray, among: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
+    """Which candidates of each vector stay: those, nearest first, that no kept one leads to.
 
-    sims: cosine of the vector and its candidates, row 0 the vector's own, then the candidates' among
-    each other."""
-    dist = np.sqrt(np.maximum(0.0, 2 - 2 * sims))
-    alive, kept = np.ones(len(near), bool), []
-    for i in range(len(near)):
-        if not alive[i]:
-            continue
-        kept.append(int(near[i]))
-        if len(kept) == degree:
-            break
-        alive &= alpha * dist[i + 1] > dist[0]
-        alive[: i + 1] = False
+    own: (vectors, candidates), cosines of a vector and its candidates, falling; among: (vectors,
+    candidates, candidates), those of the candidates among each other."""
+    far, step = np.sqrt(np.maximum(0.0, 2 - 2 * own)), np.sqrt(np.maximum(0.0, 2 - 2 * among))
+    alive, kept = np.ones(own.shape, bool), np.zeros(own.shape, bool)
+    for i in range(own.shape[1]):
+        take = alive[:, i] & (kept.sum(axis=1) < degree)
+        kept[:, i] = take
+        alive &= ~take[:, None] | (alpha * step[:, i] > far)
     return kept
 
 
-def shard_graph(u: np.ndarray, degree: int = DEGREE) -> list[list[int]]:
-    """Adjacency of a shard's unit vectors: the pool of nearest ones, pruned, with edges both ways."""
+def shard_graph(u: np.ndarray, degree: int = DEGREE) -> np.ndarray:
+    """(src, dst) of the edges of a shard's unit vectors: of each one's nearest the pruned ones, and edges
+    back, at most twice ``degree`` a vector."""
     n, pool = len(u), min(2 * degree + 8, len(u) - 1)
     if n < 2:
-        return [[] for _ in range(n)]
-    adj: list[list[int]] = []
-    for lo in range(0, n, 512):
-        s = u[lo : lo + 512] @ u.T
-        s[np.arange(len(s)), lo + np.arange(len(s))] = -2
+        return np.zeros((0, 2), np.int64)
+    there = []
+    for lo in range(0, n, 256):
+        s = u[lo : lo + 256] @ u.T
+        at = np.arange(len(s))
+        s[at, lo + at] = -2
         near = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-        for i, cand in enumerate(near):
-            own = s[i, cand]
-            among = u[cand] @ u[cand].T
-            adj.append(robust_prune(np.vstack([own, among]), cand, degree))
-    back = [set(a) for a in adj]
-    for i, a in enumerate(adj):
-        for j in a:
-            if len(back[j]) < 2 * degree:
-                back[j].add(i)
-    return [sorted(b) for b in back]
+        close = u[near]
+        row, col = np.nonzero(robust_prune(np.take_along_axis(s, near, 1), close @ close.transpose(0, 2, 1), degree))
+        there.append(np.stack([lo + row, near[row, col]], axis=1))
+    there = np.concatenate(there)
+    key = there[:, 0] * n + there[:, 1]
+    back = there[:, ::-1]
+    back = back[~np.isin(back[:, 0] * n + back[:, 1], key)]
+    edges, late = np.concatenate([there, back]), np.repeat([0, 1], [len(there), len(back)])
+    edges = edges[np.lexsort([edges[:, 1], late, edges[:, 0]])]
+    starts = np.searchsorted(edges[:, 0], np.arange(n))
+    return edges[np.arange(len(edges)) - starts[edges[:, 0]] < 2 * degree]
 
 
 def medoid(u: np.ndarray) -> int:
     return int(np.argmax(u @ u.mean(axis=0)))
 
 
-def range_search(u: np.ndarray, adj: list[np.ndarray], q: int, start: int, least: float = LEAST, beam: int = BEAM) -> np.ndarray:
-    """Nodes within range of node ``q``: greedy from ``start`` and from its own list, then outward."""
-    seen = {start, q}
-    pool = [(float(u[start] @ u[q]), start)] if start != q else []
-    fresh = list({int(x) for x in adj[q]} - seen)
-    opened = {q}
+def padded(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """Adjacency lists as rows of a table, -1 where a list has ended."""
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    place = np.arange(len(src)) - np.searchsorted(src, np.arange(n))[src] if len(src) else np.zeros(0, int)
+    out = np.full((n, int(place.max(initial=0)) + 1), -1, np.int64)
+    out[src, place] = dst
+    return out
+
+
+def range_search(u: np.ndarray, adj: np.ndarray, nodes: np.ndarray, start: int, least: float = LEAST, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``nodes``, node) of what is found within range of each of ``nodes``, in many searches at once.
+
+    Each goes greedily from ``start`` and from the node's own list, its ``beam`` nearest at hand; whatever
+    is in range is opened besides, until no search finds a new node."""
+    b, n, each = len(nodes), len(u), np.arange(len(nodes))
+    seen = np.zeros((b, n), bool)
+    seen[each, nodes] = True
+    pool, sims = np.full((b, beam), -1, np.int64), np.full((b, beam), -3.0)
+    shut = np.ones((b, beam), bool)  # opened, or an empty place
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    row, new = each, np.full(b, start)
+    first = adj[nodes]
+    row, new = np.concatenate([row, np.repeat(each, adj.shape[1])]), np.concatenate([new, first.ravel()])
     while True:
-        if fresh:
-            seen.update(fresh)
-            pool += zip((u[fresh] @ u[q]).tolist(), fresh)
-            pool.sort(reverse=True)
-        # what is in range is opened whatever the beam's size
-        todo = [x for i, (s, x) in enumerate(pool) if (i < beam or s >= least) and x not in opened]
-        if not todo:
-            return np.array([x for s, x in pool if s >= least - _EPS], int)
-        in_range = [x for s, x in pool if s >= least and x not in opened]
-        step = in_range or todo[:1]
-        opened.update(step)
-        fresh = list({int(y) for x in step for y in adj[x]} - seen)
-
-
-def _centres(cls: DataFrame, n: int, seed: int) -> np.ndarray:
-    """Centroids of a sample of the most common dimension's vectors."""
-    sample = cls.where(F.size("vec") == cls.select(F.size("vec").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()["d"])
-    x = unit(matrix([r["vec"] for r in sample.orderBy(F.xxhash64("cls", F.lit(seed)), "cls").limit(SAMPLE).select("vec").collect()]))
-    k = min(groups_for(n, SHARD), max(1, len(x) // 8))
-    return k_means(x, k, seed)
+        ok = new >= 0
+        row, new = row[ok], new[ok]
+        fresh = ~seen[row, new]
+        key = np.unique(row[fresh] * n + new[fresh])
+        row, new = np.divmod(key, n)
+        seen[row, new] = True
+        s = np.einsum("ij,ij->i", u[nodes[row]], u[new])
+        near = s >= least - _EPS
+        if near.any():
+            found.append((row[near], new[near]))
+        # the others compete for the places of their search's pool
+        far_row, far, far_s = row[~near], new[~near], s[~near]
+        if len(far):
+            at = np.unique(far_row)
+            slot = np.searchsorted(at, far_row)
+            place = np.arange(len(far_row)) - np.searchsorted(far_row, at)[slot]
+            width = int(place.max()) + 1
+            ids, val = np.full((len(at), beam + width), -1, np.int64), np.full((len(at), beam + width), -3.0)
+            done = np.ones((len(at), beam + width), bool)
+            ids[:, :beam], val[:, :beam], done[:, :beam] = pool[at], sims[at], shut[at]
+            ids[slot, beam + place], val[slot, beam + place], done[slot, beam + place] = far, far_s, False
+            best = np.argsort(-val, axis=1, kind="stable")[:, :beam]
+            pool[at], sims[at], shut[at] = (np.take_along_axis(x, best, 1) for x in (ids, val, done))
+        # next: all that is new in range; where nothing is, the nearest of the pool that isn't opened
+        idle = ~shut.all(axis=1)
+        idle[row[near]] = False
+        rest = np.flatnonzero(idle)
+        pick = np.argmax(~shut[rest], axis=1)
+        shut[rest, pick] = True
+        go_row, go = np.concatenate([row[near], rest]), np.concatenate([new[near], pool[rest, pick]])
+        if not len(go):
+            break
+        row, new = np.repeat(go_row, adj.shape[1]), adj[go].ravel()
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _centres(cls: DataFrame, seed: int) -> dict[int, np.ndarray]:
+    """Centroids of samples of the vectors of each dimension; of a dimension that fits a shard, one."""
+    out = {}
+    for r in cls.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect():  # one row for each dimension
+        own = cls.where(F.size("vec") == r["d"])
+        x = unit(matrix([v["vec"] for v in own.orderBy(F.xxhash64("cls", F.lit(seed)), "cls").limit(SAMPLE if r["count"] > SHARD else 1).select("vec").collect()]))
+        out[r["d"]] = k_means(x, min(groups_for(r["count"], SHARD), max(1, len(x) // 8)), seed)
+    return out
 
 
 def _refined(rows: DataFrame, seed: int, name: str) -> DataFrame:
@@ -169,24 +213,20 @@ def _refined(rows: DataFrame, seed: int, name: str) -> DataFrame:
     return stage(rows.mapInPandas(assign, rows.schema), f"{name}-refined")
 
 
-def _shards(cls: DataFrame, n: int, seed: int, name: str) -> DataFrame:
-    """(shard, cls, vec, size, home): overlapping cluster shards of one clustering."""
-    c = _centres(cls, n, seed)
-    k, dim = c.shape
-    line = np.random.default_rng(seed + 1).normal(size=dim)
+def _shards(cls: DataFrame, seed: int, name: str) -> DataFrame:
+    """(shard, cls, vec, size, home): overlapping cluster shards of one clustering, a dimension's own."""
+    centres, first, lines = _centres(cls, seed), {}, {}
+    for d, c in centres.items():
+        first[d] = sum(len(centres[e]) for e in first)
+        lines[d] = np.random.default_rng(seed + 1).normal(size=d)
 
     def assign(batches):
         for pdf in batches:
-            rows = pdf[pdf["vec"].map(len) == dim]
-            if len(rows):
+            for d, rows in pdf.groupby(pdf["vec"].map(len)):
                 u = unit(matrix(rows["vec"]))
-                s = u @ c.T
-                top = np.argsort(-s, axis=1, kind="stable")[:, :OVERLAP]
+                top = np.argsort(-(u @ centres[d].T), axis=1, kind="stable")[:, :OVERLAP]
                 at = np.repeat(np.arange(len(rows)), top.shape[1])
-                yield pd.DataFrame({"cluster": top.ravel(), "along": (u @ line)[at], "home": np.tile(np.arange(top.shape[1]) == 0, len(rows)), "cls": rows["cls"].to_numpy()[at], "vec": rows["vec"].to_numpy()[at], "size": rows["size"].to_numpy()[at]})
-            odd = pdf[pdf["vec"].map(len) != dim]
-            if len(odd):  # rare dimensions: a cluster each
-                yield pd.DataFrame({"cluster": k + odd["vec"].map(len), "along": 0.0, "home": True, "cls": odd["cls"], "vec": odd["vec"], "size": odd["size"]})
+                yield pd.DataFrame({"cluster": first[d] + top.ravel(), "along": (u @ lines[d])[at], "home": np.tile(np.arange(top.shape[1]) == 0, len(rows)), "cls": rows["cls"].to_numpy()[at], "vec": rows["vec"].to_numpy()[at], "size": rows["size"].to_numpy()[at]})
 
     rows = stage(cls.mapInPandas(assign, "cluster long, along double, home boolean, cls long, vec array<double>, size long"), f"{name}-assign")
     rows = _refined(rows, seed, name)
@@ -223,12 +263,8 @@ def _shards(cls: DataFrame, n: int, seed: int, name: str) -> DataFrame:
 
 def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     ids = pdf["cls"].to_numpy()
-    u = unit(matrix(pdf["vec"]))
-    src, dst = [], []
-    for i, a in enumerate(shard_graph(u)):
-        src += [ids[i]] * len(a)
-        dst += ids[a].tolist()
-    return pd.DataFrame({"src": np.array(src, "int64"), "dst": np.array(dst, "int64")})
+    edges = shard_graph(unit(matrix(pdf["vec"])))
+    return pd.DataFrame({"src": ids[edges[:, 0]], "dst": ids[edges[:, 1]]})
 
 
 def join_groups(v: np.ndarray, i: int, x: np.ndarray, hit: np.ndarray, label: np.ndarray) -> list[int]:
@@ -247,17 +283,27 @@ def _search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of the shard's home vectors: every link found joins its ends; those that join two groups
     are given out, at most one less than the shard has vectors."""
     ids, x = pdf["cls"].to_numpy(), matrix(pdf["vec"])
-    u, place = unit(x), {c: i for i, c in enumerate(pdf["cls"].tolist())}
-    adj = [np.array([place[b] for b in (a if a is not None else ()) if b in place], int) for a in pdf["adj"]]
+    u, order = unit(x), np.argsort(ids, kind="stable")
+    lists = [a if a is not None else () for a in pdf["adj"]]
+    src, dst = np.repeat(np.arange(len(ids)), [len(a) for a in lists]), np.concatenate([np.asarray(a, np.int64) for a in lists] + [np.zeros(0, np.int64)])
+    at = order[np.minimum(np.searchsorted(ids[order], dst), len(ids) - 1)]
+    here = ids[at] == dst  # a united list also names vectors of other shards
+    adj = padded(src[here], at[here], len(ids))
     start, out, label = medoid(u), [], np.arange(len(u))
-    for i in np.flatnonzero(pdf["home"].to_numpy()):
-        hit = range_search(u, adj, int(i), start)
-        out += [(int(ids[i]), int(ids[j])) for j in join_groups(x[i], int(i), x, hit, label)]
+    home = np.flatnonzero(pdf["home"].to_numpy())
+    for lo in range(0, len(home), SEARCHES):
+        nodes = home[lo : lo + SEARCHES]
+        row, hit = range_search(u, adj, nodes, start)
+        order_ = np.argsort(row, kind="stable")
+        row, hit = row[order_], hit[order_]
+        for k in np.unique(row):
+            i = int(nodes[k])
+            out += [(int(ids[i]), int(ids[j])) for j in join_groups(x[i], i, x, hit[np.searchsorted(row, k) : np.searchsorted(row, k, side="right")], label)]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _links(cls: DataFrame, n: int, seeds: range) -> DataFrame:
-    shards = [_shards(cls, n, s, f"vg-{s}") for s in seeds]
+def _links(cls: DataFrame, seeds: range) -> DataFrame:
+    shards = [_shards(cls, s, f"vg-{s}") for s in seeds]
     edges = None
     for s in shards:
         e = s.groupBy("shard").applyInPandas(_build, "src long, dst long")
@@ -288,30 +334,26 @@ def _pairs(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def exact_links(cls: DataFrame, n: int) -> DataFrame:
+def exact_links(cls: DataFrame) -> DataFrame:
     """Links that make the true components: none is missed, whatever the vectors.
 
     A vector is at home in the cell of its nearest pivot.  If x, at home with p, links with y, at home with
     q, then x.(p - q) <= (x - y).(p - q) <= |x - y| |p - q|, and |x - y|^2 is at most 2 - 2 * LEAST; x is
     compared with the cells that this leaves, in blocks.  Without structure that is all of them."""
-    c = _centres(cls, n, 0)
-    reach = np.sqrt(2 - 2 * LEAST) * np.linalg.norm(c[:, None] - c[None], axis=2) + 1e-6
+    centres = _centres(cls, 0)
+    reach = {d: np.sqrt(2 - 2 * LEAST) * np.linalg.norm(c[:, None] - c[None], axis=2) + 1e-6 for d, c in centres.items()}
 
     def assign(batches):
         for pdf in batches:
-            d = pdf["vec"].map(len)
-            rows = pdf[d == c.shape[1]]
-            for lo in range(0, len(rows), 512):
-                part = rows.iloc[lo : lo + 512]
-                s = unit(matrix(part["vec"])) @ c.T
-                own = np.argmax(s, axis=1)
-                near = s[np.arange(len(s)), own][:, None] - s <= reach[own]
-                near &= np.arange(len(c)) >= own[:, None]  # of a pair the one with the lower cell goes to the other's
-                at, cell = np.nonzero(near)
-                yield pd.DataFrame({"dim": c.shape[1], "cell": cell, "home": cell == own[at], "cls": part["cls"].to_numpy()[at], "vec": part["vec"].to_numpy()[at]})
-            odd = pdf[d != c.shape[1]]
-            if len(odd):
-                yield pd.DataFrame({"dim": odd["vec"].map(len), "cell": 0, "home": True, "cls": odd["cls"], "vec": odd["vec"]})
+            for d, rows in pdf.groupby(pdf["vec"].map(len)):
+                for lo in range(0, len(rows), 512):
+                    part = rows.iloc[lo : lo + 512]
+                    s = unit(matrix(part["vec"])) @ centres[d].T
+                    own = np.argmax(s, axis=1)
+                    near = s[np.arange(len(s)), own][:, None] - s <= reach[d][own]
+                    near &= np.arange(s.shape[1]) >= own[:, None]  # of a pair the one with the lower cell goes to the other's
+                    at, cell = np.nonzero(near)
+                    yield pd.DataFrame({"dim": d, "cell": cell, "home": cell == own[at], "cls": part["cls"].to_numpy()[at], "vec": part["vec"].to_numpy()[at]})
 
     rows = stage(cls.select("cls", "vec").mapInPandas(assign, "dim long, cell long, home boolean, cls long, vec array<double>"), "vg-exact")
     parts = lambda c: F.ceil(F.sum(c) / BLOCK).cast("int")
@@ -349,7 +391,8 @@ def count_links(cls: DataFrame, comps: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     held = held.join(sizes, "component").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     # small components share tasks, blocks of a large one have a task each pair
-    group = F.when(F.col("parts") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(256)))
+    few = sizes.where(F.col("n") <= BLOCK).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    group = F.when(F.col("parts") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(groups_for(few, BLOCK))))
     all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
     base = held.withColumn("grp", group)
     own = base.select("grp", F.col("part").alias("i"), F.explode(all_parts).alias("j"), "parts", "component", "cls", "vec", "size", F.lit(True).alias("own"))
@@ -396,7 +439,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     n = cls.count()
     links, counts, comps = None, None, None
     for attempt in range(TRIES if n else 0):
-        new = _links(cls, n, range(attempt * CLUSTERINGS + 1, (attempt + 1) * CLUSTERINGS + 1))
+        new = _links(cls, range(attempt * CLUSTERINGS + 1, (attempt + 1) * CLUSTERINGS + 1))
         links = new if links is None else links.union(new)
         comps = stage(components(links, "vg-cc"), "vg-comps")
         counts = stage(count_links(cls, comps), "vg-counts")
@@ -404,7 +447,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             break
     else:
         if n:
-            comps = stage(components(links.union(exact_links(cls, n)), "vg-cc"), "vg-comps")
+            comps = stage(components(links.union(exact_links(cls)), "vg-cc"), "vg-comps")
             counts = stage(count_links(cls, comps), "vg-counts")
     ids = rows.select(F.col(id_col).cast("long").alias("vec_id"))
     if not n:
