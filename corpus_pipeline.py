@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from touchline.llm.common import read, stage
+from touchline.llm.common import read, release, scratch_scope, stage
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,22 +18,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     labels = read(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     model = toxicity.train(docs.where(fold != 1), labels.where(fold != 1))
-    out = toxicity.score(docs, model)
-    return out.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return docs.where(toxicity.scorer(model)(F.col("text")) < toxicity.THRESHOLD)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an earlier equal or one-edit copy go from the texts; every document stays."""
-    out = line_dedup.dedup_lines(docs)
-    new = {"n_chars": F.length("text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    out = line_dedup.dedup_lines(docs, counts=None)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = near_dedup.near_components(docs)
-    keep = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies one document stays: that with the smallest id, null ids last."""
+    return near_dedup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch_scope() as made:
+        for name, function in STAGES[:-1]:
+            docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+            release(spark, made, keep=docs)  # what the stage worked with, and the stage before
     return STAGES[-1][1](spark, docs, sf_dir)
