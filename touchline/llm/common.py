@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 TEXT_ROWS = 1000
-_made: list[str] = []  # scratch folders of this process
+_scope = threading.local()
 _own: list[str] = []  # this process's folder for sessions that name none, as in tests
 
 
@@ -32,25 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/touchline/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    made = getattr(_scope, "made", None)
+    if made is not None:
+        made.append(path)
     return path
 
 
-def mark() -> int:
-    """A point in this process's list of scratch folders, for ``release``."""
-    return len(_made)
+@contextmanager
+def scratch_scope():
+    """The scratch folders that this thread makes inside the block, as a list for ``release``."""
+    outer, _scope.made = getattr(_scope, "made", None), []
+    try:
+        yield _scope.made
+    finally:
+        if outer is not None:
+            outer += _scope.made
+        _scope.made = outer
 
 
-def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the scratch folders made since a mark, but those that ``keep`` reads: for callers whose
-    results are written, as staged tables stay until someone says that no plan reads them any more."""
-    held = {f.rsplit("/", 1)[0].split("/touchline/")[-1] for f in keep.inputFiles()} if keep is not None else set()
+def release(spark: SparkSession, made: list[str], keep: DataFrame) -> None:
+    """Delete scratch folders, but those that ``keep`` reads: for callers whose result is written, as staged
+    tables stay until someone says that no plan reads them any more."""
+    place = lambda path: path.split("/touchline/")[-1].split("/")[0]
+    held = {place(f) for f in keep.inputFiles()}
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made[since:]:
-        if path.split("/touchline/")[-1] not in held:
+    for path in made:
+        if place(path) not in held:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
-    _made[since:] = [p for p in _made[since:] if p.split("/touchline/")[-1] in held]
+    made[:] = [p for p in made if place(p) in held]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -133,8 +145,8 @@ def components(links: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     id reachable.  Ids without a link have no row.
 
     Each round joins every id's smallest neighbour (large star, small star), so the links shrink to
-    stars in a logarithmic number of rounds.  Minima aggregate before the shuffle, so one hub costs
-    no task more than its share; the star joins are equi-joins that AQE may split.
+    stars in a logarithmic number of rounds.  Minima aggregate before the shuffle and are stored, so
+    the star joins are of two stored sides: small minima are broadcast, and AQE may split a hub's edges.
     """
     spark = links.sparkSession
     edges = stage(
@@ -143,16 +155,16 @@ def components(links: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     was = _summary(edges)
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-m")
         # large star: every larger neighbour of u goes to u's minimum
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where("u <> v").distinct(), f"{name}-l")
         # small star: u and its smaller neighbours go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-m")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         after = stage(small.distinct(), f"{name}-s")
         now = _summary(after)
-        drop_stage(large, edges)
+        drop_stage(large, edges, low, least)
         edges = after
         if now == was:
             break

@@ -3,10 +3,12 @@
 * A document's set is its distinct 5-word shingles, hashed to 64 bits.  Documents with equal sets are
   one class; only classes are compared.
 * Each class has ``TOKENS`` minwise tokens.  Independent trees branch the classes: a node picks one or
-  two of the token places by its own hash (4/3 on average, one over the similarity), and a class goes
-  to the child of each token it has there.  Similar classes meet in some node of some tree; the number
-  of trees sets the recall (at similarity 0.75 a class pair misses a tree with probability about 0.25
-  at the first level and 0.45 below, so twelve trees miss fewer than one pair in ten thousand).
+  two of the token places by its own hash (4/3 on average, one over the similarity; two at the first
+  level that only large nodes reach), and a class goes to the child of each token it has there.  Similar
+  classes meet in some node of some tree; the number of trees sets the recall.  At similarity s a pair
+  that goes on to a node with miss m below misses a place with 1 - s + s * m; at 0.75 a pair that is
+  compared after the first branching misses a tree with probability 0.19, one that has to go down all
+  ``DEPTH`` levels with 0.44, so twelve trees miss one in 10^8 and one in 20,000 of them.
 * In every node each class is first compared with the node's smallest id.  That joins groups of
   copies into components without making their pairs.  Nodes that lie in one component are done.
 * In a node only the classes outside its largest component are compared with all of it; a node is
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_stage, stage, text_batches
+from .common import box, components, drop_stage, stage, text_batches, unbox
 
 WORDS = 5
 PERCENT = 75
@@ -132,32 +134,40 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -
 
 
 def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """Children of (node, id, n, tokens): one token place by the node's hash, for a third of nodes two."""
+    """Children of (node, id, n, tokens): one token place by the node's hash, for a third of nodes, and for
+    all at the first level below the roots, two."""
     one = F.pmod(F.xxhash64("node", F.lit(2 * level)), F.lit(TOKENS)).cast("int")
     two = F.pmod(F.xxhash64("node", F.lit(2 * level + 1)), F.lit(3 * TOKENS)).cast("int")
-    places = F.explode(F.array_distinct(F.when(two < TOKENS, F.array(one, two)).otherwise(F.array(one))))
+    both = F.array_distinct(F.array(one, two % TOKENS))
+    places = F.explode(both if level == 1 else F.when(two < TOKENS, both).otherwise(F.array(one)))
     rows = rows.select("node", "id", "n", "tokens", places.alias("place"))
     return rows.select(F.xxhash64("node", "place", F.element_at("tokens", F.col("place") + 1)).alias("node"), "id", "n")
 
 
 def _met(rows: DataFrame, name: str) -> DataFrame:
     """Rows of nodes that hold two classes or more."""
-    held = rows.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("node", "low")
-    return stage(rows.join(held, "node"), name)
+    rows = stage(rows, f"{name}-rows")
+    held = stage(rows.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("node", "low"), f"{name}-nodes")
+    out = stage(rows.join(held, "node"), name)  # of two stored sides, so a hot node's rows can be split
+    drop_stage(rows, held)
+    return out
 
 
 def _open(rows: DataFrame, comps: DataFrame, name: str) -> DataFrame:
     """Rows with their component, of the nodes that hold two components or more.  ``work``: how many
     comparisons of classes outside the node's largest component (``main``) with all of it there are;
     ``ob`` and ``nb``: into how many blocks the outside and the whole are cut."""
-    tagged = rows.select("node", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    tagged = stage(rows.select("node", "id", "n").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), f"{name}-tagged")
     by = tagged.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     top = F.max(F.struct("c", "comp", "s")).alias("top")
     node = by.groupBy("node").agg(top, F.sum("c").alias("all"), F.sum("s").alias("sum"), F.count(F.lit(1)).alias("k")).where("k > 1")
     cut = lambda classes, shingles: F.greatest(F.ceil(classes / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
     out, out_sum = F.col("all") - F.col("top.c"), F.col("sum") - F.col("top.s")
     node = node.select("node", F.col("top.comp").alias("main"), (out * F.col("all")).alias("work"), cut(out, out_sum).alias("ob"), cut(F.col("all"), F.col("sum")).alias("nb"))
-    return stage(tagged.join(node, "node"), name)
+    node = stage(node, f"{name}-nodes")
+    out = stage(tagged.join(node, "node"), name)
+    drop_stage(tagged, node)
+    return out
 
 
 def _groups(batches, fields: list[str]):
@@ -334,3 +344,19 @@ def near_components(docs: DataFrame, trees: int = TREES, id_col: str = "doc_id",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less near copies: of each component one row stays, that with the smallest id, null ids last.
+
+    Where ids are null or repeated, rows take numbers of their own, so that rows of one id with unlike
+    texts are documents of their own, and of exact repeats one stays.  Texts without words link with
+    nothing and all stay."""
+    n, ids = docs.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
+    if n == ids:
+        keep = near_components(docs, id_col=id_col, text_col=text_col).where("kept").select("doc_id")
+        return docs.join(keep, docs[id_col].cast("long") == keep["doc_id"], "left_semi")
+    rows = stage(docs.select(box(docs), F.monotonically_increasing_id().alias("no"), F.col(id_col).alias("id")), "cp-rows")
+    texts = rows.select("no", F.col("row").getField(text_col).alias("text"))
+    found = near_components(texts, id_col="no").select(F.col("doc_id").alias("no"), "component_id")
+    order = F.struct(F.col("id").isNull(), "id", "no")
+    keep = rows.select("no", "id").join(found, "no").groupBy("component_id").agg(F.min_by("no", order).alias("no")).select("no")
+    return rows.join(keep, "no", "left_semi").select(*unbox(docs.columns))
