@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, line_dedup, mixing, near_dedup, packing, secrets, token_counts, toxicity, vector_graph
+from . import ann, archives, conversations, divergence, licenses, line_dedup, mixing, near_dedup, packing, secrets, token_counts, toxicity, vector_graph
 from .common import read, stage
 
 
@@ -53,7 +53,19 @@ def op10_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return vector_graph.near_vectors(read(spark, sf, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_warc, op4_packing, op5_ann, op6_mixing, op7_secrets, op8_near_dedup, op9_token_counts, op10_embedding_dedup)}
+def op11_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.license_digest(read(spark, sf, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return conversations.repair_damaged(read(spark, sf, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_warc, op4_packing, op5_ann, op6_mixing, op7_secrets, op8_near_dedup, op9_token_counts, op10_embedding_dedup, op11_divergence, op12_licenses, op13_conversations)}
 
 _OP1 = r"""
 with recursive cut as (
@@ -206,4 +218,87 @@ select e.vec_id, (select count(*) from links l where l.a = e.vec_id)::bigint n_l
 from embeddings e join c on c.id = e.vec_id
 """
 
-ORACLE_SQL = {"op1_line_dedup": _OP1, "op3_warc": _OP3, "op6_mixing": _OP6, "op7_secrets": _op7_sql(), "op8_near_dedup": _OP8, "op10_embedding_dedup": _OP10}
+_OP11 = r"""
+with d as (
+  select coalesce(lang, '') lang, coalesce(source, '') source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') ws from documents
+), g as (select distinct lang, source from d
+), kept as (
+  select lang, term from (select lang, unnest(list_distinct(ws)) term from d) group by all having count(*) >= 10
+), n as (
+  select lang, source, term, count(*)::hugeint c from (select lang, source, unnest(ws) term from d) group by all
+), v as (select lang, count(*)::hugeint v from kept group by lang
+), cells as (
+  select g.lang, g.source, kept.term, coalesce(n.c, 0)::hugeint c
+  from g join kept using (lang) left join n on n.lang = g.lang and n.source = g.source and n.term = kept.term
+), p as (
+  select lang, source, term, c, 1 + (1000000000::hugeint * (c + 2)) // (sum(c) over (partition by lang, source)::hugeint + 2 * v) p
+  from cells join v using (lang)
+), whole as (select lang, term, sum(c)::hugeint c from cells group by all
+), q as (
+  select lang, term, 1 + (1000000000::hugeint * (c + 2)) // (sum(c) over (partition by lang)::hugeint + 2 * v) q from whole join v using (lang)
+), sums as (
+  select x.lang, x.source, y.source item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) f
+  from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+), pairs as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), terms as (
+  select lang, source, 'term' part, term item, (((p - q) * (p - q)) // (p + q))::bigint as value from p join q using (lang, term) where c > 0 and p > q
+)
+select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pairs union all select * from terms)
+qualify part = 'pair' or rank <= 10
+"""
+
+# forward over turns: a struct (cost, audit, text) for each of the four states; ways are compared by cost, then audit
+_OP13 = r"""
+with recursive keyed as (
+  select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations
+), crc as (
+  select k, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(k, ''), lambda c: ascii(c)::ubigint)),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), list_transform(range(8), lambda i: i::ubigint)),
+      lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint) % 20 hit
+  from (select distinct k from keyed)
+), damaged as (
+  select conv_id, turn, case when hit = 4 then 'user' else coalesce(role, ' ') end role,
+    case hit when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text,
+    unnest(range(case hit when 0 then 0 when 3 then 2 else 1 end)) dup
+  from keyed join crc using (k)
+), turns as (
+  select *, row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 again from damaged
+), seq as (
+  select *, left(role, 1) i, row_number() over (partition by conv_id order by turn nulls first, role, text, again) no,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when again then 2 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 3 else 0 end fault
+  from turns
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, count(*) filter (where fault = 1) blank,
+    count(*) filter (where fault = 2) duplicate, count(*) filter (where fault = 3) truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) illegal, max(no) last
+  from (select *, lag(i) over (partition by conv_id order by no) || i pair from seq) group by conv_id
+), walk as (
+  select distinct conv_id, 0::bigint no, {'c': 0, 'a': '', 't': ''} n, {'c': 1000000000, 'a': '', 't': ''} s,
+    {'c': 2, 'a': 'I', 't': 'user:'} u, {'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'} a from conversations
+  union all
+  select conv_id, no, n, s, u2, list_min([a1, {'c': u2.c + 2, 'a': u2.a || 'I', 't': u2.t || chr(10) || 'assistant:'}]) from (
+    select *, list_min([u1, {'c': n.c + 2, 'a': n.a || 'I', 't': case when n.t = '' then '' else n.t || chr(10) end || 'user:'},
+      {'c': s.c + 2, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'}, {'c': a1.c + 2, 'a': a1.a || 'I', 't': a1.t || chr(10) || 'user:'}]) u2
+    from (
+      select w.conv_id, r.no, {'c': w.n.c + 3, 'a': w.n.a || 'D', 't': w.n.t} n,
+        list_min([{'c': w.s.c + 3, 'a': w.s.a || 'D', 't': w.s.t}, {'c': w.n.c + more + if(i = 's', 0, 1000000000), 'a': w.n.a || 'K', 't': r.role || ':' || r.text}]) s,
+        list_min([{'c': w.u.c + 3, 'a': w.u.a || 'D', 't': w.u.t}] || list_transform([w.n, w.s, w.a], lambda x:
+          {'c': x.c + more + if(i = 'u', 0, 2), 'a': x.a || if(i = 'u', 'K', 'R'), 't': case when x.a = '' or x.t = '' then '' else x.t || chr(10) end || if(i = 'u', r.role, 'user') || ':' || r.text})) u1,
+        list_min([{'c': w.a.c + 3, 'a': w.a.a || 'D', 't': w.a.t},
+          {'c': w.u.c + more + if(i = 'a', 0, 2), 'a': w.u.a || if(i = 'a', 'K', 'R'), 't': w.u.t || chr(10) || if(i = 'a', r.role, 'assistant') || ':' || r.text}]) a1
+      from walk w join (select *, case when fault in (1, 2) then 1000000000 when fault = 3 then 1 else 0 end more from seq) r
+        on r.conv_id is not distinct from w.conv_id and r.no = w.no + 1
+    )
+  )
+), ends as (
+  select w.conv_id, list_min([n, a]) best from walk w left join facts f on f.conv_id is not distinct from w.conv_id where w.no = coalesce(f.last, 0)
+)
+select e.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated,
+  coalesce(illegal, 0)::bigint illegal, best.c::bigint as cost, best.a audit, sha256(best.t) repaired_sha256
+from ends e left join facts f on f.conv_id is not distinct from e.conv_id
+"""
+
+ORACLE_SQL = {"op1_line_dedup": _OP1, "op3_warc": _OP3, "op6_mixing": _OP6, "op7_secrets": _op7_sql(), "op8_near_dedup": _OP8, "op10_embedding_dedup": _OP10, "op11_divergence": _OP11, "op13_conversations": _OP13}
