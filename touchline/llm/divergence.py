@@ -1,9 +1,9 @@
 """Source divergence audit (operator 11): which sources of a language use other words than the rest.
 
-Each term of a language is one wide vector, its counts in an array with a place for each source of the
-language.  Higher-order functions turn counts into shares and emit the contributions of pairs of sources;
-sums over terms are combined on the map side, so a pair is one row for each task and no task holds a
-language or a source.
+Tasks count the terms of their texts.  Each term of a language is one wide vector, its counts in an array
+with a place for each source of the language.  Higher-order functions turn counts into shares and emit the
+contributions of pairs of sources; sums over terms are combined on the map side, so a pair is one row for each
+task and no task holds a language or a source.
 
 All arithmetic is exact, in longs: shares are billionths of a smoothed distribution, p = 1 +
 floor(10^9 (count + 2) / (N + 2 V)), and two shares differ by floor((p - q)^2 / (p + q)).  Counts up to
@@ -16,15 +16,18 @@ of their own; empty tables give no rows; columns other than lang, source and tex
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import stage, text_batches
 
-#: A term: letters of ASCII and everything beyond it; only A-Z are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Entries that a task counts in memory before it gives them out.
+HELD = 500_000
+#: A term's bytes: letters of ASCII and everything beyond it; only A-Z are lower-cased, all else is a blank.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Documents a kept term is in, the unit of shares, what is added to each count, listed terms.
 LEAST_DOCS, UNIT, PRIOR, TOP = 10, 1000, 2, 10
 
@@ -48,12 +51,36 @@ def gap(p: Column, q: Column) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs) of rows (lang, source, text): occurrences, and documents that hold the term.
 
-    A document's words are sorted, so a word that differs from the one before it is the first of its kind there
-    and both counts come out of one pass and one map-side aggregation."""
-    words = F.sort_array(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    each = docs.select("lang", "source", words.alias("words")).select("lang", "source", "words", F.posexplode("words").alias("at", "term"))
-    new = (F.col("at") == 0) | (F.get("words", F.col("at") - 1) != F.col("term"))
-    return each.select("lang", "source", "term", new.cast("long").alias("new")).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("docs"))
+    Tasks count the terms of their texts and give out what they hold whenever that is ``HELD`` entries, so the
+    sums that are shuffled are few and a task's memory is bounded."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def given():
+            for (lang, source), (n, found) in held.items():
+                rows = len(n)
+                terms = pa.array(list(n), pa.binary()).cast(pa.string())
+                counts = [pa.array(n.values(), pa.int64()), pa.array([found[t] for t in n], pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows), pa.array([source] * rows), terms, *counts], names=["lang", "source", "term", "n", "docs"])
+
+        held: dict[tuple, tuple[Counter, Counter]] = {}  # by group: occurrences, documents
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                n, found = held.setdefault((lang, source), (Counter(), Counter()))
+                words = (text.as_py() or b"").translate(_FOLD).split()
+                was = len(n)
+                n.update(words)
+                found.update(set(words))
+                size += len(n) - was
+                if size >= HELD:
+                    yield from given()
+                    held, size = {}, 0
+        yield from given()
+
+    each = text_batches(docs.select("lang", "source", "text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def source_places(docs: DataFrame) -> DataFrame:
