@@ -59,10 +59,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         def given():
             for (lang, source), (n, found) in held.items():
+                if not n:
+                    continue
                 rows = len(n)
                 terms = pa.array(list(n), pa.binary()).cast(pa.string())
-                counts = [pa.array(n.values(), pa.int64()), pa.array([found[t] for t in n], pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows), pa.array([source] * rows), terms, *counts], names=["lang", "source", "term", "n", "docs"])
+                counts = [pa.array(list(n.values()), pa.int64()), pa.array([found[t] for t in n], pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * rows, pa.string()), pa.array([source] * rows, pa.string()), terms, *counts], names=["lang", "source", "term", "n", "docs"])
 
         held: dict[tuple, tuple[Counter, Counter]] = {}  # by group: occurrences, documents
         size = 0
