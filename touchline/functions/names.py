@@ -1,25 +1,19 @@
 """Names: accents, normal forms, tokens, case (F8-F13), JVM-side.
 
-Accents: the letters that NFKD takes apart in the Latin blocks are a fixed map, built from Unicode
-itself, so ``translate`` does what a Python function would; ``nfkd_accents`` is the exact form for
-other scripts.
+Accents and case: ``unicode`` has the full forms of every script, which the normal forms use; the letters
+that NFKD takes apart in the Latin blocks are also a map of their own, short enough for SQL text.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _base(ch: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+from . import unicode as U
 
 
-_LATIN = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(_base(chr(c))) == 1 and _base(chr(c)) != chr(c)]
-_FROM, _TO = "".join(_LATIN), "".join(map(_base, _LATIN))
+_LATIN = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(U.base_of(chr(c))) == 1 and U.base_of(chr(c)) != chr(c)]
+_FROM, _TO = "".join(_LATIN), "".join(map(U.base_of, _LATIN))
 _MARKS = "[̀-ͯ]"
 DASHES = "['’-]"
 OTHER = r"[^\p{L}\p{N}_\s]"
@@ -31,16 +25,12 @@ def strip_accents(text: Column) -> Column:
 
 
 def nfkd_accents(text: Column) -> Column:
-    """F8 for every script, as a pandas UDF."""
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else _base(v))
-
-    return run(text)
+    """F8 for every script."""
+    return U.without_marks(text)
 
 
 def _norm(text: Column, dash: str) -> Column:
-    low = F.replace(F.lower(strip_accents(text)), F.lit("ß"), F.lit("ss"))
+    low = U.folded(U.without_marks(text))
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, DASHES, dash), OTHER, " "), r"\s+", " "))
 
 

@@ -176,15 +176,41 @@ def shrunk_weight(total: Column, n: Column, prior: Column, k: int = 5, full: int
 
 
 # -- intervals and shapes --------------------------------------------------------------------------
-def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str], lo: str, hi: str, out: str, width: int = 16) -> DataFrame:
+def dyadic_nodes(lo: Column, hi: Column, levels: int) -> Column:
+    """The fewest dyadic stretches (level, at) that make up the whole numbers from ``lo`` to ``hi``, both included.
+
+    A stretch of level l is 2^l numbers from at * 2^l on.  There are two at most for each level below ``levels``,
+    and as many as are needed of that one, the longest that are used.  None if ``lo`` is above ``hi``."""
+    both = []
+    for level in range(levels + 1):
+        # in stretches of this level: those inside the bounds, and those inside the next level's stretches
+        first, last = F.ceil(lo / (1 << level)), F.floor((hi + 1) / (1 << level)) - 1
+        node = lambda at: F.struct(F.lit(level).alias("level"), at.cast("long").alias("at"))  # noqa: B023, E731
+        if level == levels:
+            some = F.sequence(first, F.greatest(first, last))
+            both.append(F.when(first <= last, F.transform(some, node)))
+            continue
+        odd, even = F.pmod(first, F.lit(2)) == 1, F.pmod(last, F.lit(2)) == 0
+        both.append(F.when((first <= last) & odd, F.array(node(first))))
+        both.append(F.when((first <= last) & even & ~(odd & (first == last)), F.array(node(last))))
+    none = F.array().cast("array<struct<level:int,at:bigint>>")
+    return F.concat(*[F.coalesce(x, none) for x in both])
+
+
+def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str], lo: str, hi: str, out: str) -> DataFrame:
     """1 if a window of the same keys covers the row's day, both ends included, else 0.
 
-    Days and windows meet by key and by stretches of ``width`` days, so the join is an equi-join and a
-    window of up to that length is in two stretches at most; null bounds and null days cover nothing."""
-    stretch = lambda c: F.floor(F.unix_date(c) / width).cast("int")
-    spans = windows.where(F.col(lo) <= F.col(hi)).select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.explode(F.sequence(stretch(F.col(lo)), stretch(F.col(hi)))).alias("_at"))
-    asked = rows.where(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_day")).distinct().withColumn("_at", stretch(F.col("_day")))
-    met = asked.join(spans, [*keys, "_at"]).where((F.col("_day") >= F.col("_lo")) & (F.col("_day") <= F.col("_hi")))
+    A window is cut into dyadic stretches, of which it needs two for each doubling of its length, and a day
+    belongs to one stretch of each level; they meet by key and stretch, so the join is an equi-join whatever the
+    windows' lengths and every meeting is a hit.  Levels go as far as the longest window, up to 2^15 days.  Null
+    bounds and null days cover nothing."""
+    spans = windows.select(*keys, F.unix_date(lo).alias("_lo"), F.unix_date(hi).alias("_hi")).where("_lo <= _hi").distinct()
+    longest = spans.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1
+    levels = min(15, int(longest).bit_length() - 1)
+    nodes = spans.select(*keys, F.inline(dyadic_nodes(F.col("_lo"), F.col("_hi"), levels))).distinct()
+    asked = rows.where(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_day")).distinct()
+    above = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.unix_date("_day"), k).cast("long").alias("at")) for k in range(levels + 1)])
+    met = asked.select(*keys, "_day", F.inline(above)).join(nodes, [*keys, "level", "at"], "left_semi")
     hit = met.select(*keys, F.col("_day").alias(day), F.lit(1).alias(out)).distinct()
     return rows.join(hit, [*keys, day], "left").withColumn(out, F.coalesce(out, F.lit(0)))
 

@@ -142,36 +142,44 @@ def extract(pages: DataFrame, rows_of: Callable[[Node, dict], list[tuple]], sche
     return pages.select(*keys, html).mapInPandas(run, ", ".join([*fields, schema]))
 
 
+def _links(t: Node, _: dict) -> list[tuple]:
+    return [(a.attrs["href"], a.stripped()) for a in t.all("a") if a.attrs.get("href") is not None]
+
+
 def links(pages: DataFrame, keys: list[str]) -> DataFrame:
-    return extract(pages, lambda t, _: [(a.attrs["href"], a.stripped()) for a in t.all("a") if a.attrs.get("href") is not None], "href string, label string", keys)
+    return extract(pages, _links, "href string, label string", keys)
+
+
+def _headings(t: Node, _: dict) -> list[tuple]:
+    return [(int(h.tag[1]), h.stripped()) for h in t.all(("h1", "h2", "h3", "h4", "h5", "h6"))]
 
 
 def headings(pages: DataFrame, keys: list[str]) -> DataFrame:
-    return extract(pages, lambda t, _: [(int(h.tag[1]), h.stripped()) for h in t.all(("h1", "h2", "h3", "h4", "h5", "h6"))], "level int, heading string", keys)
+    return extract(pages, _headings, "level int, heading string", keys)
+
+
+def _table_rows(t: Node, _: dict) -> list[tuple]:
+    return [(i, j, [c.stripped() for c in tr.all(("td", "th"))]) for i, tb in enumerate(t.all("table")) for j, tr in enumerate(tb.all("tr"))]
 
 
 def table_rows(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of all tables: table and row numbers from 0, and the texts."""
+    return extract(pages, _table_rows, "table_no int, row_no int, cells array<string>", keys)
 
-    def rows(t: Node, _):
-        return [(i, j, [c.stripped() for c in tr.all(("td", "th"))]) for i, tb in enumerate(t.all("table")) for j, tr in enumerate(tb.all("tr"))]
 
-    return extract(pages, rows, "table_no int, row_no int, cells array<string>", keys)
+def _round(t: Node, _: dict) -> list[tuple]:
+    out = []
+    for a in t.all("a", cls="match-line__score"):
+        line = a.above("div", "match-line")
+        clubs = line.all("a", cls="club-line__name") if line else []
+        if len(clubs) >= 2:
+            out.append((a.attrs.get("href") or "", clubs[0].stripped(), clubs[1].stripped()))
+    return out
 
 
 def round_matches(pages: DataFrame) -> DataFrame:
     """H1: (season, round) pages to matches; a match needs its line and two club names."""
-
-    def rows(t: Node, _):
-        out = []
-        for a in t.all("a", cls="match-line__score"):
-            line = a.above("div", "match-line")
-            clubs = line.all("a", cls="club-line__name") if line else []
-            if len(clubs) >= 2:
-                out.append((a.attrs.get("href") or "", clubs[0].stripped(), clubs[1].stripped()))
-        return out
-
-    df = extract(pages, rows, "url string, home_team string, away_team string", ["season", "round"])
+    df = extract(pages, _round, "url string, home_team string, away_team string", ["season", "round"])
     return df.withColumns({"match_id": S.match_id(F.col("url")), "is_playoff": F.lit(0)})
 
 
@@ -191,10 +199,14 @@ def _percent(text: str) -> int | None:
         return None
 
 
+def _bars(labels: dict[str, str], percent: bool = False) -> Callable[[Node, dict], list[tuple]]:
+    value = _percent if percent else _number
+    return lambda t, _: [(name, *_bar(t, label, value)) for name, label in labels.items()]
+
+
 def stat_bars(pages: DataFrame, labels: dict[str, str], keys: list[str], percent: bool = False) -> DataFrame:
     """H2, H3: for each label the two sides of the first bar whose title contains it; null if unreadable."""
-    value = _percent if percent else _number
-    return extract(pages, lambda t, _: [(name, *_bar(t, label, value)) for name, label in labels.items()], "stat string, home int, away int", keys)
+    return extract(pages, _bars(labels, percent), "stat string, home int, away int", keys)
 
 
 def _cards(t: Node) -> tuple[int, int, int, int]:
@@ -250,25 +262,31 @@ def _digit_sum(roster: Node, part: str) -> int:
     return sum(int(x) for x in cells if x)
 
 
-def roster_stats(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums over the cells of both rosters; zeros with fewer than two rosters."""
+_ROSTER_SCHEMA = ", ".join(f"{s}_{n} int" for s in ("home", "away") for n in ROSTER_STATS.values())
 
-    def rows(t: Node, _):
-        teams = t.all("div", cls="match-statistics__roster")
-        pair = teams[:2] if len(teams) >= 2 else []
-        return [tuple(_digit_sum(x, p) for x in pair for p in ROSTER_STATS) or (0,) * 6]
 
-    return extract(pages, rows, ", ".join(f"{s}_{n} int" for s in ("home", "away") for n in ROSTER_STATS.values()), keys)
+def _roster_stats(t: Node, _: dict) -> list[tuple]:
+    teams = t.all("div", cls="match-statistics__roster")
+    pair = teams[:2] if len(teams) >= 2 else []
+    return [tuple(_digit_sum(x, p) for x in pair for p in ROSTER_STATS) or (0,) * 6]
 
 
-def player_urls(pages: DataFrame, keys: list[str], base: str, roster_only: bool = False) -> DataFrame:
-    """H6, H7: addresses of players on a page, each once, in order; absolute."""
+def roster_stats(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums over the cells of both rosters; zeros with fewer than two rosters."""
+    return extract(pages, _roster_stats, _ROSTER_SCHEMA, keys)
+
 
-    def rows(t: Node, _):
+def _players(roster_only: bool) -> Callable[[Node, dict], list[tuple]]:
+    def rows(t: Node, _: dict) -> list[tuple]:
         found = t.all("a", cls="player-cell__name") if roster_only else [a for a in t.all("a") if "/joueur/" in (a.attrs.get("href") or "")]
         return [(i, u) for i, u in enumerate(dict.fromkeys(a.attrs["href"] for a in found if a.attrs.get("href")))]
 
-    return extract(pages, rows, "pos int, url string", keys).withColumn("url", S.absolute_url(F.col("url"), base))
+    return rows
+
+
+def player_urls(pages: DataFrame, keys: list[str], base: str, roster_only: bool = False) -> DataFrame:
+    """H6, H7: addresses of players on a page, each once, in order; absolute."""
+    return extract(pages, _players(roster_only), "pos int, url string", keys).withColumn("url", S.absolute_url(F.col("url"), base))
 
 
 def _career(t: Node) -> list[tuple]:
@@ -385,18 +403,18 @@ def _lineups(t: Node) -> list[str]:
     return sorted(out - {""})
 
 
+def _named(t: Node, own: dict) -> list[tuple]:
+    both = (_squads, _lineups)
+    first = _lineups if str(own["competition"]).strip().lower() == "end of year internationals" else _squads
+    found = first(t) or both[first is _squads](t)
+    return [(x,) for x in found]
+
+
 def squad_players(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Names of a page by the competition's layout, by the other one if that gives none.
 
     ``keys`` have the competition."""
-
-    def rows(t: Node, own: dict):
-        both = (_squads, _lineups)
-        first = _lineups if str(own["competition"]).strip().lower() == "end of year internationals" else _squads
-        found = first(t) or both[first is _squads](t)
-        return [(x,) for x in found]
-
-    return extract(pages, rows, "player_name string", keys)
+    return extract(pages, _named, "player_name string", keys)
 
 
 def match_rows(stats_pages: DataFrame, info: DataFrame) -> DataFrame:

@@ -21,6 +21,36 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def move(spark: SparkSession, made: str, path: str, replace: bool) -> None:
+    """Move a file to its place in one step.  With ``replace`` what is there goes in that step, so there is always
+    the old or the new one; without, FileExistsError if something is there."""
+    fs, at = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if replace else jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(_fs(spark, made)[1], at, options)
+    except Exception as e:
+        if not replace and fs.exists(at):
+            raise FileExistsError(path) from e
+        raise
+
+
+def create_only(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there in full or not at all, and is never replaced (FileExistsError)."""
+    folder, name = path.rsplit("/", 1)
+    made = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    fs, at = _fs(spark, made)
+    out = fs.create(at, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        move(spark, made, path, replace=False)
+    finally:
+        fs.delete(at, False)
+
+
 def csv_name(name: str) -> str:
     """The name with ``.csv`` in the place of any other ending."""
     return f"{PurePosixPath(name).stem}.csv"
@@ -45,15 +75,14 @@ class Store:
         return strip_headers(df)
 
     def save(self, df: DataFrame, name: str, layer: str = "processed") -> str:
-        """One CSV with header.  Written beside its place and renamed, so a table may replace the
-        one it was read from."""
+        """One CSV with header.  Written beside its place and moved over the old one in one step, so a table
+        may replace the one it was read from, and whatever fails leaves the old or the new one."""
         path, made = self.path(layer, csv_name(name)), self.path(layer, f"_{uuid.uuid4().hex}")
         df.coalesce(1).write.option("header", True).csv(made)
         fs, at = _fs(self.spark, path)
         make = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         part = next(s.getPath() for s in fs.listStatus(make(made)) if s.getPath().getName().startswith("part-"))
-        fs.delete(at, True)
-        fs.rename(part, at)
+        move(self.spark, part.toString(), path, replace=True)
         fs.delete(make(made), True)
         return path
 

@@ -74,20 +74,28 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WebSource)
 
 
-def fetch_all(urls: DataFrame, column: str = "url", delay: float = 1.0, timeout: float = 10, agent: str = "touchline", partitions: int | None = None) -> DataFrame:
-    """What the addresses of a table answer, each asked once; a partition waits between its requests."""
-    asked = urls.select(F.trim(column).alias("url")).where("url <> ''").distinct()
+def fetch_rows(asked: DataFrame, delay: float = 1.0, timeout: float = 10, agent: str = "touchline") -> DataFrame:
+    """What the addresses of rows (..., url) answer, beside the other columns; a partition waits between its requests."""
+    others = [c for c in asked.columns if c != "url"]
+    schema = ", ".join([*[f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in others], SCHEMA])
 
     def run(batches):
         first = True
         for pdf in batches:
-            for url in pdf["url"]:
+            for i, url in enumerate(pdf["url"]):
                 if not first and delay:
                     time.sleep(delay)
                 first = False
-                yield pd.DataFrame([fetch(url, timeout, agent)], columns=["url", "status", "body", "error"]).astype({"status": "Int32"})
+                answer = pd.DataFrame([fetch(url, timeout, agent)], columns=["url", "status", "body", "error"]).astype({"status": "Int32"})
+                yield pd.concat([pdf[others].iloc[i : i + 1].reset_index(drop=True), answer], axis=1)
+
+    return asked.mapInPandas(run, schema)
 
-    return (asked.repartition(partitions, "url") if partitions else asked).mapInPandas(run, SCHEMA)
+
+def fetch_all(urls: DataFrame, column: str = "url", delay: float = 1.0, timeout: float = 10, agent: str = "touchline", partitions: int | None = None) -> DataFrame:
+    """What the addresses of a table answer, each asked once; a partition waits between its requests."""
+    asked = urls.select(F.trim(column).alias("url")).where("url <> ''").distinct()
+    return fetch_rows(asked.repartition(partitions, "url") if partitions else asked, delay, timeout, agent)
 
 
 def wiki_urls(windows: DataFrame, url: str = "url") -> DataFrame:
