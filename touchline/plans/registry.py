@@ -213,23 +213,23 @@ def weather_at_kickoff(spark, sf):
 
 
 @query(
-    "with s as (select o_orderkey match_id, o_totalprice a, case when o_orderstatus = 'O' then o_custkey end b, year(o_orderdate)::varchar season, month(o_orderdate)::int as round from orders where o_orderstatus in ('F', 'O')) "
+    "with s as (select o_orderkey match_id, o_totalprice a, case when o_orderstatus = 'O' then o_custkey end b, year(o_orderdate)::varchar season, month(o_orderdate)::int as round from orders) "
     "select * from s where season in ('1994', '1995', '1996')"
 )
 def merged_matches(spark, sf):
     o, k = t(spark, sf, "orders"), F.col("o_orderkey").alias("match_id")
-    regular = o.where("o_orderstatus = 'F'").select(k, F.col("o_totalprice").alias("a"))
+    regular = o.where("o_orderstatus <> 'O'").select(k, F.col("o_totalprice").alias("a"))
     playoff = o.where("o_orderstatus = 'O'").select(k, F.col("o_totalprice").alias("a"), F.col("o_custkey").alias("b"))
     matches = o.select(k, F.date_format("o_orderdate", "yyyy").alias("season"), F.month("o_orderdate").alias("round"))
     return Q.merge_matches(regular, playoff, matches, ["1994", "1995", "1996"])
 
 
 @query(
-    "with m as (select o_custkey, strftime(o_orderdate, '%y_') || strftime(o_orderdate, '%y_R') || month(o_orderdate) id from orders where o_orderstatus = 'F') "
+    "with m as (select o_custkey, strftime(o_orderdate, '%y_') || strftime(o_orderdate, '%y_R') || month(o_orderdate) id from orders) "
     "select o_custkey, id, 1 played from m group by 1, 2"
 )
 def unpivot_matchdays(spark, sf):
-    o = t(spark, sf, "orders").where("o_orderstatus = 'F'")
+    o = t(spark, sf, "orders")
     o = o.select("o_custkey", F.date_format("o_orderdate", "yy").alias("y"), F.month("o_orderdate").alias("m"))
     wide = R.pivot_flags(o, ["o_custkey", "y"], "m", list(range(1, 13)))
     months = [str(i) for i in range(1, 13)]
@@ -297,11 +297,14 @@ def anti_two_keys(spark, sf):
     return R.absent(li.where("l_returnflag = 'N'"), li.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
 
 
-@query("select season || '/j' || r url from (values ('2021-2022'), ('2022-2023')) s(season) cross join (select unnest(range(1, 27)) r)")
+@query("select season || '/j' || r url from (select distinct year(o_orderdate) || '-' || (year(o_orderdate) + 1) season from orders) cross join (select unnest(range(1, 27)) r)")
 def season_round_urls(spark, sf):
-    from ..sources.web import round_urls
+    """The calendar addresses of all seasons in which there were orders."""
+    from ..sources.web import season_urls
 
-    return round_urls(spark, ["2021-2022", "2022-2023"], "x").select(F.substring("url", 3, 100).alias("url"))
+    year = F.year("o_orderdate")
+    seasons = t(spark, sf, "orders").select(F.concat(year.cast("string"), F.lit("-"), (year + 1).cast("string")).alias("season")).distinct()
+    return season_urls(seasons, "x").select(F.substring("url", 3, 100).alias("url"))
 
 
 _CONV = "with u as (select *, row_number() over (partition by conv_id order by turn, text) pos from conversations where role = 'user'), a as (select *, row_number() over (partition by conv_id order by turn, text) pos from conversations where role = 'assistant')"
@@ -445,10 +448,10 @@ def conditional_counters(spark, sf):
     return t(spark, sf, "events").groupBy("user_id").agg(F.sum(on("error")).alias("errors"), F.sum(on("view")).alias("views"), F.max(on("purchase")).alias("any_purchase"))
 
 
-@query("select o_orderstatus, o_orderkey // 4096 as stretch, list_aggregate(list_sort(list(o_orderkey)), 'string_agg', ',') ids from orders where o_totalprice > 400000 group by 1, 2")
+@query("select o_orderstatus, o_orderkey // 4096 as stretch, list_aggregate(list_sort(list(o_orderkey)), 'string_agg', ',') ids from orders group by 1, 2")
 def sorted_id_lists(spark, sf):
     """In stretches of ids, so that no list grows with the table."""
-    o = t(spark, sf, "orders").where("o_totalprice > 400000").groupBy("o_orderstatus", F.floor(F.col("o_orderkey") / 4096).alias("stretch")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
+    o = t(spark, sf, "orders").groupBy("o_orderstatus", F.floor(F.col("o_orderkey") / 4096).alias("stretch")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ids"))
     return o.select("o_orderstatus", "stretch", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
@@ -478,21 +481,18 @@ def top_ten(spark, sf):
 # -- names -----------------------------------------------------------------------------------------------
 _ASCII = "replace(lower(strip_accents({x})), 'ß', 'ss')"
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(" + _ASCII + ", '[''’-]', '{d}', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_FIVE = "array_to_string(string_split(text, ' ')[1:5], ' ')"
-
+_TEXT = "coalesce(text, '')"
 
-def _five(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("x"))
 
-
-@query(f"select doc_id, {_NORM.format(x=_FIVE, d=' ')} normal from documents")
+@query(f"select doc_id, md5({_NORM.format(x=_TEXT, d=' ')}) normal_md5 from documents")
 def name_normalize(spark, sf):
-    return _five(spark, sf).select("doc_id", N.norm(F.col("x")).alias("normal"))
+    """The normal form of whole texts."""
+    return t(spark, sf, "documents").select("doc_id", F.md5(N.norm(F.coalesce("text", F.lit("")))).alias("normal_md5"))
 
 
-@query(f"select doc_id, {_NORM.format(x=_FIVE, d='')} tight from documents")
+@query(f"select doc_id, md5({_NORM.format(x=_TEXT, d='')}) tight_md5 from documents")
 def name_tight(spark, sf):
-    return _five(spark, sf).select("doc_id", N.norm_tight(F.col("x")).alias("tight"))
+    return t(spark, sf, "documents").select("doc_id", F.md5(N.norm_tight(F.coalesce("text", F.lit("")))).alias("tight_md5"))
 
 
 _PART_NAME = "'jean-' || split_part(p_name, ' ', 1) || ' ' || upper(split_part(p_name, ' ', 2))"
@@ -632,13 +632,14 @@ def french_date_time(spark, sf):
     return x.withColumn("hour_key", S.hour_key(F.col("iso"), F.col("hhmm")))
 
 
-_DATES = [(1, "2024-02-29"), (2, "2023-02-29"), (3, "nope"), (4, None), (5, "1999-12-31")]
-
-
-@query("select k, try_cast(d as date)::varchar as day, k in (1, 5, 9922) as known from " + sql_rows(_DATES, "x", "k", "d"))
+@query(
+    "select o_orderkey, try_cast(case o_orderstatus when 'F' then strftime(o_orderdate, '%Y-%m-%d') when 'O' then strftime(o_orderdate, '%Y-%m-31') end as date)::varchar as day, o_orderkey in (9922, 11057, 11795, 11796, 11797, 11798, 11800) as known from orders"
+)
 def safe_date_parse(spark, sf):
-    x = rows(spark, _DATES, "k int, d string")
-    return x.select("k", S.safe_date(F.col("d")).cast("string").alias("day"), S.is_known(F.col("k").cast("string"), [1, 5, 9922]).alias("known"))
+    """Dates as text: whole ones, the 31st of every month, and none."""
+    status = F.col("o_orderstatus")
+    text = F.when(status == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).when(status == "O", F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-31"))).otherwise(F.lit("nope"))
+    return t(spark, sf, "orders").select("o_orderkey", S.safe_date(text).cast("string").alias("day"), S.is_known(F.col("o_orderkey").cast("string"), I.DEAD_MATCHES).alias("known"))
 
 
 @query("with h as (select event_id, json_extract(props, '$.k')::int k, hour(ts) hr, day(ts) d from events) select d, hr, count(*) n, sum(k)::bigint total from h group by 1, 2")
@@ -653,16 +654,21 @@ def literature_score(spark, sf):
     return t(spark, sf, "labels").select("doc_id", s.alias("s"), tier.alias("tier"))
 
 
-_GROUNDS = [(0, 48.84, 2.25), (1, 43.62, 1.41), (2, 45.79, 3.11), (3, -33.9, 18.4)]
-
-
 @query(
-    f"with g as (select * from {sql_rows(_GROUNDS, 'x', 'k', 'lat', 'lon')}) select a.k a, b.k b, round(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 6) km from g a, g b where a.k < b.k"
+    "with g as (select n_nationkey k, n_nationkey * 6.5 - 80 lat, n_nationkey * 14.0 - 170 lon from nation where n_nationkey <> 7) "
+    "select o_orderkey match_id, case when a.k is not null and b.k is not null then round(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 6) end travel_km "
+    "from orders left join customer on c_custkey = o_custkey left join g a on a.k = c_nationkey left join g b on b.k = (o_orderkey + c_nationkey) % 25"
 )
 def haversine_travel(spark, sf):
-    g = rows(spark, _GROUNDS, "k int, lat double, lon double")
-    a, b = g.toDF("a", "lat1", "lon1"), g.toDF("b", "lat2", "lon2")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(S.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 6).alias("km"))
+    """Away teams by customer with a ground in their nation, one of which nobody knows where it is."""
+    n, c = t(spark, sf, "nation"), t(spark, sf, "customer")
+    ground = F.concat(F.lit("V"), F.col("n_nationkey").cast("string"))
+    venues = n.where("n_nationkey <> 7").select(ground.alias("stadium_name"), (F.col("n_nationkey") * 6.5 - 80).alias("latitude"), (F.col("n_nationkey") * 14.0 - 170).alias("longitude"))
+    teams = n.select(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("team_name"), ground.alias("venue"))
+    o = t(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    venue = F.concat(F.lit(" V"), ((F.col("o_orderkey") + F.col("c_nationkey")) % 25).cast("string"))
+    matches = o.select(F.col("o_orderkey").alias("match_id"), F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("away_team"), venue.alias("venue"))
+    return X.travel(matches, teams, venues).select("match_id", F.round("travel_km", 6).alias("travel_km"))
 
 
 _FORM = "from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)"
@@ -689,22 +695,19 @@ def league_position(spark, sf):
     return X.league_position(e).select("team", F.col("round").alias("rnd"), "position")
 
 
-_REASONS = [
-    ("https://x/joueur/7-a", "https://x/joueurs", "t", None, True, True, True, True),
-    ("https://x/joueur/7-a", "https://x/joueur/7-a", "t", "boom", False, False, False, False),
-    ("https://x/joueur/7-a", "https://x/joueur/7-a", "Erreur 404", None, True, False, False, False),
-    ("https://x/joueur/7-a", None, "t", "slow", True, False, False, False),
-    ("https://x/joueur/7-a", "", "t", None, True, True, False, True),
-    ("https://x/joueur/7-a", "", "t", None, True, True, True, False),
-    ("https://x/joueur/7-a", "", "t", None, True, True, True, True),
-]
-_SAID = ["profile_removed_redirect_to[https://x/joueurs]", "boom", "404_or_missing_profile", "page_not_rendered (slow)", "identity_not_extracted", "missing_career_section", None]
-
-
-@query("select k, reason from " + sql_rows(list(enumerate(_SAID)), "x", "k", "reason"))
+@query(
+    "select event_id, case when event_type = 'error' then 'profile_removed_redirect_to[https://x/joueurs]' when event_type = 'click' then 'slow' when hour(ts) < 4 and user_id % 2 = 0 then '404_or_missing_profile' "
+    "when hour(ts) < 4 then 'page_not_rendered' when hour(ts) < 8 then 'identity_not_extracted' when hour(ts) < 12 then 'missing_career_section' end reason from events"
+)
 def failure_reasons(spark, sf):
-    x = rows(spark, [(i, *r) for i, r in enumerate(_REASONS)], "k int, a string, b string, c string, d string, e boolean, f boolean, g boolean, h boolean")
-    return x.select("k", S.failure_reason(*[F.col(c) for c in "abcdefgh"]).alias("reason"))
+    """Events as attempts to read a profile; what went wrong comes from their kind and hour."""
+    kind, hour = F.col("event_type"), F.hour("ts")
+    asked = F.concat(F.lit("https://x/joueur/"), F.col("user_id").cast("string"), F.lit("-a"))
+    landed = F.when(kind == "error", "https://x/joueurs/").otherwise(asked)
+    title = F.when(F.col("user_id") % 2 == 0, "Erreur 404").otherwise("Page")
+    note = F.when(kind == "click", "slow")
+    reason = S.failure_reason(asked, landed, title, note, kind != "click", hour >= 4, hour >= 8, hour >= 12)
+    return t(spark, sf, "events").select("event_id", reason.alias("reason"))
 
 
 # -- pages -----------------------------------------------------------------------------------------------
@@ -722,9 +725,14 @@ def html_headings(spark, sf):
     return H.headings(t(spark, sf, "pages"), ["page_id"])
 
 
-@query(None)
+@query("select l_orderkey k, 0 table_no, (row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber) - 1)::int row_no, l_partkey || '|' || l_suppkey || '|' || l_linenumber cells from lineitem")
 def html_table_rows(spark, sf):
-    return H.table_rows(t(spark, sf, "pages"), ["page_id"])
+    """A page for each order, its lines in a table."""
+    cells = [F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber")]
+    row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td> ", *cells), F.lit("</td></tr>"))
+    li = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", row.alias("x")))).alias("x"))
+    pages = li.select("k", F.concat(F.lit("<p><table>"), F.array_join("x.x", ""), F.lit("</table>")).alias("html"))
+    return H.table_rows(pages, ["k"]).withColumn("cells", F.array_join("cells", "|"))
 
 
 # -- incremental -----------------------------------------------------------------------------------------
@@ -734,10 +742,12 @@ def resume_antijoin(spark, sf):
     return R.absent(t(spark, sf, "orders"), li, ["o_orderkey"]).select("o_orderkey")
 
 
-@query("select o_orderkey, case when o_orderkey % 2 = 0 then 'new' else o_orderstatus end status from orders")
+@query("select o_orderkey, case when exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') then 'returned' else o_orderstatus end status from orders")
 def upsert_merge(spark, sf):
+    """Orders of which something came back take a new status."""
     o = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return R.upsert(o, o.where("o_orderkey % 2 = 0").withColumn("status", F.lit("new")), ["o_orderkey"])
+    back = t(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return R.upsert(o, R.present(o, back, ["o_orderkey"]).withColumn("status", F.lit("returned")), ["o_orderkey"])
 
 
 @query("select o_orderkey, coalesce(toxic, -1) toxic from orders left join labels on doc_id = o_orderkey")
@@ -768,19 +778,23 @@ def fail_counter(spark, sf):
     return I.fail_counts(e, "user_id", ["ts", "event_id"], "bad")
 
 
-@query("with u as (select page_id id, url, 0 p, page_id o from pages where page_id % 2 = 0 union all select page_id // 2, 'new-' || page_id, 1, page_id from pages) select id, url from (select *, row_number() over (partition by id order by p, o) rn from u) where rn = 1")
+@query(
+    "with u as (select length(url) id, url, 0 p, page_id o from pages union all select (length(html) // 10)::int, 'new-' || page_id, 1, page_id from pages) "
+    "select id, url from (select *, row_number() over (partition by id order by p, o) rn from u) where rn = 1"
+)
 def registry_merge(spark, sf):
+    """Addresses by their length, and pages by theirs: what is known stays, what is new fills the gaps."""
     p = t(spark, sf, "pages")
-    old = p.where("page_id % 2 = 0").select(F.col("page_id").alias("id"), "url", F.col("page_id").alias("o"))
-    new = p.select(F.floor(F.col("page_id") / 2).alias("id"), F.concat(F.lit("new-"), F.col("page_id").cast("string")).alias("url"), F.col("page_id").alias("o"))
+    old = p.select(F.length("url").alias("id"), "url", F.col("page_id").alias("o"))
+    new = p.select(F.floor(F.length("html") / 10).cast("int").alias("id"), F.concat(F.lit("new-"), F.col("page_id").cast("string")).alias("url"), F.col("page_id").alias("o"))
     return R.registry_merge(old, new, "id", "o").select("id", "url")
 
 
-@query("with u as (select l_orderkey k, l_returnflag f, 0 g, l_linenumber o from lineitem where l_linenumber < 3 union all select l_orderkey, l_returnflag, 1, l_linenumber from lineitem where l_linenumber = 3) select k, f, max(g) newest from u group by 1, 2")
+@query("with u as (select l_orderkey k, l_returnflag f, 0 g, l_linenumber o from lineitem where l_linenumber < 3 union all select l_orderkey, l_returnflag, 1, l_linenumber from lineitem where l_linenumber >= 3) select k, f, max(g) newest from u group by 1, 2")
 def carry_forward_log(spark, sf):
     li = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("f"), "l_linenumber")
     old = li.where("l_linenumber < 3").select("k", "f", F.lit(0).alias("newest")).distinct()
-    return I.carry_log(old, li.where("l_linenumber = 3").select("k", "f", F.lit(1).alias("newest")).distinct(), ["k", "f"], "newest")
+    return I.carry_log(old, li.where("l_linenumber >= 3").select("k", "f", F.lit(1).alias("newest")).distinct(), ["k", "f"], "newest")
 
 
 @query("select k, a, null::double b, 'x' c from (select o_orderkey k, o_custkey a from orders)")

@@ -1,7 +1,7 @@
 """The table functions of HTML pages in SQL (H1-H14), after ``register(spark)``:
 
     SELECT p.page_id, l.* FROM pages p, LATERAL html_rows(p.html, 'links') l
-    SELECT * FROM html_pages(TABLE(pages) PARTITION BY page_id, 'headings')
+    SELECT * FROM html_pages(TABLE(pages) PARTITION BY (page_id), 'headings')
 
 ``html_rows`` gives the rows of one page, ``html_pages`` those of a table's pages with their key columns.  What
 the rows are is the constant ``layout``; ``analyze`` tells Spark their columns before a row is read.  ``squads``

@@ -103,12 +103,15 @@ def wiki_urls(windows: DataFrame, url: str = "url") -> DataFrame:
     return windows.where(F.col(url).isNotNull() & F.contains(F.col(url), F.lit("wiki")))
 
 
+def season_urls(seasons: DataFrame, base: str, rounds: int = 26) -> DataFrame:
+    """The calendar address of every round of the seasons in a table (season)."""
+    every = seasons.select("season", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    return every.select("season", "round", F.format_string(f"{base.rstrip('/')}/%s/j%d", "season", "round").alias("url"))
+
+
 def round_urls(spark: SparkSession, seasons: list[str], base: str, rounds: int = 26) -> DataFrame:
     """The calendar address of every season and round."""
-    s = spark.createDataFrame([(x,) for x in seasons], "season string")
-    r = spark.range(1, rounds + 1).select(F.col("id").cast("int").alias("round"))
-    every = s.select("season", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    return every.join(r, "round").select("season", "round", F.format_string(f"{base.rstrip('/')}/%s/j%d", "season", "round").alias("url"))
+    return season_urls(spark.createDataFrame([(x,) for x in seasons], "season string"), base, rounds)
 
 
 def rendered(pages: DataFrame, strict: bool) -> DataFrame:
