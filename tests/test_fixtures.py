@@ -1,6 +1,7 @@
 """Golden cases of the fixture operators and of pages."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +234,30 @@ def test_form_elo(spark):
     assert e[1]["home_elo"] == 1500 and e[2]["home_elo"] == 1490 and e[2]["away_elo"] == 1510
     f = X.form_and_rest(r.select(F.col("home_team").alias("team"), "season", "match_id", "day", F.col("home_score").alias("points"))).orderBy("match_id").collect()
     assert [x["form"] for x in f] == [None, 10, 15] and [x["rest_days"] for x in f] == [None, 1, 1]
+
+
+@pytest.mark.parametrize("carry", [False, True])
+def test_elo_waves_equal_the_fold(spark, carry):
+    import random
+
+    rnd = random.Random(6)
+    teams = ["A", "B", "C", "D", "E", None]
+    rows = []
+    for s, season in enumerate(("s1", "s2")):
+        for i in range(9):
+            home, away = rnd.sample(teams, 2)
+            day = None if i == 4 else dt.date(2024 + s, 1, 1 + i // 3)
+            rows.append((season, 100 * s + i, day, home, away, rnd.choice((10, 20, None)), rnd.choice((10, 20))))
+    rating, want = {}, {}
+    for season, match, _, h, a, x, y in sorted(rows, key=lambda r: (r[2] is None, r[2] or dt.date.min, r[1])):
+        of = "all" if carry else season
+        p, q = rating.get((of, h), 1500.0), rating.get((of, a), 1500.0)
+        want[match] = (p, q)
+        if x is not None:
+            gain = 20.0 * (0.5 + 0.5 * ((x > y) - (x < y)) - 1 / (1 + 10 ** ((q - p) / 400)))
+            rating[of, h], rating[of, a] = p + gain, q - gain
+    df = spark.createDataFrame(rows, "season string, match_id long, day date, home_team string, away_team string, home_score int, away_score int")
+    got = X.elo(df, carry=carry).collect()
+    assert len(got) == len(rows) and all(math.isclose(r["home_elo"], want[r["match_id"]][0]) and math.isclose(r["away_elo"], want[r["match_id"]][1]) for r in got)
+    assert max(r["wave"] for r in got) < len(rows)  # matches of a wave are rated together
+    assert X.elo(df.limit(0)).count() == 0

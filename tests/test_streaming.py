@@ -72,7 +72,11 @@ def test_pipeline(spark, tmp_path):
         "european_cup_teams": spark.createDataFrame([("Alpha", 1)], ["team_name", "23_24_R1"]),
     }
     decisions = spark.createDataFrame([("Zz Du", 2, "y")], "player_name string, candidate_player_id long, decision string")
-    out = build(Store(spark, str(tmp_path)), t, decisions, {})
+    reports = {}
+    out = build(Store(spark, str(tmp_path)), t, decisions, {}, reports)
+    # each table's figures come from the job that stored it
+    assert set(reports) == set(out) and all(reports[n]["rows"] == out[n].count() for n in out)
+    assert reports["matches_stats_raw"]["n_2023-2024"] == 3 and reports["player_minutes"]["missing_pct"] == 0.0 and reports["callup_name_bridge"]["unmatched"] == 0
     assert {r["match_id"] for r in out["matches_stats_final"].collect()} == {1, 9}
     assert {(r["player_name"], r["player_id"]) for r in out["callup_name_bridge"].collect()} == {("Al Bo", 1), ("Zz Du", 2)}
     assert {(r["match_id"], r["home_euro_congestion"]) for r in out["european_congestion"].collect()} == {(1, 1), (2, 0), (9, 0)}

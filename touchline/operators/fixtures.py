@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..sources.scratch import new_folder, staged
 from . import relational as R
 
 #: Seasons in order; competitions and their flag columns; days around a window; the
@@ -182,24 +183,46 @@ def league_position(results: DataFrame) -> DataFrame:
     return before.withColumn("position", F.row_number().over(w)).drop("n_before")
 
 
-def elo(matches: DataFrame, k: float = 20.0, start: float = 1500.0) -> DataFrame:
-    """Ratings before each match.  A fold in match order, one season at a time (applyInPandas);
-    matches: (season, match_id, day, home_team, away_team, home_score, away_score)."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rating: dict = {}
-        rows = []
-        for r in pdf.sort_values(["day", "match_id"]).itertuples():
-            h, a = rating.get(r.home_team, start), rating.get(r.away_team, start)
-            rows.append((r.season, r.match_id, h, a))
-            if pd.notna(r.home_score) and pd.notna(r.away_score):
-                won = 0.5 + 0.5 * ((r.home_score > r.away_score) - (r.home_score < r.away_score))
-                gain = k * (won - 1 / (1 + 10 ** ((a - h) / 400)))
-                rating[r.home_team], rating[r.away_team] = h + gain, a - gain
-        return pd.DataFrame(rows, columns=["season", "match_id", "home_elo", "away_elo"])
-
-    return matches.groupBy("season").applyInPandas(fold, "season string, match_id long, home_elo double, away_elo double")
+def elo(matches: DataFrame, k: float = 20.0, start: float = 1500.0, carry: bool = False) -> DataFrame:
+    """(season, match_id, home_elo, away_elo, wave), ratings before each match; with ``carry`` they go on from
+    season to season.  matches: (season, match_id, day, home_team, away_team, home_score, away_score).
+
+    Matches are rated in waves: one may be rated when it is the next of both its teams, so a wave is all matches
+    that wait for none of each other, however many seasons and leagues there are, and there are as many waves as
+    matches of the busiest team, or more where teams wait for each other.  A wave joins its matches to the ratings
+    of their teams and stores both.  Unknown scores change nothing; matches of one day go by number; unknown days
+    come last, unknown teams are one team; a team that meets itself has the away side's rating afterwards."""
+    spark = matches.sparkSession
+    within = F.lit("all") if carry else F.col("season")
+    m = matches.select(within.alias("_of"), "season", "match_id", "day", "home_team", "away_team", "home_score", "away_score").withColumn("_sides", F.array("home_team", "away_team"))
+    turn = Window.partitionBy("_of", "_team").orderBy(F.asc_nulls_last("day"), "match_id")
+    sides = m.select("*", F.posexplode("_sides").alias("_side", "_team")).withColumn("_turn", F.dense_rank().over(turn))
+    own = ["_of", "season", "match_id", "day", "home_team", "away_team", "home_score", "away_score"]
+    m = staged(sides.groupBy(*own).agg(F.max(F.when(F.col("_side") == 0, F.col("_turn"))).alias("_h"), F.max(F.when(F.col("_side") == 1, F.col("_turn"))).alias("_a")), "elo-matches")
+    won = 0.5 + 0.5 * (F.signum((F.col("home_score") - F.col("away_score")).cast("double")))
+    gain = F.coalesce(k * (won - 1 / (1 + F.pow(F.lit(10.0), (F.col("away_elo") - F.col("home_elo")) / 400))), F.lit(0.0))
+    ratings = spark.createDataFrame([], f"_of {m.schema['_of'].dataType.simpleString()}, _team {m.schema['home_team'].dataType.simpleString()}, _elo double, _played int")
+    root, left, wave = new_folder(spark, "elo"), m.count(), 0
+    while left:
+        wave += 1
+        out = m.where(F.greatest("_h", "_a") <= wave)
+        for team, rating, played in (("home_team", "home_elo", "_hp"), ("away_team", "away_elo", "_ap")):
+            now = ratings.select(F.col("_of").alias("_o"), F.col("_team").alias("_t"), F.col("_elo").alias(rating), F.col("_played").alias(played))
+            out = out.join(now, out["_of"].eqNullSafe(F.col("_o")) & out[team].eqNullSafe(F.col("_t")), "left").drop("_o", "_t")
+        out = out.where((F.col("_h") == F.coalesce("_hp", F.lit(0)) + 1) & (F.col("_a") == F.coalesce("_ap", F.lit(0)) + 1))
+        out = out.withColumns({r: F.coalesce(r, F.lit(start)) for r in ("home_elo", "away_elo")}).withColumn("_gain", gain)
+        out.select("_of", "season", "match_id", "home_team", "away_team", "home_elo", "away_elo", "_gain", "_h", "_a").write.parquet(f"{root}/wave={wave}")
+        done = spark.read.parquet(f"{root}/wave={wave}")
+        rated = done.count()
+        if not rated:
+            raise RuntimeError(f"{left} matches wait for each other")
+        left -= rated
+        after = F.inline(F.array(F.struct(F.lit(1).alias("_s"), F.col("home_team").alias("_team"), (F.col("home_elo") + F.col("_gain")).alias("_elo"), F.col("_h").alias("_played")), F.struct(F.lit(0).alias("_s"), F.col("away_team").alias("_team"), (F.col("away_elo") - F.col("_gain")).alias("_elo"), F.col("_a").alias("_played"))))
+        new = done.select("_of", after).withColumn("_old", F.lit(0)).unionByName(ratings.withColumns({"_old": F.lit(1), "_s": F.lit(0)}))
+        ratings = staged(R.keep_first(new, ["_of", "_team"], F.col("_old"), F.col("_s")).select("_of", "_team", "_elo", "_played"), "elo-ratings")
+    if not wave:
+        return m.select("season", "match_id", F.lit(start).alias("home_elo"), F.lit(start).alias("away_elo"), F.lit(0).alias("wave"))
+    return spark.read.option("basePath", root).parquet(root).select("season", "match_id", "home_elo", "away_elo", "wave")
 
 
 def travel(matches: DataFrame, teams: DataFrame, venues: DataFrame) -> DataFrame:

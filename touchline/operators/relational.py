@@ -150,7 +150,8 @@ def shares(df: DataFrame, key: str) -> DataFrame:
 
 
 def before_in_order(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Sum and count over strictly earlier values of ``order``; peers don't count."""
+    """Sum and count over strictly earlier values of ``order``; peers don't count.  A key is one task's, as
+    a team's season or a player's; ``ordered.running_before`` is for keys of any length."""
     w = Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumns({"sum_before": F.coalesce(F.sum(value).over(w), F.lit(0.0)), "n_before": F.count(value).over(w)})
 
@@ -158,7 +159,7 @@ def before_in_order(df: DataFrame, keys: list[str], order: str, value: str) -> D
 def before_lookup(asked: DataFrame, history: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Sum and count over the history strictly before each asked row, also for keys that have
     no row at that point.  Both are put on one line and summed in order, so a key with a long history
-    is not multiplied by the rows that ask."""
+    is not multiplied by the rows that ask.  ``ordered.running_lookup`` is for keys of any length."""
     both = (
         history.groupBy(*keys, order)
         .agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental as I
 from ..operators import ordered as O
+from ..operators import quality as Q
 from ..operators import relational as R
+from ..operators import reports as P
 from ..sources import keyed, publish
 from ..sources.rescue import load_rescued
-from ..sources.scratch import new_folder
+from ..sources.scratch import new_folder, staged
 from ..streaming import retries
 from .registry import query, t
 
@@ -131,3 +133,48 @@ def rescued_lines(spark, sf):
     good = found.select("c_custkey", F.lit(None).cast("string").alias("reason"), "balance")
     ids = F.coalesce(F.regexp_extract("text", r"Customer#0*(\d+)", 1).try_cast("long"), F.element_at(F.split("text", "[,;]"), F.when(F.contains("text", F.lit(";")), 2).otherwise(1)).try_cast("long"))
     return good.unionByName(rejects.select(ids.alias("c_custkey"), "reason", F.lit(None).cast("double").alias("balance")))
+
+
+@query(
+    "with c as (select c_custkey, case when c_mktsegment <> 'HOUSEHOLD' then c_custkey // 2 end id, c_mktsegment seg from customer), "
+    "p as (select *, (select count(distinct seg) from c x where x.id = c.id) > 1 clash, row_number() over (partition by id order by c_custkey) rn from c) "
+    "select c_custkey, 'players' part from p where id is null or clash or rn = 1 union all select c_custkey, 'conflicts' from p where clash and id is not null"
+)
+def players_dedup(spark, sf):
+    """N8 as a whole: customers two to an id, those of one segment without an id: what stays, and what is reported."""
+    url = F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.concat(F.lit("https://x/joueur/"), F.floor(F.col("c_custkey") / 2).cast("string"), F.lit("-a"))).otherwise(F.lit("https://x/club"))
+    players = t(spark, sf, "customer").select(url.alias("player_url"), F.col("c_mktsegment").alias("seg"), "c_custkey")
+    kept, conflicts = Q.dedup_players(players, "c_custkey")
+    return kept.select("c_custkey", F.lit("players").alias("part")).unionByName(conflicts.select("c_custkey", F.lit("conflicts").alias("part")))
+
+
+_STATS = "select o_orderkey match_id, year(o_orderdate)::varchar season, month(o_orderdate)::int rnd, case when o_orderstatus <> 'P' then o_totalprice end a, case when o_orderpriority <> '5-LOW' then o_custkey end b, toxic hp, quality ap from orders left join labels on doc_id = o_orderkey"
+
+
+@query(
+    f"with s as ({_STATS}), r as (select *, case when (a is not null)::int + (b is not null)::int + (hp is not null)::int + (ap is not null)::int < 2 then 'missing_data' when hp = 0 and ap = 0 then 'all_zero_stats' end reason from s) "
+    "select match_id, season, rnd, reason, case when reason is null then 'kept' else 'dropped' end part from r"
+)
+def bad_rows_split(spark, sf):
+    """P9-P11 as a whole: the kept statistics and the log of those that were dropped."""
+    lab = t(spark, sf, "labels").select(F.col("doc_id").alias("o_orderkey"), F.col("toxic").alias("home_passes"), F.col("quality").alias("away_passes"))
+    o = t(spark, sf, "orders").join(lab, "o_orderkey", "left")
+    a, b = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey"))
+    stats = o.select(F.col("o_orderkey").alias("match_id"), F.date_format("o_orderdate", "yyyy").alias("season"), F.month("o_orderdate").alias("round"), a.alias("a"), b.alias("b"), "home_passes", "away_passes")
+    kept, log = Q.drop_bad_rows(stats)
+    kept = kept.select("match_id", "season", "round", F.lit(None).cast("string").alias("reason"), F.lit("kept").alias("part"))
+    return kept.unionByName(log.withColumn("part", F.lit("dropped"))).withColumnRenamed("round", "rnd")
+
+
+@query(
+    "select name, figure from (select count(*)::double as \"rows\", count(*) filter (where o_orderkey is null)::double unmatched, round(100.0 * count(*) filter (where l_returnflag = 'R') / count(*), 6) returned, "
+    "count(*) filter (where o_orderstatus = 'F')::double \"n_F\" from lineitem left join orders on o_orderkey = l_orderkey) unpivot (figure for name in (\"rows\", unmatched, returned, \"n_F\"))"
+)
+def stage_report(spark, sf):
+    """A join that is checked and reported by the very job that stores it."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    joined = t(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    sound = P.checked(joined, F.col("l_quantity") < 0, "negative quantity", "l_orderkey", "l_quantity")
+    out, seen = P.observed(sound, "lines", returned=P.share_of(F.col("l_returnflag") == "R"), **P.unmatched("o_orderkey"), **P.coverage_figures("o_orderstatus", ["F"]))
+    staged(out, "reported")
+    return spark.createDataFrame([(k, float(v)) for k, v in seen.get.items()], "name string, figure double")

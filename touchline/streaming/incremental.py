@@ -1,8 +1,9 @@
 """Streams that keep tables up to date: the streaming forms of T1 and T3.
 
 A sink writes each micro-batch's new rows as a folder of its own (``<root>/v=<batch id>``) and the table is
-all of them, so a batch costs what it brings and not what the table holds.  A batch that is replayed after
-a failure writes the same folder again: exactly once by key, whatever the source does.  ``compact`` folds
+all of them, so a batch writes what it brings; to know what is new it reads the keys of the whole table, which
+``sources.keyed.merge_stream`` does not.  A batch that is replayed after a failure writes the same folder again:
+exactly once by key, whatever the source does.  ``compact`` folds
 folders into one (``<root>/base=<batch id>``); readers take the newest base and the folders after it.
 """
 
