@@ -29,19 +29,24 @@ def nfkd_accents(text: Column) -> Column:
     return U.without_marks(text)
 
 
-def _norm(text: Column, dash: str) -> Column:
-    low = U.folded(U.without_marks(text))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, DASHES, dash), OTHER, " "), r"\s+", " "))
+def plain(text: Column) -> Column:
+    """No accents, folded case: what both normal forms start from."""
+    return U.folded(U.without_marks(text))
+
+
+def norm_of(plain_text: Column, dash: str = " ") -> Column:
+    """The normal form of a text that ``plain`` gave; ``dash`` is what hyphens and apostrophes become."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain_text, DASHES, dash), OTHER, " "), r"\s+", " "))
 
 
 def norm(text: Column) -> Column:
     """no accents, folded case, punctuation as blanks."""
-    return _norm(text, " ")
+    return norm_of(plain(text))
 
 
 def norm_tight(text: Column) -> Column:
     """like ``norm``, but hyphens and apostrophes vanish."""
-    return _norm(text, "")
+    return norm_of(plain(text), "")
 
 
 #: ``norm`` as SQL over ``x``, for the registered function.

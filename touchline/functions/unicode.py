@@ -56,29 +56,33 @@ def _class(chars) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
 
-def _applied(text: Column, form: Callable[[str], str], hangul: bool) -> Column:
-    before, after, several = _table(form)
+def _once(text: Column, form: Callable[[Column], Column]) -> Column:
+    """``form`` of a text that is worked out once, however often the form names it: as the variable of a function
+    over an array of one, so that forms of forms don't multiply."""
+    return F.get(F.transform(F.array(text), form), F.lit(0))
+
+
+def _mapped(text: Column, form: Callable[[str], str]) -> Column:
+    """``text`` with the code points that become several replaced."""
+    several = _table(form)[2]
     rare = _class(several)
     wide = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # of a literal: folded to one
     each = lambda c: F.coalesce(F.try_element_at(wide, c), c)
-    # only the rare code points are looked up: each is made a piece of its own
-    pieces = F.split(F.regexp_replace(text, f"({rare})", "\x00$1\x00"), "\x00")
-    marked = F.when(~F.contains(text, F.lit("\x00")), F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) == 1, each(p)).otherwise(p)), ""))
-    plain = F.array_join(F.transform(F.split(text, ""), each), "")  # a text that holds the mark itself
-    out = F.when(text.rlike(rare), F.coalesce(marked, plain)).otherwise(text)
-    if hangul:
-        syllable = f"[\\x{{{SYLLABLE:x}}}-\\x{{{_LAST:x}}}]"
-        # by code point, not by ``between``: strings compare by bytes, which agrees, but a piece may be empty
-        parts = F.transform(F.split(out, ""), lambda c: F.when(c.rlike(f"^{syllable}"), _hangul(c)).otherwise(c))
-        out = F.when(out.rlike(syllable), F.array_join(parts, "")).otherwise(out)
-    return F.translate(out, before, after)
+    # only the rare code points are looked up: each is made a piece of its own, by a mark that the text doesn't hold
+    pieces = lambda x: F.split(F.regexp_replace(x, f"({rare})", "\x00$1\x00"), "\x00")
+    marked = lambda x: F.transform(pieces(x), lambda p: F.when(F.length(p) == 1, each(p)).otherwise(p))
+    plain = lambda x: F.transform(F.split(x, ""), each)
+    return _once(text, lambda x: F.when(x.rlike(rare), F.array_join(F.when(F.contains(x, F.lit("\x00")), plain(x)).otherwise(marked(x)), "")).otherwise(x))
 
 
 def without_marks(text: Column) -> Column:
     """F8 for every script: the compatibility decomposition without combining marks."""
-    return _applied(text, base_of, True)
+    syllable = f"[\\x{{{SYLLABLE:x}}}-\\x{{{_LAST:x}}}]"
+    apart = lambda x: F.transform(F.split(x, ""), lambda c: F.when(c.rlike(f"^{syllable}"), _hangul(c)).otherwise(c))
+    out = _once(_mapped(text, base_of), lambda x: F.when(x.rlike(syllable), F.array_join(apart(x), "")).otherwise(x))
+    return F.translate(out, *_table(base_of)[:2])
 
 
 def folded(text: Column) -> Column:
     """Full case folding, as Python's ``str.casefold``."""
-    return _applied(text, str.casefold, False)
+    return F.translate(_mapped(text, str.casefold), *_table(str.casefold)[:2])

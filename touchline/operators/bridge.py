@@ -23,51 +23,62 @@ METHODS = ["exact", "normalized", "normalized_extended", "manual_review", MANUAL
 MATCHED = METHODS[:5]
 
 
-def _candidates(players: DataFrame, keys: dict, out: str) -> DataFrame:
-    """Key columns with the ids that have them, in the players' order."""
-    rows = players.select(*[c.alias(k) for k, c in keys.items()], "player_id", "_ord")
+def _held(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Key columns with the number of ids that have them, and the only one if there is one."""
     rows = rows.where(" and ".join(f"{k} is not null" for k in keys))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("_ord", "player_id"))), lambda x: x["player_id"])
-    return rows.groupBy(*keys).agg(ids.alias(out))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n_{kind}"), F.min("player_id").alias(f"_id_{kind}"))
 
 
 def build(callups: DataFrame, players: DataFrame, order: str | None = None) -> DataFrame:
     """One row for each distinct non-null call-up name.  ``order``: the players' ordinal; without
-    one, ids order them.  Players without an id are no candidates."""
+    one, ids order them.  Players without an id are no candidates.
+
+    Tiers are decided by counts, which are combined on the map side; lists of candidates are made only for those
+    keys whose names report them, so a common surname costs its list once and not its square."""
     p = players.where("player_id is not null").withColumn("player_id", F.col("player_id").cast("long")).withColumn("_ord", F.col(order) if order else F.col("player_id"))
-    p = p.withColumns({"_n": N.norm(F.col("full_name")), "_t": N.norm_tight(F.col("full_name"))})
+    forms = {"_n": N.norm_of(F.col("_plain")), "_t": N.norm_of(F.col("_plain"), "")}
+    p = p.withColumn("_plain", N.plain(F.col("full_name"))).withColumns(forms)
     first, last = N.first_last(F.col("_n"))
+    p = p.select("full_name", "player_id", "_ord", "_n", "_t", first.alias("_f"), last.alias("_l"), last.alias("_s"))
     exact = p.where("full_name is not null").groupBy(F.col("full_name").alias("player_name")).agg(F.max_by("player_id", "_ord").alias("_exact"))
-    by_norm = _candidates(p, {"_n": F.col("_n")}, "_norm")
-    by_tight = _candidates(p, {"_t": F.col("_t")}, "_tight")
-    by_pair = _candidates(p, {"_f": first, "_l": last}, "_pair")
-    by_last = _candidates(p, {"_s": last}, "_sur")
+    keys = {"norm": ["_n"], "tight": ["_t"], "pair": ["_f", "_l"], "sur": ["_s"]}
 
     names = callups.where("player_name is not null").groupBy("player_name").agg(F.count(F.lit(1)).cast("int").alias("callup_rows"))
-    names = names.withColumns({"_n": N.norm(F.col("player_name")), "_t": N.norm_tight(F.col("player_name"))})
+    names = names.withColumn("_plain", N.plain(F.col("player_name"))).withColumns(forms).drop("_plain")
     f, l = N.first_last(F.col("_n"))
     names = names.withColumns({"_f": f, "_l": l, "_s": F.try_element_at(N.tokens(F.col("_n")), F.lit(-1))})
-    j = names.join(exact, "player_name", "left").join(by_norm, "_n", "left").join(by_tight, "_t", "left").join(by_pair, ["_f", "_l"], "left").join(by_last, "_s", "left")
-    n = {c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)) for c in ("_norm", "_tight", "_pair", "_sur")}
-    only = lambda c: F.try_element_at(F.col(c), F.lit(1))
-    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ";")
+    j = names.join(exact, "player_name", "left")
+    for kind, by in keys.items():
+        j = j.join(_held(p, by, kind), by, "left")
+    n = {kind: F.coalesce(F.col(f"_n_{kind}"), F.lit(0)) for kind in keys}
+    only = lambda kind: F.col(f"_id_{kind}")
     none_id = F.lit(None).cast("long")
-    tiers = [
-        (F.col("_exact").isNotNull(), F.col("_exact"), "exact", F.lit(""), ""),
-        (n["_norm"] == 1, only("_norm"), "normalized", F.lit(""), ""),
-        (n["_norm"] > 1, none_id, "ambiguous", joined("_norm"), AMBIGUOUS),
-        (n["_tight"] == 1, only("_tight"), "normalized", F.lit(""), ""),
-        (n["_pair"] == 1, only("_pair"), "normalized_extended", F.lit(""), ""),
-        (n["_pair"] > 1, none_id, "unmatched", joined("_pair"), FIRST_LAST_MANY),
-        (n["_sur"] == 1, none_id, "unmatched", joined("_sur"), SURNAME_ONE),
-        (n["_sur"] > 1, none_id, "unmatched", joined("_sur"), SURNAME_MANY),
-        (F.lit(True), none_id, "unmatched", F.lit(""), NO_SURNAME),
+    tiers = [  # test, id, method, whose candidates are listed, cause
+        (F.col("_exact").isNotNull(), F.col("_exact"), "exact", None, ""),
+        (n["norm"] == 1, only("norm"), "normalized", None, ""),
+        (n["norm"] > 1, none_id, "ambiguous", "norm", AMBIGUOUS),
+        (n["tight"] == 1, only("tight"), "normalized", None, ""),
+        (n["pair"] == 1, only("pair"), "normalized_extended", None, ""),
+        (n["pair"] > 1, none_id, "unmatched", "pair", FIRST_LAST_MANY),
+        (n["sur"] == 1, none_id, "unmatched", "sur", SURNAME_ONE),
+        (n["sur"] > 1, none_id, "unmatched", "sur", SURNAME_MANY),
+        (F.lit(True), none_id, "unmatched", None, NO_SURNAME),
     ]
+    key = {kind: F.array(*by) for kind, by in keys.items()}
     verdict = None
-    for test, pid, method, cands, cause in tiers:
-        s = F.struct(pid.alias("player_id"), F.lit(method).alias("match_method"), cands.alias("candidate_player_ids"), F.lit(cause).alias("likely_cause"))
+    for test, pid, method, listed, cause in tiers:
+        of = F.struct(F.lit(listed).alias("kind"), key[listed].alias("key")) if listed else F.lit(None).cast("struct<kind:string,key:array<string>>")
+        s = F.struct(pid.alias("player_id"), F.lit(method).alias("match_method"), of.alias("_of"), F.lit(cause).alias("likely_cause"))
         verdict = F.when(test, s) if verdict is None else verdict.when(test, s)
-    return j.select("player_name", "callup_rows", verdict.alias("_v")).select("player_name", "_v.*", "callup_rows").select(*COLUMNS)
+    decided = j.select("player_name", "callup_rows", verdict.alias("_v")).select("player_name", "_v.*", "callup_rows")
+    decided = decided.withColumns({"_kind": F.col("_of.kind"), "_key": F.col("_of.key")}).drop("_of")
+    wanted = decided.where("_kind is not null").select("_kind", "_key").distinct()
+    has = F.array(*[F.struct(F.lit(kind).alias("_kind"), key[kind].alias("_key")) for kind in ("norm", "pair", "sur")])
+    rows = p.select("player_id", "_ord", F.inline(has)).where(~F.exists("_key", lambda x: x.isNull())).join(wanted, ["_kind", "_key"], "left_semi")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_ord", "player_id"))), lambda x: x["player_id"].cast("string"))
+    lists = rows.groupBy("_kind", "_key").agg(F.array_join(ids, ";").alias("_list"))
+    out = decided.join(lists, ["_kind", "_key"], "left").withColumn("candidate_player_ids", F.coalesce("_list", F.lit("")))
+    return out.select(*COLUMNS)
 
 
 def apply_manual(bridge: DataFrame, entries: dict[str, int] | None = None) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators import incremental as I
 from ..operators import quality as Q
 from ..operators import relational as R
 from ..sources import html as H
+from ..sources.scratch import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -570,7 +571,7 @@ def bridge_coverage(spark, sf):
 )
 def review_queue(spark, sf):
     callups, players = _bridge_tables(spark, sf)
-    return B.review_queue(B.build(callups, players), callups, players).select("player_name", "candidate_player_id", "n_candidates", "n_callup_rows", "candidate_clubs")
+    return B.review_queue(staged(B.build(callups, players), "bridge"), callups, players).select("player_name", "candidate_player_id", "n_candidates", "n_callup_rows", "candidate_clubs")
 
 
 @query(
@@ -581,10 +582,11 @@ def review_queue(spark, sf):
 )
 def apply_decisions(spark, sf):
     callups, players = _bridge_tables(spark, sf)
-    bridge = B.build(callups, players)
+    bridge = staged(B.build(callups, players), "bridge")
     queue = R.split_list(bridge.where(F.col("likely_cause").isin(B.REVIEWED)), "candidate_player_ids", "c").groupBy("player_name").agg(F.min(F.col("c").cast("long")).alias("candidate_player_id"))
     decided = queue.withColumn("decision", F.when(F.col("candidate_player_id") % 2 == 0, " Y ").otherwise("n"))
-    once = B.apply_decisions(bridge, decided)
+    decided = staged(decided, "decided")
+    once = staged(B.apply_decisions(bridge, decided), "decided-once")
     return B.apply_decisions(once, decided).select("player_name", "player_id", "match_method", "likely_cause")
 
 
