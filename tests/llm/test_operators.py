@@ -206,6 +206,30 @@ def test_packing(spark, odd):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, each", [(342, 2), (205, 4), (171, 5), (513, 1)])
+def test_bound_certifies_sizes_just_over_a_share(size, each):
+    assert packing.dff_bound([size] * 60 * each) == 60
+
+
+def test_groups_of_the_pool_stay_small(spark, monkeypatch):
+    """Sizes whose bound stays below any packing: the pool is dealt again and again, over groups of the same size."""
+    sizes, plain = [], packing.stage
+
+    def seen(df, name):
+        out = plain(df, name)
+        sizes.extend(r["count"] for r in out.where("grp >= 0").groupBy("grp").count().collect())
+        return out
+
+    monkeypatch.setattr(packing, "stage", seen)
+    pieces = spark.range(6000).select(F.col("id").alias("row"), F.lit(0).alias("piece"), (200 + F.pmod(F.xxhash64("id"), F.lit(501))).cast("long").alias("length"))
+    out = packing.pack_pieces(pieces, each=400).toPandas()
+    assert len(out) == out.row.nunique() == 6000 and max(sizes) <= 2 * 400
+    for _, bin_ in out.groupby("sequence_id"):
+        bin_ = bin_.sort_values("offset")
+        assert bin_.length.sum() <= 1024 and (bin_.offset == bin_.length.cumsum() - bin_.length).all()
+    assert out.sequence_id.nunique() <= packing.dff_bound(out.length) * 1.05 + 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 24), max_size=9))
 def test_dff_bound_never_exceeds_the_optimum(sizes):

@@ -6,8 +6,9 @@
   best-fit decreasing.  A dual-feasible-function bound certifies the partition's number of bins: no
   packing of its pieces can have fewer.
 * Partitions with gaps (more bins than their bound) put the documents of their unfilled bins into a
-  pool; the pool is dealt anew over fewer partitions and packed again, until no partition has a gap
-  or one partition holds the pool.  A group keeps its old bins where packing anew saves none.
+  pool; the pool is dealt anew over partitions of the same bounded number of pieces and packed again.
+  A partition that saves no bin that way keeps its old bins and leaves the pool, so rounds end when
+  none saves any, or after ``ROUNDS``; no partition grows, however large the pool is.
 
 Edge cases: null and empty texts are the end id alone; repeated doc_ids are documents of their own;
 null doc_ids stay null; an empty table gives no rows.
@@ -30,6 +31,8 @@ from .tokens import encoder, vocabulary
 ROOM = 1024
 END_ID = 2
 PIECES_EACH = 50_000
+#: Rounds of dealing the pool anew; rounding functions of the bound, by the parts that a sequence is cut into.
+ROUNDS, PARTS = 12, 40
 
 
 def dff_bound(sizes, room: int = ROOM) -> int:
@@ -37,7 +40,9 @@ def dff_bound(sizes, room: int = ROOM) -> int:
 
     u(x): the size itself.  For a threshold k up to half the room, sizes over room - k count as a
     whole bin, sizes in between as they are, smaller ones as nothing; and sizes over half the room
-    count one bin each with what is left to the middle ones (both are dual feasible)."""
+    count one bin each with what is left to the middle ones (both are dual feasible).  For p parts, a
+    size counts as so many p-ths of a bin as (p + 1)-ths of the room fit into it, or as it is where they
+    fill it: of sizes just over a third of the room, no bin holds three.  Thresholds and parts go together."""
     n = np.bincount(np.asarray(sizes, dtype=np.int64), minlength=room + 1)[: room + 1]
     if not n.sum():
         return 0
@@ -53,6 +58,14 @@ def dff_bound(sizes, room: int = ROOM) -> int:
         spare = over * room - between(total, half + 1, room - k)
         low = between(total, max(k, 1), min(half, room - k))
         best = max(best, large + over + max(0, -(-(low - spare) // room)))
+    k = np.arange(half + 1)
+    low, high = np.maximum(k, 1), room - k
+    large = count[-1] - count[high + 1]
+    for p in range(1, PARTS + 1):
+        scaled = (p + 1) * at
+        worth = np.where(scaled % room == 0, p * at, scaled // room * room)  # of a bin, in parts of p * room
+        summed = np.concatenate([[0], np.cumsum(n * worth)])
+        best = max(best, int((large - (-(summed[high + 1] - summed[low]) // (p * room))).max()))
     return best
 
 
@@ -148,14 +161,14 @@ def pack_pieces(pieces: DataFrame, room: int = ROOM, each: int = PIECES_EACH) ->
     names = [*columns, "bin", "offset", "gap", "grp"]
     state = stage(state.select(names).groupBy("grp").applyInPandas(_pack_group(room, 0), schema), "pack-0")
     done = []
-    for k in itertools.count(1):  # each round halves the groups at least, so it ends
+    for k in itertools.count(1):
         pool = state.where("gap")
-        n, parts = pool.agg(F.count(F.lit(1)), F.countDistinct("grp")).first()
+        n = pool.count()
         done.append(state.where("not gap"))
-        if not n or (k > 1 and parts == 1):
-            done.append(pool)
+        if not n or k > ROUNDS:
+            done += [pool] if n else []
             break
-        groups = min(groups_for(n, each), max(1, parts // 2))
+        groups = groups_for(n, each)
         pool = pool.withColumn("grp", F.pmod(F.xxhash64("bin", F.lit(k)), F.lit(groups))).select(names)
         state = stage(pool.groupBy("grp").applyInPandas(_pack_group(room, k), schema), f"pack-{k}")
     packed = done[0]
