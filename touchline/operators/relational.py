@@ -198,20 +198,26 @@ def dyadic_nodes(lo: Column, hi: Column, levels: int) -> Column:
     return F.concat(*[F.coalesce(x, none) for x in both])
 
 
-def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str], lo: str, hi: str, out: str) -> DataFrame:
+def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str], lo: str, hi: str, out: str, width: int = 16) -> DataFrame:
     """1 if a window of the same keys covers the row's day, both ends included, else 0.
 
-    A window is cut into dyadic stretches, of which it needs two for each doubling of its length, and a day
-    belongs to one stretch of each level; they meet by key and stretch, so the join is an equi-join whatever the
-    windows' lengths and every meeting is a hit.  Levels go as far as the longest window, up to 2^15 days.  Null
-    bounds and null days cover nothing."""
-    spans = windows.select(*keys, F.unix_date(lo).alias("_lo"), F.unix_date(hi).alias("_hi")).where("_lo <= _hi").distinct()
+    Days fall into stretches of ``width``.  A window's first and last stretch meet their days by key and stretch,
+    and days are compared there; the whole stretches between are cut into dyadic ones, two for each doubling of
+    the window's length, and a day belongs to one of each level.  So every join is an equi-join, a short window is
+    two rows, and a window of any length a bounded number.  Levels go as far as the longest window, up to 2^15
+    stretches.  Null bounds and null days cover nothing."""
+    spans = windows.select(*keys, F.unix_date(lo).alias("_lo"), F.unix_date(hi).alias("_hi")).where("_lo <= _hi")
     longest = spans.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1
-    levels = min(15, int(longest).bit_length() - 1)
-    nodes = spans.select(*keys, F.inline(dyadic_nodes(F.col("_lo"), F.col("_hi"), levels))).distinct()
-    asked = rows.where(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_day")).distinct()
-    above = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.unix_date("_day"), k).cast("long").alias("at")) for k in range(levels + 1)])
-    met = asked.select(*keys, "_day", F.inline(above)).join(nodes, [*keys, "level", "at"], "left_semi")
+    stretch = lambda c: F.floor(c / width).cast("long")
+    spans = spans.withColumns({"_a": stretch(F.col("_lo")), "_b": stretch(F.col("_hi"))})
+    asked = rows.where(F.col(day).isNotNull()).select(*keys, F.col(day).alias("_day")).distinct().withColumn("_at", stretch(F.unix_date("_day")))
+    ends = spans.select(*keys, "_lo", "_hi", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_at"))
+    met = asked.join(ends, [*keys, "_at"]).where(F.unix_date("_day").between(F.col("_lo"), F.col("_hi"))).select(*keys, "_day")
+    if longest >= width + 2:  # else no window holds a whole stretch between its ends
+        levels = min(15, max(0, int(longest // width).bit_length() - 1))
+        inner = spans.where("_b - _a > 1").select(*keys, F.inline(dyadic_nodes(F.col("_a") + 1, F.col("_b") - 1, levels))).distinct()
+        above = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col("_at"), k).alias("at")) for k in range(levels + 1)])
+        met = met.unionByName(asked.select(*keys, "_day", F.inline(above)).join(inner, [*keys, "level", "at"], "left_semi").select(*keys, "_day"))
     hit = met.select(*keys, F.col("_day").alias(day), F.lit(1).alias(out)).distinct()
     return rows.join(hit, [*keys, day], "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
