@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..sources.scratch import staged
 from . import relational as R
 
 COLUMNS = ["player_name", "player_id", "match_method", "candidate_player_ids", "likely_cause", "callup_rows"]
@@ -39,7 +40,7 @@ def build(callups: DataFrame, players: DataFrame, order: str | None = None) -> D
     forms = {"_n": N.norm_of(F.col("_plain")), "_t": N.norm_of(F.col("_plain"), "")}
     p = p.withColumn("_plain", N.plain(F.col("full_name"))).withColumns(forms)
     first, last = N.first_last(F.col("_n"))
-    p = p.select("full_name", "player_id", "_ord", "_n", "_t", first.alias("_f"), last.alias("_l"), last.alias("_s"))
+    p = staged(p.select("full_name", "player_id", "_ord", "_n", "_t", first.alias("_f"), last.alias("_l"), last.alias("_s")), "bridge-players")  # read six times
     exact = p.where("full_name is not null").groupBy(F.col("full_name").alias("player_name")).agg(F.max_by("player_id", "_ord").alias("_exact"))
     keys = {"norm": ["_n"], "tight": ["_t"], "pair": ["_f", "_l"], "sur": ["_s"]}
 
@@ -72,6 +73,7 @@ def build(callups: DataFrame, players: DataFrame, order: str | None = None) -> D
         verdict = F.when(test, s) if verdict is None else verdict.when(test, s)
     decided = j.select("player_name", "callup_rows", verdict.alias("_v")).select("player_name", "_v.*", "callup_rows")
     decided = decided.withColumns({"_kind": F.col("_of.kind"), "_key": F.col("_of.key")}).drop("_of")
+    decided = staged(decided, "bridge-decided")  # read twice
     wanted = decided.where("_kind is not null").select("_kind", "_key").distinct()
     has = F.array(*[F.struct(F.lit(kind).alias("_kind"), key[kind].alias("_key")) for kind in ("norm", "pair", "sur")])
     rows = p.select("player_id", "_ord", F.inline(has)).where(~F.exists("_key", lambda x: x.isNull())).join(wanted, ["_kind", "_key"], "left_semi")
