@@ -1,5 +1,8 @@
 """The page functions in SQL, equal to their DataFrame forms."""
 
+import gc
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +74,35 @@ def test_wrong_calls_are_refused_at_analysis(spark, pages, call):
 def test_a_page_is_of_few_rows(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet")
     assert o.groupBy(F.floor(F.col("o_orderkey") / 16)).count().agg(F.max("count")).first()[0] <= 16 and P.html_rounds
+
+
+def test_plain_pages_and_parsed_ones_are_one_tree():
+    """A page is cut at its tags or goes through the parser: the same nodes, texts and answers."""
+    bits = ['<div class="a b">', "</div>", "<p>", "</p>", '<a href="/x?a=1&amp;b=2&copy=3">', "</a>", " x &amp; y ", "&amp", "<br/>", "<td>", "<tr>", "<table>", "</table>", "<!-- a > b -->", '<script>a<b "</div>"</script>', "<title>t &lt;</title>", "<title>", "a < b", "<a href=x>", "<A HREF='q\"q' disabled>", '<div class="x>y">', "<!DOCTYPE html>", "</br>", "<style>", "</style>"]
+    see = lambda tree: [(n.tag, n.attrs, n.text(), n.stripped(), len(n.all())) for n in (H.Node(tree, 0), *H.Node(tree, 0).all()) if n.tag not in ("script", "style")]
+    draw, plain = random.Random(3), 0
+    for _ in range(4000):
+        page = "".join(draw.choices(bits, k=draw.randrange(12)))
+        quick = H._plain(page)
+        if quick is not None:
+            plain += 1
+            assert see(quick) == see(H._parsed(page)), page
+    assert plain > 500
+
+
+def test_a_page_leaves_no_cycles():
+    gc.collect()
+    gc.disable()
+    try:
+        for page in ('<div class="a"><p>x</p></div>' * 50, "<div class=a><p>x</p></div>" * 50):
+            H.parse(page).all("p")
+        assert gc.collect() < 100  # a cyclic tree left some hundreds of objects
+    finally:
+        gc.enable()
+
+
+def test_match_pages_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    spark.read.parquet(f"{SF}/orders.parquet").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    df = P.html_match_pages(spark, str(tmp_path))
+    used = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 1 and df.count() == spark.read.parquet(f"{SF}/orders.parquet").count()

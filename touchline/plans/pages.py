@@ -26,6 +26,10 @@ def joined(order: list[str], part: Column, out: str, only: Column | None = None)
     return F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda p: p["x"]), "").alias(out)
 
 
+def tasks(spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 @query("select concat('S', o_orderkey // 16 % 5) season, o_orderkey // 16 rnd, concat('/feuille/j', o_orderkey // 16, '/', o_orderkey, '-a-b') url, concat('Club ', o_custkey) home_team, concat('Stade ', o_orderpriority) away_team, o_orderkey::varchar match_id from orders")
 def html_rounds(spark, sf):
     """H1: a page for each sixteen matches."""
@@ -65,7 +69,9 @@ def html_match_pages(spark, sf):
     away = div("match-statistics__roster", cell("breakdownSteals", k % 4))
     page = F.concat(*bars, share, div("match-statistics__cards", side(k % 3, F.lit(0)), side(F.lit(1), c % 2)), home, away)
     udtf.register(spark)
-    t(spark, sf, "orders").select(k.alias("match_id"), page.alias("html")).createOrReplaceTempView("touchline_match_pages")
+    # pages are made after the rows are dealt, as the table may be one small file and reading a page is long work
+    dealt = t(spark, sf, "orders").select("o_orderkey", "o_custkey").repartition(tasks(spark), "o_orderkey")
+    dealt.select(k.alias("match_id"), page.alias("html")).createOrReplaceTempView("touchline_match_pages")
     names = [*(f"{s}_{b}" for b in _BARS for s in ("home", "away")), "home_possession", "away_possession", "home_yellow_cards", "away_red_cards", "home_offloads", "away_turnovers"]
     return spark.sql(f"SELECT p.match_id, {', '.join(f'm.{n}' for n in names)} FROM touchline_match_pages p, LATERAL html_matches(p.html) m")
 
