@@ -106,3 +106,11 @@ def test_match_pages_of_one_file_are_read_by_many_tasks(spark, tmp_path):
     df = P.html_match_pages(spark, str(tmp_path))
     used = df.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used > 1 and df.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_headings_keep_references_without_their_end(spark, pages):
+    """A title that is cut inside a reference, and one with tags inside, as the query's SQL reads them."""
+    df = made(spark, "<h1>The &amp; ox &amp</h1><h2>one <b>two</b>\n three &lt;</h2><h3>a & b &amp;lt;</h3>")
+    want = [(1, 1, "The & ox &amp"), (1, 2, "one two three <"), (1, 3, "a & b &lt;")]
+    assert rows_of(H.headings(df, ["k"])) == want
+    assert rows_of(spark.sql("SELECT k, level, heading FROM one_page p, LATERAL html_rows(p.html, 'headings')")) == want

@@ -56,7 +56,7 @@ class PageRows:
         return AnalyzeResult(_columns(layout))
 
     def eval(self, html: str | None, layout: str, competition: str | None = None) -> Iterator[tuple]:
-        yield from LAYOUTS[layout][1](H.parse(html), {"competition": competition})
+        yield from H.page_rows(LAYOUTS[layout][1], html, {"competition": competition})
 
 
 class TablePages:
@@ -74,7 +74,7 @@ class TablePages:
     def eval(self, page, layout: str) -> Iterator[tuple]:
         own = page.asDict()
         html = own.pop("html")
-        for row in LAYOUTS[layout][1](H.parse(html), {"competition": own.get("competition")}):
+        for row in H.page_rows(LAYOUTS[layout][1], html, {"competition": own.get("competition")}):
             yield (*own.values(), *row)
 
 
