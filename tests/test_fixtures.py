@@ -261,3 +261,13 @@ def test_elo_waves_equal_the_fold(spark, carry):
     assert len(got) == len(rows) and all(math.isclose(r["home_elo"], want[r["match_id"]][0]) and math.isclose(r["away_elo"], want[r["match_id"]][1]) for r in got)
     assert max(r["wave"] for r in got) < len(rows)  # matches of a wave are rated together
     assert X.elo(df.limit(0)).count() == 0
+
+
+def test_weather_broadcasts_no_responses(spark):
+    """Answers are long texts made from short rows: by the size of their files they would be broadcast."""
+    from touchline.plans.registry import QUERIES
+
+    df = QUERIES["weather_at_kickoff"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len([j for j in joins if "strategy=merge" in j]) == 2 and len(joins) == 3, plan  # the third meets the counted venues
