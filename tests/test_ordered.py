@@ -80,3 +80,23 @@ def test_windows_of_any_length(spark):
     # a window of a century is a bounded number of rows
     century = spark.createDataFrame([(day(3), day(36527))], T.StructType([T.StructField("lo", T.DateType()), T.StructField("hi", T.DateType())]))
     assert century.select(F.size(R.dyadic_nodes(F.unix_date("lo"), F.unix_date("hi"), 15)).alias("n")).first()["n"] <= 31
+
+
+@pytest.mark.parametrize("most", [0, 2, 32])
+def test_windows_of_keys_with_few_and_many(spark, most):
+    rnd = random.Random(8)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    windows = [(k, day(s := rnd.randint(0, 900)), day(s + rnd.choice((0, 3, 40, 200)))) for k, n in (("a", 40), ("b", 3), ("c", 1)) for _ in range(n)] * 2 + [(None, day(0), day(900))]
+    rows = [(rnd.choice(("a", "b", "c", "d", None)), day(rnd.randint(-5, 1100)), n) for n in range(400)] + [("a", None, -1)]
+    df = spark.createDataFrame(rows, "k string, day date, n int")
+    covered = lambda k, d: int(d is not None and any(k == x and a <= d <= b for x, a, b in windows if x))
+    got = R.flag_in_window(df, "day", spark.createDataFrame(windows, "k string, lo date, hi date"), ["k"], "lo", "hi", "hit", most=most)
+    assert rows_of(got.select("k", "day", "n", "hit")) == sorted(((*r, covered(*r[:2])) for r in rows), key=repr)
+
+
+def test_rows_meet_few_windows_by_one_join(spark):
+    from touchline.plans import durable
+
+    df = durable.long_windows(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 1 and plan.count("Join ") == 1 and "Union" not in plan, plan

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 #: Broadcast hints are given only to sides that were counted and have at most so many rows.
 SMALL_ROWS = 100_000
+#: Windows of one key that a row may meet.
+FEW_WINDOWS = 32
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -198,15 +200,39 @@ def dyadic_nodes(lo: Column, hi: Column, levels: int) -> Column:
     return F.concat(*[F.coalesce(x, none) for x in both])
 
 
-def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str], lo: str, hi: str, out: str, width: int = 16) -> DataFrame:
+def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str], lo: str, hi: str, out: str, width: int = 16, most: int = FEW_WINDOWS) -> DataFrame:
     """1 if a window of the same keys covers the row's day, both ends included, else 0.
 
+    Windows of a key that has ``most`` at most travel together: rows meet them by their keys, once, and days are
+    compared there.  Days of keys with more windows go by stretches (``_covered_days``), so no row meets more than
+    ``most`` windows.  Null bounds, null days and null keys cover nothing."""
+    spans = windows.select(*keys, F.unix_date(lo).alias("_lo"), F.unix_date(hi).alias("_hi")).where("_lo <= _hi").distinct()
+    counts = spans.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    many = counts.where(F.col("_n") > most)
+    if many.isEmpty():
+        few = spans
+    else:
+        many = many.select(*keys)
+        few = spans.join(many, keys, "left_anti")
+    packed = few.groupBy(*keys).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_w"))
+    at = F.unix_date(day)
+    inside = sure(F.exists("_w", lambda w: at.between(w["_lo"], w["_hi"])))
+    flagged = rows.join(packed, keys, "left").withColumn(out, inside.cast("int")).drop("_w")
+    if few is spans:
+        return flagged
+    hot = _covered_days(rows.join(many, keys, "left_semi"), day, spans.join(many, keys, "left_semi"), keys, width)
+    hit = hot.select(*keys, F.col("_day").alias(day), F.lit(1).alias("_hit"))
+    return flagged.join(hit, [*keys, day], "left").withColumn(out, F.coalesce("_hit", out)).drop("_hit")
+
+
+def _covered_days(rows: DataFrame, day: str, spans: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The different (keys, _day) of rows that a span (keys, _lo, _hi) covers.
+
     Days fall into stretches of ``width``.  A window's first and last stretch meet their days by key and stretch,
     and days are compared there; the whole stretches between are cut into dyadic ones, two for each doubling of
     the window's length, and a day belongs to one of each level.  So every join is an equi-join, a short window is
     two rows, and a window of any length a bounded number.  Levels go as far as the longest window, up to 2^15
-    stretches.  Null bounds and null days cover nothing."""
-    spans = windows.select(*keys, F.unix_date(lo).alias("_lo"), F.unix_date(hi).alias("_hi")).where("_lo <= _hi")
+    stretches."""
     longest = spans.agg(F.max(F.col("_hi") - F.col("_lo") + 1)).first()[0] or 1
     stretch = lambda c: F.floor(c / width).cast("long")
     spans = spans.withColumns({"_a": stretch(F.col("_lo")), "_b": stretch(F.col("_hi"))})
@@ -218,8 +244,7 @@ def flag_in_window(rows: DataFrame, day: str, windows: DataFrame, keys: list[str
         inner = spans.where("_b - _a > 1").select(*keys, F.inline(dyadic_nodes(F.col("_a") + 1, F.col("_b") - 1, levels))).distinct()
         above = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col("_at"), k).alias("at")) for k in range(levels + 1)])
         met = met.unionByName(asked.select(*keys, "_day", F.inline(above)).join(inner, [*keys, "level", "at"], "left_semi").select(*keys, "_day"))
-    hit = met.select(*keys, F.col("_day").alias(day), F.lit(1).alias(out)).distinct()
-    return rows.join(hit, [*keys, day], "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    return met.distinct()
 
 
 def ranked(df: DataFrame, lead: dict[str, tuple[Column, str]], order: list, out: str = "rank") -> DataFrame:
