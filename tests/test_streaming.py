@@ -83,3 +83,36 @@ def test_pipeline(spark, tmp_path):
     away = {r["match_id"]: r["home_absence_coefficient"] for r in out["players_away"].collect()}
     assert set(away) == {1, 2, 9}
     assert {r["temperature"] for r in out["weather"].collect()} == {7.0}
+
+
+def test_a_match_asks_its_state_few_times():
+    """Three attempts of a match in one micro-batch: the state is read once and cleared once."""
+    from types import SimpleNamespace
+
+    from touchline.streaming import retries
+
+    calls = []
+
+    class State:
+        def __init__(self, name, value=None):
+            self.name, self.value = name, value
+
+        def __getattr__(self, call):
+            def run(*args):
+                calls.append(f"{self.name}.{call}")
+                if call == "get":
+                    return self.value if self.name == "now" else iter(())
+                if call == "exists":
+                    return self.value is not None
+                if call in ("update", "clear"):
+                    self.value = args[0] if args else None
+                return iter(()) if call == "listTimers" else None
+
+            return run
+
+    machine = retries.Retries()
+    machine.now, machine.past, machine.handle = State("now", (retries.I.OPEN, 0, 0)), State("past"), State("timers")
+    rows = [SimpleNamespace(attempt=a, got=False, status=None, at=None) for a in (1, 2, 3)]
+    out = list(machine.handleInputRows((7,), iter(rows), None))
+    assert [(r.attempt, r.final) for r in out] == [(1, False), (2, False), (3, True)] and out[-1].history.count(";") == 2
+    assert calls == ["now.get", "now.clear", "timers.listTimers"]

@@ -56,34 +56,46 @@ class Retries(StatefulProcessor):
                 held = self.now.get()[2] if self.now.exists() else -1
                 late = [a for a in given if a <= held and a]
                 del given[late[0] if late else max(given)]
+        if not given:
+            return
+        # each call of the state is a message to the JVM: it is read once and written once, whatever comes between
+        held = self.now.get()
+        was = now = tuple(held) if held else None
+        past, added, wait = None, [], None
         for attempt in sorted(given):
             got, status, at = given[attempt]
             if attempt == 0:
-                if not self.now.exists() and (status or I.OPEN) in self.tried:
-                    self.now.update((status or I.OPEN, 0, 0))
-                    self._wait(at)
+                if now is None and (status or I.OPEN) in self.tried:
+                    now, wait = (status or I.OPEN, 0, 0), at
                 continue
-            if not self.now.exists():
-                continue
-            _, tries, last = self.now.get()
-            if attempt <= last:
+            if now is None or attempt <= now[2]:
                 continue
+            tries = now[1] + 1
             status = DONE if got and status is None else status or I.OPEN
-            final = status not in self.tried or tries + 1 >= self.passes
-            self.past.appendValue((status,))
-            history = ";".join(s[0] for s in self.past.get())
+            final = status not in self.tried or tries >= self.passes
+            if past is None:
+                past = [s[0] for s in self.past.get()] if tries > 1 and was is not None else []
+            added.append(status)
+            history = ";".join([*past, *added])
             if final:
-                self._forget()
+                now, wait = None, None
             else:
-                self.now.update((status, tries + 1, attempt))
-                self._wait(at)
-            yield Row(match_id=key[0], attempt=attempt, status=status, tries=tries + 1, final=final, history=history)
+                now, wait = (status, tries, attempt), at
+            yield Row(match_id=key[0], attempt=attempt, status=status, tries=tries, final=final, history=history)
+        if now is None:
+            if was is not None:
+                self._forget(was[1])
+        elif now != was:
+            self.now.update(now)
+            for status in added:
+                self.past.appendValue((status,))
+            self._wait(wait)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.now.exists():
             _, tries, last = self.now.get()
             history = ";".join([*(s[0] for s in self.past.get()), EXPIRED])
-            self._forget()
+            self._forget(tries)
             yield Row(match_id=key[0], attempt=last, status=EXPIRED, tries=tries, final=True, history=history)
 
     def _wait(self, at: int) -> None:
@@ -91,9 +103,10 @@ class Retries(StatefulProcessor):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(at + self.patience)
 
-    def _forget(self) -> None:
+    def _forget(self, tries: int) -> None:
         self.now.clear()
-        self.past.clear()
+        if tries:
+            self.past.clear()
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
 
