@@ -114,3 +114,13 @@ def test_headings_keep_references_without_their_end(spark, pages):
     want = [(1, 1, "The & ox &amp"), (1, 2, "one two three <"), (1, 3, "a & b &lt;")]
     assert rows_of(H.headings(df, ["k"])) == want
     assert rows_of(spark.sql("SELECT k, level, heading FROM one_page p, LATERAL html_rows(p.html, 'headings')")) == want
+
+
+def test_long_batches_of_pages_are_handed_on_in_parts(spark):
+    """Arrow batches of pages are bounded, and each different tag is read once."""
+    df = spark.range(3000).select(F.col("id").alias("k"), F.lit("<table>" + "<tr><td>x</td></tr>" * 16 + "</table>").alias("html")).coalesce(1)
+    assert H.table_rows(df, ["k"]).count() == 48_000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= H.PAGES
+    H._mark.cache_clear()
+    H.parse("<p class='a'>x</p>" * 100)
+    assert H._mark.cache_info().misses == 2
