@@ -78,6 +78,42 @@ def test_line_dedup_brute(spark, odd):
     assert left.columns == clash.columns and {(r["doc_id"], r["text"]) for r in left.collect()} == out and left.where("__gone <> 7 or _exact <> 7 or key <> 7").count() == 0
 
 
+def test_line_dedup_finds_an_edit_at_any_place_of_any_length(spark):
+    rnd = random.Random(5)
+    letters = [chr(c) for c in range(0x4E00, 0x5200)]
+    lines = []
+    for n in [*range(4, 20), 31, 32, 33, 63, 64, 65]:
+        for i in range(n + 1):
+            for gap in (0, 1):  # an insertion, a substitution
+                if i + gap <= n:
+                    a = "".join(rnd.choice(letters) for _ in range(n))
+                    lines.append(rnd.sample([a, a[:i] + "x" + a[i + gap :]], 2))
+    docs = [(k + 1000000 * later, pair[later]) for k, pair in enumerate(lines) for later in (0, 1)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=1)
+    assert {r["doc_id"] for r in out.where("text <> ''").collect()} == set(range(len(lines)))
+    assert out.where("_near = 1 and _exact = 0 and doc_id >= 1000000").count() == len(lines)
+
+
+def test_line_dedup_moves_little_for_lines_that_share_a_half_only(spark):
+    """Templates: each line has its half in common with another one and is near none."""
+    rnd = random.Random(6)
+    half = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(120))
+    docs = []
+    for k in range(400):
+        head, tail = half(), half()
+        docs.append((k, "\n".join([head + half(), head + half(), half() + tail, half() + tail])))
+    table = stage(spark.createDataFrame(docs, "doc_id long, text string"), "templates")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    assert line_dedup.dedup_lines(table).where("_near + _exact > 0").count() == 0
+    assert shuffled() - before < 10 * sum(len(text) for _, text in docs)
+
+
 def test_line_dedup_of_rows_that_share_an_id(spark):
     copy, own = "copy of an earlier line in the table", "a unique line of the second row"
     rows = [(-5, copy), (None, copy), (None, own), (7, "the first text of seven, all its own"), (7, copy + "\n" + own), (7, "third text of seven: nothing alike"), (9223372036854775807, "the largest id has this one line")]

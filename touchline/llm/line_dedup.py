@@ -12,8 +12,11 @@ Native: DataFrame and SQL functions only.
   needs only its earliest place: no pairs are made, and a group of distinct lines around one variant
   is bounded by the alphabet times the line's length, never by the number of rows.
 * Before variants are emitted, lines that can have no partner are set aside without loss: of two
-  lines one edit apart the first or the second half (cut by the shorter length) is equal, so a line
-  whose four half keys nobody shares has no partner.
+  lines one edit apart the heads or the tails (of the shorter's half at most) are equal, so a line
+  whose ends nobody shares has no partner.  Of those that share one, two that are one edit apart are
+  equal but for one of eight parts (cut by the shorter length): variants lose characters of it only.
+* Lines meet their verdict only if a mask says that they are repeated or near; the others move once,
+  as hashes, to be counted.
 
 Edge cases: null or empty texts stay as they are; exact repeats of a row (doc_id and text, a null id
 too) count as the same place and get the same result; rows that share an id but not the text are
@@ -22,13 +25,14 @@ documents of their own, as are rows with null ids; extra columns pass through, w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import box, in_mask, mask_of, stage, unbox
+from .common import box, drop_stage, in_mask, mask_of, stage, unbox
 
 MIN_CHARS = 20
+PARTS = 8
 _LAST = 9223372036854775807
 
 
@@ -71,26 +75,72 @@ def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
     return line.withColumns(_hashes("line", "h1", "h2"))
 
 
-def near_lines(keyed: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(first, near): each distinct line's first place; distinct lines with an earlier one-edit
-    partner, verified by edit distance, with that partner's place as ``witness``."""
-    lines = _lines(keyed, min_chars)
-    n, half = F.length("line"), lambda n: F.floor(n / 2).cast("int")
+def _ends(line, size) -> tuple:
+    """(cut, head, tail): hashes of both ends of a line, half of ``size`` each at most.  The cut keeps the first four bits
+    of the half only, so it is mostly alike for ``size`` and ``size - 1``."""
+    half = F.shiftright(size, 1)
+    cut = half - F.pmod(half, F.pow(F.lit(2), F.greatest(F.lit(0), F.length(F.bin(half)) - 4)).cast("int"))
+    return cut, F.xxhash64(cut, F.lit("head"), F.substring(line, F.lit(1), cut)), F.xxhash64(cut, F.lit("tail"), F.right(line, cut))
+
+
+def _but_parts(line, n) -> Column:
+    """Hashes of a line without one of its ``PARTS`` parts; first it is cut by its length, then as the longer of a pair."""
     keys = []
-    for size in (n, n - 1):  # the line as the shorter, or the longer, of a pair
-        keys += [F.xxhash64(size, F.lit("head"), F.substring("line", F.lit(1), half(size))), F.xxhash64(size, F.lit("tail"), F.right("line", size - half(size)))]
-    own = lines.select("place", "h1", "h2", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    first = stage(own.groupBy("h1", "h2", *[f"k{i}" for i in range(4)]).agg(F.min("place").alias("place")), "line-first")
-
-    halves = first.select("h1", "h2", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k"))
-    shared = halves.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
-    may = stage(halves.join(shared, "k", "left_semi").select("h1", "h2").distinct(), "line-may")
-    few = in_mask(lines, stage(mask_of(may, "h1"), "line-mask"), "h1")  # most lines end here, unshuffled
-    texts = stage(
-        few.join(may, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line")), "line-text"
-    )
+    for size in (n, n - 1):
+        at = [F.floor(size * i / PARTS).cast("int") for i in range(PARTS + 1)]
+        keys += [F.xxhash64(size, F.lit(i), F.substring(line, F.lit(1), at[i]), F.right(line, size - at[i + 1])) for i in range(PARTS)]
+    return F.array(*keys)
+
+
+def _part(n, which) -> tuple:
+    """(start, end) of what the key ``which`` of ``_but_parts`` leaves out: in the longer of a pair a character more."""
+    longer, i = F.floor(which / PARTS).cast("int"), F.pmod(which, F.lit(PARTS))
+    start, end = [F.floor((n - longer) * at / PARTS).cast("int") for at in (i, i + 1)]
+    return start, end + longer
+
 
-    gone = texts.select("h1", "h2", "place", "line", F.explode(F.sequence(F.lit(1), F.length("line"))).alias("at"))
+def _sharing(rows: DataFrame, keys: Column, name: str) -> DataFrame:
+    """(h1, h2, which): the distinct lines that share a key with another line, and its place among their ``keys``, an array.
+
+    Keys are counted by themselves, eight bytes each; only lines that the mask of shared keys lets through meet them."""
+    each = rows.select("h1", "h2", F.posexplode(keys).alias("which", "k")).where("k is not null")
+    shared = stage(each.groupBy("k").count().where("count > 1").select("k"), f"{name}-keys")
+    some = in_mask(each, stage(mask_of(shared, "k"), f"{name}-mask"), "k")
+    return some.join(shared, "k", "left_semi").select("h1", "h2", "which")
+
+
+def _among(lines: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
+    """The lines that may be among ``hashes``, by a mask of either hash; while these aren't full, one in some hundred others gets through."""
+    for h in ("h1", "h2"):
+        lines = in_mask(lines, stage(mask_of(hashes, h), f"{name}-{h}"), h)
+    return lines
+
+
+def near_lines(keyed: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(repeated, near): the first place of each line that occurs more than once; distinct lines with an
+    earlier one-edit partner, verified by edit distance, with that partner's place as ``witness``."""
+    lines = _lines(keyed, min_chars)
+    n = F.length("line")
+    cut, head, tail = _ends(F.col("line"), n)
+    less, less_head, less_tail = _ends(F.col("line"), n - 1)  # the line as the longer of a pair
+    ends = {"k0": head, "k1": tail, "k2": F.when(less != cut, less_head), "k3": F.when(less != cut, less_tail)}
+    own = lines.select("place", "h1", "h2", *[k.alias(name) for name, k in ends.items()])
+    first = stage(own.groupBy("h1", "h2", *ends).agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times")), "line-first")
+    repeated = stage(first.where("times > 1").select("h1", "h2", "place"), "line-repeated")
+
+    may = stage(_sharing(first, F.array(*ends), "line-may").select("h1", "h2").distinct(), "line-may")
+    drop_stage(first)
+    few = _among(lines, may, "line-may")  # most lines end here, unshuffled
+    likely = few.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"))
+    likely = stage(likely.join(may, ["h1", "h2"], "left_semi"), "line-likely")
+    close = _sharing(likely, _but_parts(F.col("line"), n), "line-close").groupBy("h1", "h2").agg(F.collect_set("which").alias("parts"))
+    close = stage(close, "line-close")
+    texts = stage(_among(likely, close, "line-close").join(close, ["h1", "h2"]), "line-text")
+    drop_stage(likely)
+
+    start, end = _part(n, F.col("which"))
+    gone = texts.withColumn("which", F.explode("parts")).where(start < end)
+    gone = gone.select("h1", "h2", "place", "line", F.explode(F.sequence(start + 1, end)).alias("at"))
     variant = F.concat(F.substring("line", F.lit(1), F.col("at") - 1), F.substring("line", F.col("at") + 1, F.length("line")))
     gone = gone.select("h1", "h2", "place", "at", variant.alias("v"))
     gone = gone.withColumns(_hashes("v", "v1", "v2")).select("v1", "v2", "at", "h1", "h2", "place")
@@ -115,15 +165,17 @@ def near_lines(keyed: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame,
         .groupBy("h1", "h2")
         .agg(F.min("witness").alias("witness"))
     )
-    return first.select("h1", "h2", "place"), stage(near, "line-near")
+    return repeated, stage(near, "line-near")
 
 
 def dropped_lines(keyed: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, line_no, reason): reason ``exact`` or ``near``, one row per document line that goes."""
-    first, near = near_lines(keyed, min_chars)
-    own = _lines(keyed, min_chars).select("place", "h1", "h2")
-    verdict = first.join(near.withColumn("is_near", F.lit(True)), ["h1", "h2"], "left")
-    tagged = own.join(verdict.select("h1", "h2", F.col("place").alias("start"), "is_near"), ["h1", "h2"])
+    repeated, near = near_lines(keyed, min_chars)
+    either = repeated.select("h1", "h2", F.col("place").alias("start"), F.lit(False).alias("is_near"))
+    either = either.unionByName(near.select("h1", "h2", F.lit(True).alias("is_near")), allowMissingColumns=True)
+    verdict = stage(either.groupBy("h1", "h2").agg(F.max("start").alias("start"), F.max("is_near").alias("is_near")), "line-verdict")
+    own = _among(_lines(keyed, min_chars).select("place", "h1", "h2"), verdict, "line-verdict")  # the others stay
+    tagged = own.join(verdict, ["h1", "h2"])
     out = tagged.where("place > start or is_near")
     return out.select(
         F.expr(f"cast(floor((place - pmod(place, {_STEP})) / {_STEP}) as decimal(29,0))").alias("key"),
@@ -139,10 +191,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col)
     of = lambda reason: F.sum((F.col("reason") == reason).cast("long")).alias(reason)
     gone = stage(dropped_lines(keyed, min_chars).groupBy("key").agg(F.collect_set("line_no").alias("gone"), of("exact"), of("near")), "line-gone")
-    # only texts that lose lines are shuffled
+    # only texts that lose lines are shuffled, unsorted, and alike at every size
     mask = stage(mask_of(gone, "key"), "line-gone-mask")
     keyed, old = keyed.drop("text"), F.col("row").getField(text_col)
-    joined = in_mask(keyed, mask, "key").join(gone, "key", "left").unionByName(in_mask(keyed, mask, "key", outside=True), allowMissingColumns=True)
+    joined = in_mask(keyed, mask, "key").join(gone.hint("shuffle_hash"), "key", "left").unionByName(in_mask(keyed, mask, "key", outside=True), allowMissingColumns=True)
     kept = F.filter(F.split(old, "\n", -1), lambda _, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
     went = [F.coalesce(c, F.lit(0).cast("long")).alias(name) for c, name in zip(("exact", "near"), counts or ())]
